@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, groups
+from loomline.llm import bpe, conversations, groups, leakage, splitting
 from loomline.session import load
 
 
@@ -16,9 +16,37 @@ def p1_splits(spark: SparkSession, base: str) -> DataFrame:
     return groups.assign_splits(load(spark, base, "qa_records"), load(spark, base, "split_targets"))
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return conversations.conversations(load(spark, base, "chat_messages")).select("thread_id", "turn_no", "message_id")
+
+
+def p6_conversations(spark: SparkSession, base: str) -> DataFrame:
+    return conversations.conversations(load(spark, base, "chat_messages"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    tables = [load(spark, base, t) for t in ("doc_records", "chunk_records", "size_limits")]
+    return splitting.found_oversized(*tables)
+
+
+def p7_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return splitting.split_tables(*[load(spark, base, t) for t in ("doc_records", "chunk_records", "size_limits")])
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, base, "documents"), unique_ids=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p8_ids)}
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return p9_leaks(spark, base).select("doc_id", "query_id")
+
+
+def p9_leaks(spark: SparkSession, base: str) -> DataFrame:
+    return leakage.find_leaks(load(spark, base, "documents"), load(spark, base, "eval_cases"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks)
+}
 ORACLE: dict[str, str] = {}
