@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, conversations, groups, leakage, splitting
+from loomline.llm import bpe, conversations, groups, leakage, overlap, splitting
 from loomline.session import load
 
 
@@ -16,6 +16,14 @@ def p1_splits(spark: SparkSession, base: str) -> DataFrame:
     return groups.assign_splits(load(spark, base, "qa_records"), load(spark, base, "split_targets"))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return overlap.found_overlaps(load(spark, base, "qa_records"), load(spark, base, "qa_splits"))
+
+
+def p2_counts(spark: SparkSession, base: str) -> DataFrame:
+    return overlap.overlap_counts(load(spark, base, "qa_records"), load(spark, base, "qa_splits"))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return conversations.conversations(load(spark, base, "chat_messages")).select("thread_id", "turn_no", "message_id")
 
@@ -47,6 +55,6 @@ def p9_leaks(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks)
+    for f in (p1_found, p1_splits, p2_found, p2_counts, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks)
 }
 ORACLE: dict[str, str] = {}
