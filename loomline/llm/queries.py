@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, conversations, groups, leakage, overlap, splitting
+from loomline.llm import bpe, conversations, groups, leakage, overlap, residue, splitting
 from loomline.session import load
 
 
@@ -53,8 +53,16 @@ def p9_leaks(spark: SparkSession, base: str) -> DataFrame:
     return leakage.find_leaks(load(spark, base, "documents"), load(spark, base, "eval_cases"))
 
 
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return residue.find_residue(load(spark, base, "documents"))
+
+
+def p10_corpus(spark: SparkSession, base: str) -> DataFrame:
+    return residue.without_residue(load(spark, base, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_counts, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks)
+    for f in (p1_found, p1_splits, p2_found, p2_counts, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
 }
 ORACLE: dict[str, str] = {}
