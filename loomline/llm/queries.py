@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, conversations, groups, leakage, overlap, residue, splitting
+from loomline.llm import bpe, conversations, defects, groups, leakage, overlap, residue, splitting
 from loomline.session import load
 
 
@@ -24,6 +24,10 @@ def p2_counts(spark: SparkSession, base: str) -> DataFrame:
     return overlap.overlap_counts(load(spark, base, "qa_records"), load(spark, base, "qa_splits"))
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return defects.find_defects(load(spark, base, "qa_records"))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return conversations.conversations(load(spark, base, "chat_messages")).select("thread_id", "turn_no", "message_id")
 
@@ -63,6 +67,6 @@ def p10_corpus(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_counts, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
+    for f in (p1_found, p1_splits, p2_found, p2_counts, p4_found, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
 }
 ORACLE: dict[str, str] = {}
