@@ -61,13 +61,13 @@ def find_leaks(
     hits = postings.join(_maybe_broadcast(anchors, n), "term").select("doc", "query_id", "passage", (F.col("pos") - F.col("q_pos")).alias("shift"))
     lists = hits.groupBy("doc", "query_id", "passage", "shift").agg(F.count("*").alias("agree"))
     agreed = Stage(lists.where(F.col("agree") >= min(ANCHORS, least)).drop("agree"), "agreed").df
-    m = agreed.count()
+    named = Stage(agreed.select("doc").distinct(), "named").df
+    whole = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(_maybe_broadcast(named, named.count()), "doc", "left_semi")
+    split = Stage(whole.distinct().select("doc", words(F.col("text")).alias("w")), "words").df
     passages = terms.groupBy("query_id", "passage").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("q_pos", "term"))), lambda s: s["term"]).alias("p")
     )
-    candidates = agreed.join(_maybe_broadcast(passages, n), ["query_id", "passage"])
-    whole = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).distinct()
-    both = whole.join(_maybe_broadcast(candidates, m), "doc").withColumn("w", words(F.col("text")))
+    both = split.join(agreed, "doc").join(_maybe_broadcast(passages, n), ["query_id", "passage"])
     run = F.aggregate(
         F.transform(F.col("p"), lambda t, i: F.coalesce(t == F.get(F.col("w"), F.col("shift") + i), F.lit(False))),
         F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")),
