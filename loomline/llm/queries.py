@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, conversations, defects, groups, leakage, overlap, residue, splitting
+from loomline.llm import bpe, conversations, defects, groups, leakage, overlap, pii, residue, scans, splitting
 from loomline.session import load
 
 
@@ -28,6 +28,24 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return defects.find_defects(load(spark, base, "qa_records"))
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.found_pii(load(spark, base, "chunk_records"), load(spark, base, "qa_records"))
+
+
+def p3_redacted(spark: SparkSession, base: str) -> DataFrame:
+    chunks = pii.redacted(load(spark, base, "chunk_records"), "chunk_id", "text")
+    answers = pii.redacted(load(spark, base, "qa_records"), "qa_id", "answer")
+    return chunks.selectExpr("'chunk' AS record_kind", "*").unionByName(answers.selectExpr("'qa' AS record_kind", "*"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return scans.found_noise(load(spark, base, "doc_records"))
+
+
+def p5_repaired(spark: SparkSession, base: str) -> DataFrame:
+    return scans.repaired(load(spark, base, "doc_records")).select("doc_id", "text", "markdown").distinct()
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return conversations.conversations(load(spark, base, "chat_messages")).select("thread_id", "turn_no", "message_id")
 
@@ -67,6 +85,6 @@ def p10_corpus(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_counts, p4_found, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
+    for f in (p1_found, p1_splits, p2_found, p2_counts, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
 }
 ORACLE: dict[str, str] = {}
