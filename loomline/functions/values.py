@@ -105,10 +105,14 @@ def overlay(base: Column, *over: Column) -> Column:
     """One map of several; later ones win. Independent of spark.sql.mapKeyDedupPolicy."""
     out = F.coalesce(base, F.create_map().cast("map<string,string>"))
     for top in over:
-        out = F.map_concat(F.map_filter(out, lambda k, _, t=top: ~F.map_contains_key(t, k)), top)
+        out = F.map_concat(_without_keys(out, top), top)
     return out
 
 
+def _without_keys(base: Column, top: Column) -> Column:
+    return F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k))
+
+
 def compact_metadata(chunk_metadata: Column, own: Column) -> Column:
     """The kept keys of a chunk's metadata that say something, overlaid by a pair's own."""
     kept = F.map_filter(chunk_metadata, lambda k, v: k.isin(*KEPT_KEYS) & v.isNotNull() & (v != ""))

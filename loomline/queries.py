@@ -143,9 +143,9 @@ def stable_ids(spark: SparkSession, base: str) -> DataFrame:
     return d.select("doc_id", T.stable_id(F.col("doc_id"), F.col("source"), F.col("title")).alias("id"), T.md5_uuid(F.coalesce("text", F.lit(""))).alias("uuid"))
 
 
-@query(f"SELECT DISTINCT message_id, created, {_US.format(c=_ISO.format(c='created'))} AS us FROM chat_messages")
+@query(f"SELECT DISTINCT message_id, created, coalesce({_US.format(c=_ISO.format(c='created'))}, -1) AS us FROM chat_messages")
 def iso_parse(spark: SparkSession, base: str) -> DataFrame:
-    return load(spark, base, "chat_messages").select("message_id", "created", F.unix_micros(V.instant(F.col("created"))).alias("us")).distinct()
+    return load(spark, base, "chat_messages").select("message_id", "created", F.coalesce(F.unix_micros(V.instant(F.col("created"))), F.lit(-1)).alias("us")).distinct()
 
 
 @query("""
@@ -174,7 +174,7 @@ def json_extract(spark: SparkSession, base: str) -> DataFrame:
 _BODY = f"coalesce(nullif({_STRIP('markdown')}, ''), nullif({_STRIP('text')}, ''))"
 _MESSAGES = f"""
 WITH m AS (SELECT nullif({_STRIP('message_id')}, '') AS message_id, nullif({_STRIP('room_id')}, '') AS room_id, nullif({_STRIP('parent_id')}, '') AS parent_id,
-  coalesce(nullif({_STRIP('author')}, ''), nullif({_STRIP('person_email')}, ''), 'unknown') AS author, created, updated, {_ISO.format(c='created')} AS at, {_ISO.format(c='updated')} AS edited,
+  coalesce(nullif({_STRIP('author')}, ''), nullif({_STRIP('person_email')}, ''), 'unknown') AS author, created, updated, {_ISO.format(c='created')} AS at_ts, {_ISO.format(c='updated')} AS edited,
   {_FLAT(_BODY)} AS body, ingested_at FROM chat_messages WHERE {_BODY} IS NOT NULL AND nullif({_STRIP('message_id')}, '') IS NOT NULL)
 """
 _THREADS = _MESSAGES + """
@@ -185,7 +185,7 @@ w AS (SELECT *, message_id AS thread_id FROM once WHERE parent_id IS NULL
 
 
 @query(_THREADS + """
-SELECT room_id, thread_id, count(*) AS messages, count(DISTINCT author) AS authors, epoch_us(min(at)) AS created_us, epoch_us(max(coalesce(edited, at))) AS updated_us
+SELECT room_id, thread_id, count(*) AS messages, count(DISTINCT author) AS authors, epoch_us(min(at_ts)) AS created_us, epoch_us(max(coalesce(edited, at_ts))) AS updated_us
 FROM w GROUP BY ALL HAVING count(*) >= 2""")
 def thread_build(spark: SparkSession, base: str) -> DataFrame:
     t = threads.threads(load(spark, base, "chat_messages"))
@@ -194,7 +194,7 @@ def thread_build(spark: SparkSession, base: str) -> DataFrame:
 
 @query(_THREADS + """
 SELECT room_id, thread_id, string_agg('[' || coalesce(nullif(trim(created), ''), 'unknown-time') || '] ' || author || ': ' || body, chr(10)
-  ORDER BY message_id <> thread_id, at IS NULL, at, message_id) AS text FROM w GROUP BY ALL HAVING count(*) >= 2""")
+  ORDER BY message_id <> thread_id, at_ts IS NULL, at_ts, message_id) AS text FROM w GROUP BY ALL HAVING count(*) >= 2""")
 def thread_texts(spark: SparkSession, base: str) -> DataFrame:
     return threads.threads(load(spark, base, "chat_messages")).select("room_id", "thread_id", "text")
 
@@ -239,14 +239,17 @@ def chunk_route(spark: SparkSession, base: str) -> DataFrame:
     return chunking.route(load(spark, base, "doc_records")).select("doc_id", "route")
 
 
+def _window_end(start: str) -> str:
+    """SQL: the end of a window of 1100 characters from ``start``, at its last space beyond the first third."""
+    back = f"strpos(reverse(substring(t, {start} + 1, 1100)), ' ')"
+    return f"CASE WHEN {start} + 1100 >= length(t) THEN length(t) WHEN {back} > 0 AND 1100 - {back} > 366 THEN {start} + 1100 - {back} ELSE {start} + 1100 END"
+
+
 @query(f"""
 WITH RECURSIVE t AS (SELECT doc_id, {_FLAT('text')} AS t FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, t, 0 AS i, 0 AS s, {{end0}} AS e FROM t WHERE length(t) > 0
-  UNION ALL SELECT doc_id, t, i + 1, greatest(s + 1, e - 180), {{end1}} FROM w WHERE e < length(t))
-SELECT doc_id, i::BIGINT AS window_no, trim(substring(t, s + 1, e - s)) AS text FROM w""".format(
-    end0="CASE WHEN length(t) <= 1100 THEN length(t) WHEN strpos(reverse(substring(t, 1, 1100)), ' ') > 0 AND 1100 - strpos(reverse(substring(t, 1, 1100)), ' ') > 366 THEN 1100 - strpos(reverse(substring(t, 1, 1100)), ' ') ELSE 1100 END",
-    end1="CASE WHEN greatest(s + 1, e - 180) + 1100 >= length(t) THEN length(t) WHEN strpos(reverse(substring(t, greatest(s + 1, e - 180) + 1, 1100)), ' ') > 0 AND 1100 - strpos(reverse(substring(t, greatest(s + 1, e - 180) + 1, 1100)), ' ') > 366 THEN greatest(s + 1, e - 180) + 1100 - strpos(reverse(substring(t, greatest(s + 1, e - 180) + 1, 1100)), ' ') ELSE greatest(s + 1, e - 180) + 1100 END",
-))
+w AS (SELECT doc_id, t, 0 AS i, 0 AS s, {_window_end("0")} AS e FROM t WHERE length(t) > 0
+  UNION ALL SELECT doc_id, t, i + 1, greatest(s + 1, e - 180), {_window_end("greatest(s + 1, e - 180)")} FROM w WHERE e < length(t))
+SELECT doc_id, i::BIGINT AS window_no, trim(substring(t, s + 1, e - s)) AS text FROM w""")
 def chunk_windows(spark: SparkSession, base: str) -> DataFrame:
     parts = chunking.window_array(T.collapse(F.col("text")), 1100, 180)
     rows = load(spark, base, "documents").where("text is not null").select("doc_id", F.posexplode(parts).alias("window_no", "text"))
@@ -336,8 +339,8 @@ def thread_answers(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-SELECT qa_id, CASE WHEN at <= floor(n * 0.9) THEN 'train' WHEN at <= floor(n * 0.9) + floor(n * 0.08) THEN 'valid' ELSE 'test' END AS split_name
-FROM (SELECT qa_id, row_number() OVER (ORDER BY md5('42:' || qa_id), qa_id) AS at, count(*) OVER () AS n FROM (SELECT DISTINCT qa_id FROM qa_records))""")
+SELECT qa_id, CASE WHEN pos <= floor(n * 0.9) THEN 'train' WHEN pos <= floor(n * 0.9) + floor(n * 0.08) THEN 'valid' ELSE 'test' END AS split_name
+FROM (SELECT qa_id, row_number() OVER (ORDER BY md5('42:' || qa_id), qa_id) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT qa_id FROM qa_records))""")
 def split_exact(spark: SparkSession, base: str) -> DataFrame:
     return qa.exact_split(load(spark, base, "qa_records"), "qa_id")
 
@@ -468,10 +471,10 @@ _NOW = "2026-01-01 00:00:00"
 @query(f"""
 WITH r AS (SELECT DISTINCT qa_id, lower({_FLAT('question')}) AS q, lower(trim(coalesce(source_type, ''))) AS st, source_ref, metadata.chunk_metadata AS m FROM qa_records WHERE question IS NOT NULL),
 k AS (SELECT *, CASE WHEN st <> '' THEN st WHEN nullif(trim(m['source_type']), '') IS NOT NULL THEN lower(trim(m['source_type'])) WHEN lower(source_ref) LIKE 'webex::%' THEN 'webex' WHEN lower(source_ref) LIKE 'pdf::%' THEN 'pdf' ELSE '' END AS kind,
-  coalesce({_ISO.format(c="m['updated_at']")}, {_ISO.format(c="m['created_at']")}, {_ISO.format(c="m['ingested_at']")}) AS at,
+  coalesce({_ISO.format(c="m['updated_at']")}, {_ISO.format(c="m['created_at']")}, {_ISO.format(c="m['ingested_at']")}) AS at_ts,
   {" OR ".join(f"contains(q, '{w}')" for w in T.RECENT)} AS recent FROM r),
-a AS (SELECT *, greatest(0.0, (epoch_us(TIMESTAMPTZ '{_NOW}+00') - epoch_us(at)) / 86400000000.0) AS age FROM k)
-SELECT qa_id, round(0.35 * 0.5 + 0.65 * 0.25 + 0.02 + CASE WHEN kind = 'webex' AND at IS NOT NULL THEN (CASE WHEN recent THEN 0.1 ELSE 0.04 END) * exp(-ln(2.0) * age / CASE WHEN recent THEN 14.0 ELSE 45.0 END) ELSE 0 END, 6) AS score FROM a""")
+a AS (SELECT *, greatest(0.0, (epoch_us(TIMESTAMPTZ '{_NOW}+00') - epoch_us(at_ts)) / 86400000000.0) AS age FROM k)
+SELECT qa_id, round(0.35 * 0.5 + 0.65 * 0.25 + 0.02 + CASE WHEN kind = 'webex' AND at_ts IS NOT NULL THEN (CASE WHEN recent THEN 0.1 ELSE 0.04 END) * exp(-ln(2.0) * age / CASE WHEN recent THEN 14.0 ELSE 45.0 END) ELSE 0 END, 6) AS score FROM a""")
 def score_recency(spark: SparkSession, base: str) -> DataFrame:
     r = load(spark, base, "qa_records").where("question is not null").select(
         "qa_id", "question", "source_type", "source_ref", F.col("metadata.chunk_metadata").alias("metadata"), F.lit("qa_pair").alias("record_type"), F.lit(0.5).alias("first_score"),
@@ -542,9 +545,9 @@ def _best_ranks(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.best_ranks(rows, evaluate.load_cases(cases))
 
 
-@query(_CASE_SEARCH + "SELECT query_id AS query, best_rank::BIGINT AS best_rank FROM best")
+@query(_CASE_SEARCH + "SELECT query_id AS query, coalesce(best_rank, 0)::BIGINT AS best_rank FROM best")
 def eval_best_rank(spark: SparkSession, base: str) -> DataFrame:
-    return _best_ranks(spark, base).select("query", F.col("best_rank").cast("bigint").alias("best_rank"))
+    return _best_ranks(spark, base).select("query", F.coalesce("best_rank", F.lit(0)).cast("bigint").alias("best_rank"))
 
 
 @query(_CASE_SEARCH + """
@@ -577,7 +580,7 @@ def room_files(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(_MESSAGES + """
-SELECT message_id, room_id FROM (SELECT DISTINCT message_id, room_id, at FROM m) WHERE at >= TIMESTAMPTZ '2024-05-01 00:00:00+00' AND at < TIMESTAMPTZ '2024-06-12 00:00:00+00'""")
+SELECT message_id, room_id FROM (SELECT DISTINCT message_id, room_id, at_ts FROM m) WHERE at_ts >= TIMESTAMPTZ '2024-05-01 00:00:00+00' AND at_ts < TIMESTAMPTZ '2024-06-12 00:00:00+00'""")
 def fetch_window(spark: SparkSession, base: str) -> DataFrame:
     m = threads.normal_messages(load(spark, base, "chat_messages")).select("message_id", "room_id", F.col("at").alias("created_at")).distinct()
     return chat.apply_policy(m, chat.fetch_policy("01052024-11062024")).select("message_id", "room_id")
