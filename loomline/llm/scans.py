@@ -43,6 +43,7 @@ PAGE_EDGE = re.compile(rf"(?i)^(?:(?:page|p\.|seite|página)?\s*\d{{1,4}}\s*[|·
 _EDGE_SQL = r"(?i)^(?:(?:page|p\.|seite|página)?\s*\d{1,4}\s*[|·–—/-]\s*)|(?:\s{2,}|\s*[|·]\s*)(?:page|p\.|seite|página)?\s*\d{1,4}(?:\s*(?:of|/|von|de)\s*\d{1,4})?\W*$"
 CHAPTER = re.compile(r"(?i)^(?:chapter|kapitel|chapitre|cap[íi]tulo|section|abschnitt|part)\s+(?:\d{1,3}|[ivxlc]+)\b[^.!?]{0,50}$")
 BREAK = r"(\p{L}+)[-­‐¬][ \t]*(?:\r?\n)+[ \t]*(\p{Ll}+)"
+_HYPHENS = "-­‐¬"
 _LIST = re.compile(r"^\s*(?:[-*•+]\s|\d{1,3}[.)]\s|#{1,6}\s|>|\||```|~~~)")
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -77,9 +78,9 @@ def joined_words(body: Column) -> Column:
     return words(F.regexp_replace(body, BREAK, "$1$2"))
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
-    return texts.select(F.explode(joined_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def vocabulary(split: DataFrame) -> DataFrame:
+    """(word, n) over all bodies."""
+    return split.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def candidates(vocab: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def candidates(vocab: DataFrame) -> DataFrame:
 
 
 def bodies(docs: DataFrame, scanned: str = "pdf") -> DataFrame:
-    """(rid, doc_id, fields, field, body, file, known): one row per distinct text; markdown apart only if it differs."""
+    """(rid, doc_id, fields, body, file, known, scan): one row per text; markdown apart only if it differs."""
     meta = F.col("metadata")
     file = F.coalesce("source_path", meta["file_name"], F.nullif(F.regexp_extract("source_ref", r"^\w+::([^#]+)", 1), F.lit("")), "doc_id")
     text, md = F.col("text"), F.col("markdown")
@@ -106,8 +107,9 @@ def bodies(docs: DataFrame, scanned: str = "pdf") -> DataFrame:
         )
     )
     known = F.array_compact(F.array("title", F.trim(F.split(meta["section_path"], ">")[0]), meta["product"]))
-    rows = docs.where(F.lower(F.trim("source_type")) == scanned).select("doc_id", F.regexp_extract(file, r"([^/\\]+)$", 1).alias("file"), known.alias("known"), F.explode(parts).alias("p"))
-    rows = rows.select("doc_id", "file", "known", "p.fields", "p.body")
+    scan = F.coalesce(F.lower(F.trim("source_type")) == scanned, F.lit(False))
+    rows = docs.select("doc_id", F.regexp_extract(file, r"([^/\\]+)$", 1).alias("file"), known.alias("known"), scan.alias("scan"), F.explode(parts).alias("p"))
+    rows = rows.select("doc_id", "file", "known", "scan", "p.fields", "p.body")
     return rows.withColumn("rid", F.xxhash64("doc_id", "fields", "body"))
 
 
@@ -128,29 +130,32 @@ def headers(rows: DataFrame) -> DataFrame:
     return keyed.join(shared.select("file", "key"), ["file", "key"]).groupBy("rid").agg(F.collect_set("key").alias("keys"))
 
 
-def suspicious(rows: DataFrame, cands: DataFrame) -> DataFrame:
-    """(rid, cands): per body, the words that may be misread, with their candidates."""
-    seen = rows.select("rid", F.explode(F.array_distinct(joined_words(F.col("body")))).alias("word"))
+def suspicious(split: DataFrame, cands: DataFrame) -> DataFrame:
+    """(rid, cands): per scanned body, the words that may be misread, with their candidates."""
+    seen = split.where("scan").select("rid", F.explode("w").alias("word"))
     grouped = cands.groupBy("word").agg(F.collect_list(F.struct("cand", "score")).alias("to"), F.first("own").alias("own"))
     hits = seen.join(_maybe(grouped), "word")
     return hits.groupBy("rid").agg(F.collect_set(F.struct("word", "own", "to")).alias("cands"))
 
 
-def pair_counts(rows: DataFrame, sus: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rid, pairs): corpus counts of the word pairs that Viterbi may ask for in a body."""
-    named = rows.join(_maybe(sus), "rid").select("rid", joined_words(F.col("body")).alias("w"), F.map_from_entries(F.transform("cands", lambda c: F.struct(c["word"], F.transform(c["to"], lambda t: t["cand"])))).alias("m"))
-    named = Stage(named, "suspicious").df
-    at = named.select("rid", "m", "w", F.posexplode("w").alias("i", "word")).where(F.try_element_at("m", "word").isNotNull())
-    options = lambda c: F.concat(F.array(c), F.coalesce(F.try_element_at("m", c), F.array().cast("array<string>")))
-    left, right = F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)
-    here = at.select("rid", options(F.col("word")).alias("o"), F.when(left.isNotNull(), options(left)).alias("l"), F.when(right.isNotNull(), options(right)).alias("r"))
-    here = here.withColumn("o", F.explode("o"))
-    wanted = here.select("rid", F.explode_outer("l").alias("a"), F.col("o").alias("b")).union(here.select("rid", F.col("o").alias("a"), F.explode_outer("r").alias("b"))).where("a is not null and b is not null").distinct()
-    wanted = Stage(wanted, "wanted").df
-    ask = wanted.select("a", "b").distinct()
-    follow = texts.select(joined_words(F.col("text")).alias("w")).where(F.size("w") > 1).select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))
-    counted = follow.select("p.a", "p.b").join(_maybe(ask), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return wanted.join(counted, ["a", "b"]).groupBy("rid").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
+def pair_counts(split: DataFrame, sus: DataFrame) -> DataFrame:
+    """(rid, pairs): corpus counts of the word pairs that Viterbi may ask for in a body, as lines 'a b n'.
+
+    Pairs travel as 64-bit hashes, so the pass over all texts moves numbers only.
+    """
+    named = split.join(_maybe(sus), "rid").select("rid", "w", F.map_from_entries(F.transform("cands", lambda c: F.struct(c["word"], F.transform(c["to"], lambda t: t["cand"])))).alias("m"))
+    at = named.select("rid", "m", "w", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.map_contains_key("m", F.get("w", i))).alias("is"))
+    near = at.select("rid", "m", F.explode(F.transform("is", lambda i: F.struct(F.get("w", i).alias("o"), F.when(i > 0, F.get("w", i - 1)).alias("l"), F.get("w", i + 1).alias("r")))).alias("x")).select("rid", "m", "x.*")
+    near = Stage(near, "suspicious").df
+    options = lambda c: F.concat(F.array(c), F.coalesce(F.try_element_at("m", F.col(c)), F.array().cast("array<string>")))
+    here = near.select("rid", F.explode(options("o")).alias("o"), F.when(F.col("l").isNotNull(), options("l")).alias("l"), F.when(F.col("r").isNotNull(), options("r")).alias("r"))
+    wanted = here.select("rid", F.explode("l").alias("a"), F.col("o").alias("b")).union(here.select("rid", F.col("o").alias("a"), F.explode("r").alias("b"))).distinct()
+    wanted = Stage(wanted.withColumn("h", F.xxhash64("a", "b")), "wanted").df
+    ask = Stage(wanted.select("h").distinct(), "asked").df
+    follow = split.where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).alias("h"))
+    counted = follow.join(_maybe(ask), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    lines = F.concat_ws(" ", "a", "b", F.col("n").cast("string"))
+    return wanted.join(counted, "h").groupBy("rid").agg(F.array_join(F.collect_list(lines), "\n").alias("pairs"))
 
 
 def kept_hyphens(rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -192,45 +197,51 @@ def _cased(seen: str, cand: str) -> str:
     return cand[:1].upper() + cand[1:] if seen[:1].isupper() else cand
 
 
-def is_header(line: str, keys: set, known: list[str]) -> bool:
-    text = line.strip().strip("*_")
-    if not 3 <= len(text) <= 90 or text.startswith(("#", "`", "|", ">")) or re.search(r"[.!?;:,]$", text):
+_VERSION, _DIGITS, _SPACE = re.compile(r"\b(?:\d+\.)+\d+\b"), re.compile(r"\d+"), re.compile(r"\s+")
+_REST = re.compile(r"|v?\d+(?:\.\d+)*|[—–|-]\s*\w[\w ]{0,30}")
+
+
+def is_header(text: str, keys: set, known: list[tuple[str, str]]) -> bool:
+    """Whether a stripped line continues the file's names or is shared; known: (name, its skeleton)."""
+    text = text.strip("*_")
+    if not 3 <= len(text) <= 90 or not (text[0].isupper() or text[0].isdigit()) or text[-1] in ".!?;:," or text.count(" ") > 12:
         return False
-    bare = PAGE_EDGE.sub("", text).strip()
+    bare = PAGE_EDGE.sub("", text).strip() if text[0].isdigit() or text[-1].isdigit() or "|" in text else text
     if CHAPTER.match(bare):
         return True
-    key = skeleton_of(re.sub(r"\s+", " ", re.sub(r"\d+", "#", re.sub(r"\b(\d+\.)+\d+\b", "#", bare))))
-    if key in keys:
+    flat = _SPACE.sub(" ", bare)
+    if keys and skeleton_of(_DIGITS.sub("#", _VERSION.sub("#", flat))) in keys:
         return True
-    for name in known:
-        own = skeleton_of(re.sub(r"\s+", " ", name or "").strip())
-        mine = skeleton_of(re.sub(r"\s+", " ", bare))
-        if len(own) >= 6 and mine.startswith(own):
-            rest = re.sub(r"\s+", " ", bare)[len(name.strip()) :].strip() if mine != own else ""
-            if re.fullmatch(r"|v?\d+(?:\.\d+)*|[—–|-]\s*\w[\w ]{0,30}", rest):
-                return True
+    mine = skeleton_of(flat)
+    for name, own in known:
+        if len(own) >= 6 and mine.startswith(own) and _REST.fullmatch(flat[len(name) :].strip() if mine != own else ""):
+            return True
     return False
 
 
 def repair(body: str, cands, pairs, keys, known, keep) -> tuple[str, int, int, int, int]:
     """(repaired text, broken words, misread words, headers, page numbers) of one body."""
-    options = {c["word"]: [(c["word"], c["own"])] + [(t["cand"], t["score"]) for t in c["to"]] for c in (cands if cands is not None else [])}
-    follow = {(p["a"], p["b"]): p["n"] for p in (pairs if pairs is not None else [])}
-    keys, keep = set(keys if keys is not None else []), set(keep if keep is not None else [])
-    known = [k for k in (known if known is not None else []) if k]
+    options: dict[str, list] = {}
+    for line in (cands or "").split("\n") if cands else ():
+        word, own, *to = line.split("\t")
+        options[word] = [(word, float(own)), *[(c, float(v)) for c, v in (t.split(" ") for t in to)]]
+    follow = {(a, b): int(n) for a, b, n in (x.split(" ") for x in pairs.split("\n"))} if pairs else {}
+    keys, keep = set(keys.split("\n")) if keys else set(), set(keep.split("\n")) if keep else set()
+    names = [_SPACE.sub(" ", k).strip() for k in (known or "").split("\n")]
+    known = [(k, skeleton_of(k)) for k in dict.fromkeys(names) if k]
     breaks = misread = heads = numbers = 0
     kept: list[tuple[str, bool]] = []
     code = False
     for line in re.split(r"\r?\n", body):
-        if re.match(r"\s*(?:```|~~~)", line):
+        text = line.strip()
+        if text.startswith(("```", "~~~")):
             code ^= len(re.findall(r"```|~~~", line)) % 2 == 1
             kept.append((line, True))
             continue
         if code:
             kept.append((line, True))
             continue
-        text = line.strip()
-        number = bool(text) and bool(PAGE_LINE.match(text))
+        number = 0 < len(text) <= 40 and bool(PAGE_LINE.match(text))
         head = bool(text) and not number and is_header(text, keys, known)
         if number or head:
             heads += head
@@ -243,7 +254,7 @@ def repair(body: str, cands, pairs, keys, known, keep) -> tuple[str, int, int, i
     for line, fixed in kept:
         text = line if fixed else line.strip()
         if fixed or not text or _LIST.match(line):
-            broken = re.search(r"[^\W\d_]+[-­‐¬]$", current)
+            broken = current and current[-1] in _HYPHENS and current[-2:-1].isalpha()
             if not text and not fixed and broken:
                 continue
             if current:
@@ -252,8 +263,8 @@ def repair(body: str, cands, pairs, keys, known, keep) -> tuple[str, int, int, i
             if fixed or not text:
                 paragraphs.append(line if fixed else "")
             continue
-        end = re.search(r"([^\W\d_]+)[-­‐¬]$", current)
-        start = re.match(r"[^\W\d_]+", text)
+        end = re.search(r"([^\W\d_]+)[-­‐¬]$", current[-60:]) if current[-1:] in _HYPHENS and current else None
+        start = re.match(r"[^\W\d_]+", text) if end else None
         if end and start and start.group()[0].islower():
             pair = f"{end.group(1)}-{start.group()}".lower()
             if current[-1] == "-" and pair in keep:
@@ -288,19 +299,22 @@ def repair(body: str, cands, pairs, keys, known, keep) -> tuple[str, int, int, i
 
 def scan_repairs(docs: DataFrame, scanned: str = "pdf") -> DataFrame:
     """(doc_id, fields, body, fixed, breaks, misread, headers, numbers) of the bodies with evidence of noise."""
-    same = F.coalesce((F.col("text") != "") & F.contains("markdown", "text"), F.lit(False))
-    texts = docs.select(F.explode(F.array_compact(F.array("text", F.when(~same, F.col("markdown"))))).alias("text"))
-    vocab = Stage(vocabulary(texts), "vocabulary").df
-    cands = Stage(candidates(vocab), "candidates").df
     rows = bodies(docs, scanned)
-    sus = Stage(suspicious(rows, cands), "suspects").df
+    split = Stage(rows.select("rid", "scan", joined_words(F.col("body")).alias("w")), "words").df
+    rows = rows.where("scan")
+    vocab = Stage(vocabulary(split), "vocabulary").df
+    cands = Stage(candidates(vocab), "candidates").df
+    sus = Stage(suspicious(split, cands), "suspects").df
     heads = Stage(headers(rows), "headers").df
     keep = kept_hyphens(rows, vocab)
-    pairs = pair_counts(rows, sus, texts)
-    facts = sus.join(pairs, "rid", "left").join(heads, "rid", "full").join(keep, "rid", "left")
-    evidence = F.col("body").rlike(BREAK) | F.col("body").rlike(r"(?im)^[\s\-–—\[\](){}|.·*]*(?:page|pg\.?|p\.|seite|s\.|página)?\s*(?:\d{1,4}|[ivxlc]{1,7})\s*(?:(?:of|/|von|de|sur)\s*\d{1,4})?[\s\-–—\[\](){}|.·*]*$")
-    titled = F.exists("known", lambda k: F.contains(F.lower("body"), F.concat(F.lit("\n"), F.lower(k)))) | F.col("body").rlike(r"(?im)^\W*(?:\d+ \| )?(?:chapter|kapitel|chapitre|cap[íi]tulo) \d+")
-    noisy = rows.join(facts, "rid", "left").where(F.coalesce(evidence, F.lit(False)) | F.coalesce(titled, F.lit(False)) | F.col("cands").isNotNull() | F.col("keys").isNotNull())
+    pairs = pair_counts(split, sus)
+    entry = F.transform("cands", lambda c: F.concat_ws("\t", c["word"], c["own"].cast("string"), F.array_join(F.transform(c["to"], lambda t: F.concat_ws(" ", t["cand"], t["score"].cast("string"))), "\t")))
+    facts = sus.select("rid", F.array_join(entry, "\n").alias("cands")).join(pairs, "rid", "left")
+    facts = facts.join(heads.select("rid", F.array_join("keys", "\n").alias("keys")), "rid", "full").join(keep.select("rid", F.array_join("keep", "\n").alias("keep")), "rid", "left")
+    evidence = F.col("body").rlike(BREAK) | F.col("body").rlike(r"(?im)^[\s\-–—\[\](){}|.·*]{0,8}(?:page|pg\.?|p\.|seite|s\.|página)?[ \t]*(?:\d{1,4}|[ivxlc]{1,7})[ \t]*(?:(?:of|/|von|de|sur)[ \t]*\d{1,4})?[ \t\-–—\[\](){}|.·*]{0,8}$")
+    titled = F.exists("known", lambda k: F.contains(F.lower("body"), F.concat(F.lit("\n"), F.lower(k)))) | F.col("body").rlike(r"(?im)^\W{0,3}(?:\d+ \| )?(?:chapter|kapitel|chapitre|cap[íi]tulo) \d+")
+    noisy = rows.join(facts, "rid", "left").where(F.col("cands").isNotNull() | F.col("keys").isNotNull() | F.coalesce(titled, F.lit(False)) | F.coalesce(evidence, F.lit(False)))
+    noisy = noisy.withColumn("known", F.array_join("known", "\n"))
 
     @F.pandas_udf("fixed string, breaks int, misread int, headers int, numbers int")
     def fix(body: pd.Series, c: pd.Series, p: pd.Series, k: pd.Series, n: pd.Series, h: pd.Series) -> pd.DataFrame:
