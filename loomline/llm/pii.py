@@ -37,21 +37,26 @@ GIVEN = frozenset(
     "stefan sven tariq thomas tom tomas tove uma ursula vera viktor wei yara yasmin yuki yusuf zara zoe".split()
 )
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Señora?|MR|MRS|MS|DR|PROF|HERR|FRAU|MME)"
+_UP_START = r"[A-ZÀ-ÖØ-Þ][\w’'-]*?"
 _UP = r"[A-ZÀ-ÖØ-Þ][\w’'-]*[\wà-ÿ]"
 #: Words of street lines.
-STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Crescent|Cres|Drive|Dr|Court|Ct|Close|Way|Square|Sq|Boulevard|Blvd|Terrace|Place|Pl|Row|Mews|Highway|Parkway)"
+_STREETS = "Street St Road Rd Avenue Ave Lane Ln Crescent Cres Drive Dr Court Ct Close Way Square Sq Boulevard Blvd Terrace Place Pl Row Mews Highway Parkway".split()
+STREET = "(?:" + "|".join([*_STREETS, *[w.upper() for w in _STREETS]]) + ")"
+_BEFORE = "rue avenue boulevard chemin place calle via plaza allée".split()
+_BEFORE = "(?:" + "|".join(x for w in _BEFORE for x in (w, w.capitalize(), w.upper())) + ")"
+_AFTER = "straße strasse str\\. weg gasse platz allee damm ufer".split()
+_AFTER = "(?:" + "|".join([*_AFTER, *[w.upper() for w in _AFTER], "STRAßE"]) + ")"
+_FLAT = r"(?:Flat|FLAT|Apt\.?|APT\.?|Apartment|APARTMENT|Unit|UNIT|Suite|SUITE|Wohnung|Floor|FLOOR)"
+_MAIL = re.compile(r"(?i)[\w.+%'-]{1,64}\s?[@＠][\w-]+(?:\.[\w-]+)+")
+_SPOKEN_MAIL = re.compile(r"(?i)[\w.+%'-]{1,64}(?:\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s)[\w-]+(?:(?:\s?\.\s?|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)[\w-]+)+")
 GENERATORS = {
-    "email": re.compile(
-        r"(?i)[\w.+%'-]{1,64}(?:\s?(?:@|＠)|\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s)[\w-]+(?:(?:\s?\.\s?|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)[\w-]+)+"
-    ),
     "phone": re.compile(r"(?:tel:)?(?:\+|\(|\b)\d[\d().\-/  ]{5,22}\d\b(?:\s?(?:ext\.?|extension|x|Durchwahl)\s?\d{1,5})?", re.I),
     "id_number": re.compile(r"\b(?:[A-Z]{1,3}[ -]?)?\d[\dA-Z]{0,10}(?:[ -][\dA-Z]{1,9}){0,5}\b"),
     "address": re.compile(
-        r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Wohnung)\s+\w+,?\s+)?"
-        r"(?:\b\d{1,4}\s?[A-Za-z]?,?\s+(?:(?:rue|avenue|boulevard|chemin|place|calle|via|plaza|allée)\s+(?:(?:de|du|des|la|le|del)\s+)*" + _UP + r"|(?:" + _UP + r"\s+){1,3}" + STREET + r"\b\.?)"
-        r"|\b(?:" + _UP + r"(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer)|(?:Am|An der|Im|Auf der|Calle|Avenida|Via|Plaza|Paseo)\s+" + _UP + r"),?\s+\d{1,4}\s?[a-zA-Z]?\b)"
-        r"(?:,\s+(?:Suite|Apt\.?|Flat|Unit|Floor)\s+\w+)?(?:,?\s+" + _UP + r"\s+\d{4,6}\b|,\s*(?:\d{4,5}\s+)?" + _UP + r")?",
-        re.I,
+        r"(?:" + _FLAT + r"\s+\w+,?\s+)?"
+        r"(?:\b\d{1,4}\s?[A-Za-z]?,?\s+(?:" + _BEFORE + r"\s+(?:(?:de|du|des|la|le|del)\s+)*" + _UP + r"|(?:" + _UP + r"\s+){1,3}" + STREET + r"\b\.?)"
+        r"|\b(?:" + _UP_START + _AFTER + r"|(?:Am|AM|An der|Im|IM|Auf der|Calle|CALLE|Avenida|AVENIDA|Via|VIA|Plaza|PLAZA|Paseo|PASEO)\s+" + _UP + r"),?\s+\d{1,4}\s?[a-zA-Z]?\b)"
+        r"(?:,\s+" + _FLAT + r"\s+\w+)?(?:,?\s+" + _UP + r"\s+\d{4,6}\b|,\s*(?:\d{4,5}\s+)?" + _UP + r")?"
     ),
     "name": re.compile(
         r"\b(?:" + TITLE + r"\.?\s+(?:" + _UP + r"\s+|[A-Z]\.\s*){0,2}" + _UP + r"|(?:[A-ZÀ-ÖØ-Þ]\.\s*){1,2}" + _UP + r"|" + _UP + r",\s+" + _UP + r"|" + _UP + r"(?:\s+[A-Z]\.)?\s+" + _UP + r")"
@@ -121,37 +126,68 @@ def _shape(text: str, span: str, start: int, end: int, kind: str) -> list[float]
     ]
 
 
-def propose(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all spans that could be personal information."""
-    out = []
-    for kind, pattern in GENERATORS.items():
-        if kind == "email" and "@" not in text and "＠" not in text and not re.search(r"(?i)\bat\b", text):
-            continue
-        at = 0
-        while m := pattern.search(text, at):
-            start, end = m.span()
-            span = m.group()
-            at = end
-            if kind == "phone" and not 7 <= sum(c.isdigit() for c in span) <= 16:
-                continue
-            if kind == "id_number" and sum(c.isdigit() for c in span) < 6:
+#: Without one of these a text has no street line.
+_STREET_HINTS = (
+    "street", "road", " rd", "avenue", " ave", "lane", " ln", "crescent", "drive", "court", "close", " way", "square", "boulevard", "blvd", "terrace", "place", " row", "mews", "highway", "parkway",
+    " rue ", "chemin", "calle ", "via ", "plaza", "allée", "straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ufer", "avenida", "paseo", "am ", "im ", "an der ", "auf der ",
+)
+_SHORT_STREET = re.compile(r"\d[A-Za-z]?\s+[A-Z]\w+\s+(?:[A-Z]\w+\s+)?(?:S[Tt]|D[Rr]|C[Tt]|P[Ll]|S[Qq])\b")
+_AT = re.compile(r"[(\[{<] ?[aA][tT] ?[)\]}>]|\s[aA][tT]\s+[\w-]+(?:\.[A-Za-z]| [dD][oO][tT] | ?[(\[{<] ?[dD])")
+_USER = re.compile(r"[\w.+%'-]{1,64}\s?\Z")
+_MAIL_SIGNS = re.compile(r"(?i)\bdot\b|[(\[{<]\s?at|\.[a-z]{2,}$")
+
+
+def _mail_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans around every sign that may stand for the @ of an address; those with a real one come first."""
+    out: list[tuple[str, int, int]] = []
+    for signs, pattern in ((re.compile("[@＠]"), _MAIL), (_AT, _SPOKEN_MAIL)):
+        last = 0
+        for sign in signs.finditer(text):
+            if sign.start() < last or any(s <= sign.start() < e for _, s, e in out):
                 continue
-            if kind == "email" and not ("@" in span or "＠" in span or re.search(r"(?i)\bdot\b|[(\[{<]\s?at|\.[a-z]{2,}$", span)):
-                at = start + max(1, re.search(r"\s|$", span).start())
+            user = _USER.search(text, max(last, sign.start() - 66), sign.start())
+            m = user and pattern.match(text, user.start(), sign.end() + 120)
+            if not m or any(m.start() < e and s < m.end() for _, s, e in out):
                 continue
-            if kind == "name":
-                low = [w.casefold() for w in re.findall(r"[^\W\d_]{2,}", span)] or [""]
-                titled = re.match(TITLE + r"\b", span)
-                initial = re.search(r"\b[A-Z]\.", span)
-                if not titled and not initial and not any(w in GIVEN for w in low) and (span.isupper() or not (_SURNAME.search(low[-1]) and _CUES["name"].search(text[max(0, start - 26) : start] + text[end : end + 14]))):
-                    words = list(re.finditer(r"\S+", span))
-                    at = start + (words[1].start() if len(words) > 1 else len(span))
-                    continue
-                if not titled and any(w in _NOT_NAME for w in low):
-                    words = list(re.finditer(r"\S+", span))
-                    at = start + (words[1].start() if len(words) > 1 else len(span))
-                    continue
-            out.append((kind, start, end))
+            if pattern is _MAIL or _MAIL_SIGNS.search(m.group()):
+                out.append(("email", *m.span()))
+                last = m.end()
+    return out
+
+
+def _is_name(text: str, start: int, end: int) -> bool:
+    """Whether a capitalised sequence could be a person: title, initial, given name, or a surname's ending next to a cue."""
+    span = text[start:end]
+    low = [w.casefold() for w in re.findall(r"[^\W\d_]{2,}", span)] or [""]
+    if re.match(TITLE + r"\b", span):
+        return True
+    if any(w in _NOT_NAME for w in low):
+        return False
+    if any(w in GIVEN for w in low) or re.search(r"\b[A-Z]\.", span):
+        return True
+    return not span.isupper() and bool(_SURNAME.search(low[-1]) and _CUES["name"].search(text[max(0, start - 26) : start] + text[end : end + 14]))
+
+
+def propose(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all spans that could be personal information."""
+    out = _mail_spans(text)
+    for m in GENERATORS["phone"].finditer(text):
+        if 7 <= sum(map(str.isdigit, m.group())) <= 16:
+            out.append(("phone", *m.span()))
+    for m in GENERATORS["id_number"].finditer(text):
+        if m.end() - m.start() >= 6 and sum(map(str.isdigit, m.group())) >= 6:
+            out.append(("id_number", *m.span()))
+    low = text.lower()
+    if any(k in low for k in _STREET_HINTS) or _SHORT_STREET.search(text):
+        out += [("address", *m.span()) for m in GENERATORS["address"].finditer(text)]
+    at = 0
+    while m := GENERATORS["name"].search(text, at):
+        if _is_name(text, *m.span()):
+            out.append(("name", *m.span()))
+            at = m.end()
+        else:  # the next may begin at its second word
+            second = re.search(r"\s\S", m.group())
+            at = m.start() + second.start() + 1 if second else m.end()
     return out
 
 
