@@ -8,7 +8,7 @@ salted in the join. Whole groups then go to splits: large groups, at most ``larg
 others by the hash of the group into ranges proportional to what the splits still lack.
 
 Results by case: null and blank ids link nothing; a record without any entity is its own group; a repeated record id
-links its rows; ids compare without case and surrounding white space; an empty table gives no rows.
+links its rows; rows without an id link their entities but come out nowhere; ids compare without case and surrounding white space; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def record_groups(records: DataFrame, id_col: str = "qa_id", entities: tuple[str
     keys = [F.concat(F.lit(f"{i}:"), clean_id(F.col(c))) for i, c in enumerate(entities)]
     rows = records.select(F.col(id_col).alias("record"), *[k.alias(f"e{i}") for i, k in enumerate(keys)]).distinct()
     first = F.coalesce(*[F.col(f"e{i}") for i in range(len(keys))], F.concat(F.lit("r:"), F.col("record")))
-    rows = rows.withColumn("first", first)
+    rows = Stage(rows.withColumn("first", first), "records").df
     between = [rows.select(F.col("first").alias("a"), F.col(f"e{i}").alias("b")).where("b is not null").distinct() for i in range(len(keys))]
     repeated = rows.groupBy("record").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.collect_set("first").alias("all"))
     repeated = repeated.where("a <> b").select("a", F.explode("all").alias("b"))
@@ -87,12 +87,12 @@ def record_groups(records: DataFrame, id_col: str = "qa_id", entities: tuple[str
         links = links.unionByName(other)
     roots = Stage(connected_components(links, "a", "b"), "roots").df
     roots = roots.withColumnRenamed("node", "first").withColumnRenamed("root", "group")
-    return hub_join(rows, roots, "first").drop("first")
+    return Stage(hub_join(rows, roots, "first").drop("first"), "groups").df
 
 
 def found_groups(records: DataFrame) -> DataFrame:
     """p1_found: (qa_id, group_doc_id) of groups with at least two different ids."""
-    rows = record_groups(records)
+    rows = record_groups(records).where("record is not null")
     sizes = rows.groupBy("group").agg(
         F.min("e1").alias("doc"), F.min("record").alias("lo"), F.max("record").alias("hi")
     )
@@ -105,7 +105,7 @@ def assign_splits(records: DataFrame, targets: DataFrame, large: int = 10_000) -
 
     The driver sees the targets and the groups holding more than 1/``large`` of the ids, so at most ``large`` of them.
     """
-    rows = record_groups(records).select("record", "group").distinct()
+    rows = record_groups(records).where("record is not null").select("record", "group").distinct()
     sizes = Stage(rows.groupBy("group").agg(F.count("*").alias("n")), "sizes").df
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shares = {r["split_name"]: float(r["share"]) for r in targets.select("split_name", "share").distinct().collect()}
