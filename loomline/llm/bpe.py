@@ -33,7 +33,6 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
-BUCKETS = 16384
 NONE = 2**31 - 1
 #: Pieces with more bytes are merged by the tokenizer library's heap, as the fold's cost is quadratic in the piece.
 FOLD_BYTES = 400
@@ -44,20 +43,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    """A dictionary as one constant: an array of small maps, addressed by the CRC of the key."""
-    buckets: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
-    for key, value in entries.items():
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<map<string,{kind}>>")
+class Lookup:
+    """A dictionary as one constant of the plan: an array of small maps, addressed by the CRC of the key."""
 
+    def __init__(self, entries: dict[str, object], kind: str = "int"):
+        self.buckets = max(16, 1 << max(0, len(entries) // 4).bit_length())
+        parts: list[dict[str, object]] = [{} for _ in range(self.buckets)]
+        for key, value in entries.items():
+            parts[zlib.crc32(key.encode()) % self.buckets][key] = value
+        self.literal = F.from_json(F.lit(json.dumps(parts, separators=(",", ":"))), f"array<map<string,{kind}>>")
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
+    def __call__(self, key: Column) -> Column:
+        """The value of a key, null if there is none."""
+        return F.try_element_at(F.get(self.literal, (F.crc32(key.cast("binary")) % self.buckets).cast("int")), key)
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Lookup:
     """Ranks by byte string; byte strings are written in Latin-1, one character a byte."""
-    return _literal({token.decode("latin-1"): rank for token, rank in ranks.items()}, "int")
+    return Lookup({token.decode("latin-1"): rank for token, rank in ranks.items()})
 
 
-def word_literal(ranks: dict[bytes, int], folded: dict[str, list[int]] | None = None) -> Column:
+def word_literal(ranks: dict[bytes, int], folded: dict[str, list[int]] | None = None) -> Lookup:
     """Ids by piece: tokens that are whole pieces and, if given, folded pieces."""
     entries: dict[str, list[int]] = dict(folded or {})
     for token, rank in ranks.items():
@@ -65,19 +71,14 @@ def word_literal(ranks: dict[bytes, int], folded: dict[str, list[int]] | None =
             entries[token.decode()] = [rank]
         except UnicodeDecodeError:
             pass
-    return _literal(entries, "array<int>")
-
-
-def look_up(literal: Column, key: Column) -> Column:
-    """The value of a key, null if there is none."""
-    return F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
+    return Lookup(entries, "array<int>")
 
 
 def pieces_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def fold_merges(literal: Column, data: Column) -> Column:
+def fold_merges(literal: Lookup, data: Column) -> Column:
     """Ids of a byte string of at least one byte: adjacent parts of the lowest rank merge until none can."""
 
     def join(acc: Column, i: Column) -> Column:
@@ -85,7 +86,7 @@ def fold_merges(literal: Column, data: Column) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         ranks = F.transform(
-            F.sequence(F.lit(0), F.size(acc) - 2), lambda i: F.coalesce(look_up(literal, join(acc, i)), F.lit(NONE))
+            F.sequence(F.lit(0), F.size(acc) - 2), lambda i: F.coalesce(literal(join(acc, i)), F.lit(NONE))
         )
         bound = F.array(F.struct(ranks.alias("r"), F.array_min(ranks).alias("best")))
         merged = F.transform(
@@ -101,7 +102,7 @@ def fold_merges(literal: Column, data: Column) -> Column:
 
     n = F.length(data)
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(data, i, F.lit(1)))
-    return F.transform(F.aggregate(F.sequence(F.lit(1), n), parts, step), lambda b: look_up(literal, b))
+    return F.transform(F.aggregate(F.sequence(F.lit(1), n), parts, step), lambda b: literal(b))
 
 
 def _library_udf(path: str):
@@ -117,7 +118,7 @@ def _library_udf(path: str):
     return encode
 
 
-def encode_words(words: DataFrame, literal: Column, path: str) -> DataFrame:
+def encode_words(words: DataFrame, literal: Lookup, path: str) -> DataFrame:
     """(piece, ids) of a table of distinct pieces."""
     raw = F.decode(F.encode("piece", "UTF-8"), "ISO-8859-1")
     short = words.where(F.octet_length("piece") <= FOLD_BYTES).select("piece", fold_merges(literal, raw).alias("ids"))
@@ -142,9 +143,10 @@ def encode_corpus(
     one = texts if unique_ids else texts.groupBy("id").agg(F.min("text").alias("text"))
     unknown = (
         texts.select(F.explode(F.array_distinct(pieces_of(F.col("text")))).alias("piece"))
-        .where(look_up(tokens, F.col("piece")).isNull())
+        .where(tokens(F.col("piece")).isNull())
         .distinct()
     )
+    unknown = Stage(unknown, "unknown").df
     folded = Stage(encode_words(unknown, rank_literal(ranks), path), "pieces").df
     if folded.limit(literal_words + 1).count() <= literal_words:
         words = {r["piece"]: r["ids"] for r in folded.collect()}
@@ -152,18 +154,18 @@ def encode_corpus(
     return _encode_joined(one, folded, tokens, block).withColumnRenamed("id", id_col)
 
 
-def _encode_inline(one: DataFrame, words: Column) -> DataFrame:
+def _encode_inline(one: DataFrame, words: Lookup) -> DataFrame:
     """All pieces by literal look-ups."""
-    return one.select("id", F.flatten(F.transform(pieces_of(F.col("text")), lambda p: look_up(words, p))).alias("ids"))
+    return one.select("id", F.flatten(F.transform(pieces_of(F.col("text")), lambda p: words(p))).alias("ids"))
 
 
-def _encode_joined(one: DataFrame, folded: DataFrame, tokens: Column, block: int) -> DataFrame:
+def _encode_joined(one: DataFrame, folded: DataFrame, tokens: Lookup, block: int) -> DataFrame:
     """Pieces outside the vocabulary by a join, in blocks of a text, so neither a long text nor a large dictionary hurts."""
     pieces = one.select("id", pieces_of(F.col("text")).alias("p"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("p") - 1, F.lit(0)), F.lit(block))
     blocks = pieces.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("p", i + 1, F.lit(block)))).alias("k", "p"))
     occurrences = blocks.select("id", "k", F.posexplode("p").alias("pos", "piece"))
-    seen = occurrences.withColumn("ids", look_up(tokens, F.col("piece")))
+    seen = occurrences.withColumn("ids", tokens(F.col("piece")))
     direct = seen.where("ids is not null").select("id", "k", "pos", "ids")
     looked = seen.where("ids is null").select("id", "k", "pos", "piece").join(folded, "piece").select("id", "k", "pos", "ids")
     by_block = (
