@@ -31,11 +31,11 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
+    """The folder all executors share: spark.checkpoint.dir of the session, else the context's checkpoint folder.
 
-    Only where that is unset (tests, one machine) a local folder is made and noted in the session.
+    Only where both are unset (tests, one machine) a local folder is made and noted in the session.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -48,6 +48,9 @@ def _hadoop_path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_STAGES: list[Stage] = []
+
+
 class Stage:
     """A table written to the shared folder, so that later steps start from files, not from lineage.
 
@@ -59,10 +62,19 @@ class Stage:
         self.at = f"{shared_folder(self.spark)}/loomline-{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.at)
         self.df = self.spark.read.schema(df.schema).parquet(self.at)
+        _STAGES.append(self)
 
     def drop(self) -> None:
         path, fs = _hadoop_path(self.spark, self.at)
         fs.delete(path, True)
+        if self in _STAGES:
+            _STAGES.remove(self)
+
+
+def release_stages() -> None:
+    """Deletes the staged tables of this process. For the caller, once the results that read them are written."""
+    for stage in list(_STAGES):
+        stage.drop()
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
