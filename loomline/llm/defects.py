@@ -55,9 +55,17 @@ FUNCTION_WORDS = {
     "es": "el los las del y una en para por con se al sin queda ser tras cuando qué cómo dónde hay por aunque ya que ha sido hace sea su sus tienen según también pero desde puede debe antes después hasta lo si vale es muy solo",
 }
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: [k for k, s in _SETS.items() if w in s] for s in _SETS.values() for w in s}
 _WORD = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
-_REFUSAL = re.compile("(?is)" + "|".join(f"(?:{p})" for p in REFUSAL))
+_SPLIT = [alternative for p in REFUSAL for alternative in re.split(r"\|(?=\^|\\b)", p)]
+_REFUSAL_START = re.compile("(?is)" + "|".join(f"(?:{p})" for p in _SPLIT if p.startswith("^")))
+_REFUSAL_INSIDE = re.compile("(?is)" + "|".join(f"(?:{p})" for p in _SPLIT if not p.startswith("^")))
+#: Without one of these a text is no refusal; substring tests are far cheaper than the patterns.
+_REFUSAL_HINTS = (
+    "i ", "i'", "i’", "my ", "sorry", "apolog", "unfortunately", "regrettably", "not ", "n't", "n’t", "no ", "insufficient", "leider", "tut mir", "entschuldigung", "ich ", "als ki", "désol", "je ", "malheureusement",
+    "en tant", "lo siento", "lament", "perd", "como ",
+)
 _LEAD, _TAIL = re.compile(LEAD), re.compile(TAIL)
 #: A text may stop after these: sentence marks, closing quotes and brackets, code.
 _ENDED = re.compile(r"(?:[.!?…。！？][\"'”’»)\]*_]*|[)\]\"”’»`;])$")
@@ -80,7 +88,10 @@ def language(text: str) -> str | None:
     words = _WORD.findall(_CODE.sub(" ", text).casefold())
     if len(words) < 4:
         return None
-    score = {k: sum(w in s for w in words) for k, s in _SETS.items()}
+    score = dict.fromkeys(_SETS, 0)
+    for word in words:
+        for k in _LANGUAGES.get(word, ()):
+            score[k] += 1
     first, second = sorted(score.values(), reverse=True)[:2]
     if first < max(2, 0.12 * len(words)) or first < 1.3 * second:
         return None
@@ -101,14 +112,24 @@ def is_empty(answer: str | None) -> bool:
     return not words or words in EMPTY
 
 
+def is_refusal(answer: str) -> bool:
+    """Whether an answer declines; patterns that begin with ^ are tried at its start only."""
+    low = answer.lower()
+    if not any(h in low for h in _REFUSAL_HINTS):
+        return False
+    return bool(_REFUSAL_START.match(answer) or _REFUSAL_INSIDE.search(answer))
+
+
 def unfinished(answer: str, shortened: bool, spike: bool) -> bool:
     """Whether an answer stops inside a sentence or word."""
     text = re.sub(r"[\s​-‏⁠﻿]+$", "", answer)
     if shortened:
         return True
-    if text.endswith("```") or _BARE_END.search(text) or _ADDRESS_END.search(text):
+    tail = text.rsplit("\n", 1)[-1]
+    tail = tail if len(tail) <= 240 else "…" + tail[-240:]
+    if text.endswith("```") or (not _ENDED.search(tail[-8:]) and (_BARE_END.search(tail) or _ADDRESS_END.search(tail))):
         return False
-    if text.count("`") % 2 or not _ENDED.search(text):
+    if text.count("`") % 2 or not _ENDED.search(tail[-8:]):
         return True
     return spike and bool(_OPEN_END.search(text))
 
@@ -120,7 +141,7 @@ def defect(question: str | None, answer: str | None, shortened: bool = False, sp
     q, a = question or "", answer.strip()
     if copies(q, a):
         return "copies_question"
-    if _REFUSAL.search(a) and len(a) < 400:
+    if len(a) < 400 and is_refusal(a):
         return "refusal"
     asked, said = language(q), language(a)
     if asked and said and asked != said:
