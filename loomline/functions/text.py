@@ -168,7 +168,7 @@ def clean_rewrite(output: Column, fallback: Column) -> Column:
     field = F.coalesce(*[blank_to_null(F.get_json_object(F.nullif(blob, F.lit("")), f"$.{k}")) for k in ("query", "search_query", "rewritten_query", "question")])
     text = F.regexp_replace(F.coalesce(field, bare), r"(?i)^\s*(?:rewritten|standalone|search|retrieval)?\s*(?:query|question)\s*:\s*", "")
     text = F.regexp_replace(collapse(text), r"""^["'`]+|["'`]+$""", "")
-    return F.when(text.isNull() | (text == "") | F.lower(text).isin("none", "null", "n/a", "unchanged"), fallback).otherwise(text)
+    return F.when(text.isNull() | (text == "") | F.lower(text).isin("same as above", "unchanged", "n/a", "none"), fallback).otherwise(text)
 
 
 def is_heading(text: Column) -> Column:
@@ -198,10 +198,34 @@ def safe_file_name(name: Column, most: int = 80) -> Column:
 
 
 def answer_time(seconds: Column) -> Column:
-    """'850 ms', '12.3 s' or '2 min 5 s'."""
+    """'850 ms', '12.3 s' or '2m 5.0s'; '' for null and negative times."""
+    s = seconds.cast("double")
     return (
-        F.when(seconds.isNull() | (seconds < 0), "")
-        .when(seconds < 1, F.format_string("%d ms", F.round(seconds * 1000).cast("int")))
-        .when(seconds < 60, F.format_string("%.1f s", seconds.cast("double")))
-        .otherwise(F.format_string("%d min %d s", F.floor(seconds / 60).cast("int"), F.floor(seconds % 60).cast("int")))
-    )
+        F.when(s.isNull() | (s < 0), "").when(s < 1, F.format_string("%.0f ms", s * 1000)).when(s < 60, F.format_string("%.1f s", s))
+        .otherwise(F.format_string("%dm %.1fs", F.floor(s / 60).cast("int"), s - F.floor(s / 60) * 60))
+    )
+
+
+def score_explanation(score: Column, first: Column, rerank: Column, recency: Column) -> Column:
+    """The parts of a final score; parts that are null are left out."""
+    part = lambda label, c: F.when(c.isNotNull(), F.format_string(f"{label}=%.4f", c.cast("double")))
+    return F.concat_ws(", ", F.format_string("final=%.4f", F.coalesce(score.cast("double"), F.lit(0.0))), part("vector", first), part("rerank", rerank), part("recency_bonus", recency))
+
+
+def page_label(source_ref: Column, metadata: Column) -> Column:
+    """The pages of a source: metadata, else the reference's pages or section, else 'unknown'."""
+    digits = lambda k: F.when(metadata[k].rlike(r"^\d+$"), metadata[k])
+    span = page_span(F.coalesce(digits("page_start"), digits("page")), digits("page_end"))
+    named = F.coalesce(F.nullif(F.regexp_extract(source_ref, r"pages?=(\d+(?:-\d+)?)", 1), F.lit("")), F.nullif(F.regexp_extract(source_ref, r"section=(\d+(?:-\d+)?)", 1), F.lit("")))
+    return F.coalesce(F.nullif(span, F.lit("")), named, F.lit("unknown"))
+
+
+def source_line(kind: Column, source_ref: Column, record_type: Column, metadata: Column, score: Column, first: Column) -> Column:
+    """One line about a retrieved source, by its kind."""
+    name = lambda *keys: F.coalesce(*[blank_to_null(metadata[k]) for k in keys], F.lit("unknown"))
+    scores = F.concat_ws(", ", F.format_string("score=%.4f", F.coalesce(score.cast("double"), F.lit(0.0))), F.when(first.isNotNull(), F.format_string("vec=%.4f", first.cast("double"))))
+    ref = F.coalesce(source_ref, F.lit("unknown"))
+    pdf = F.format_string("- PDF: `%s` | chapter: `%s` | page: `%s` (%s)", name("pdf_title", "title", "file_name"), name("section_title", "active_heading"), page_label(ref, metadata), scores)
+    chat = F.format_string("- Webex Space: `%s` | Timestamp: `%s` (%s)", name("room_title", "title"), name("created_at"), scores)
+    other = F.format_string("- `%s` [%s] (%s)", ref, F.coalesce(record_type, F.lit("chunk")), scores)
+    return F.when(kind == "pdf", pdf).when(kind == "webex", chat).otherwise(other)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions import values as V
+from loomline.models import HashEmbedder, OverlapScorer
 from loomline.operators import chunking, qa, sections, sparse, threads
 from loomline.plans import answers, budget, evaluate, feedback, index, retrieve
 from loomline.session import load
@@ -468,6 +469,17 @@ def source_cap(spark: SparkSession, base: str) -> DataFrame:
 _NOW = "2026-01-01 00:00:00"
 
 
+@query()
+def search_pipeline(spark: SparkSession, base: str) -> DataFrame:
+    """Evaluation questions against chunks and pairs, from index rows to capped results."""
+    rows = index.index_rows(load(spark, base, "chunk_records"), load(spark, base, "qa_records")).dropDuplicates(["point_id"])
+    cases = load(spark, base, "eval_cases").select(F.col("query_id").alias("query"), F.col("question").alias("search")).distinct()
+    found = retrieve.search(rows, cases, F.lit(_NOW).cast("timestamp"), HashEmbedder(64), fetch=40, k=10, most_per_source=4, scorer=OverlapScorer(), pair_boost=0.01)
+    line = T.source_line(V.source_kind(F.col("source_type"), F.col("metadata"), F.col("source_ref")), F.col("source_ref"), F.col("record_type"), F.col("metadata"), F.col("score"), F.col("first_score"))
+    why = T.score_explanation(F.col("score"), F.col("first_score"), F.col("rerank_score"), F.col("recency.bonus"))
+    return found.select("query", "rank", "chunk_id", "score", line.alias("line"), why.alias("why"))
+
+
 @query(f"""
 WITH r AS (SELECT DISTINCT qa_id, lower({_FLAT('question')}) AS q, lower(trim(coalesce(source_type, ''))) AS st, source_ref, metadata.chunk_metadata AS m FROM qa_records WHERE question IS NOT NULL),
 k AS (SELECT *, CASE WHEN st <> '' THEN st WHEN nullif(trim(m['source_type']), '') IS NOT NULL THEN lower(trim(m['source_type'])) WHEN lower(source_ref) LIKE 'webex::%' THEN 'webex' WHEN lower(source_ref) LIKE 'pdf::%' THEN 'pdf' ELSE '' END AS kind,
