@@ -69,8 +69,8 @@ def skeleton_of(word: str) -> str:
     return key
 
 
-def _maybe(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _maybe(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def joined_words(body: Column) -> Column:
@@ -143,7 +143,7 @@ def pair_counts(split: DataFrame, sus: DataFrame) -> DataFrame:
 
     Pairs travel as 64-bit hashes, so the pass over all texts moves numbers only.
     """
-    named = split.join(_maybe(sus), "rid").select("rid", "w", F.map_from_entries(F.transform("cands", lambda c: F.struct(c["word"], F.transform(c["to"], lambda t: t["cand"])))).alias("m"))
+    named = split.join(_maybe(sus, BROADCAST_ROWS // 5), "rid").select("rid", "w", F.map_from_entries(F.transform("cands", lambda c: F.struct(c["word"], F.transform(c["to"], lambda t: t["cand"])))).alias("m"))
     at = named.select("rid", "m", "w", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.map_contains_key("m", F.get("w", i))).alias("is"))
     near = at.select("rid", "m", F.explode(F.transform("is", lambda i: F.struct(F.get("w", i).alias("o"), F.when(i > 0, F.get("w", i - 1)).alias("l"), F.get("w", i + 1).alias("r")))).alias("x")).select("rid", "m", "x.*")
     near = Stage(near, "suspicious").df
