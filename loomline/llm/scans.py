@@ -43,6 +43,8 @@ PAGE_EDGE = re.compile(rf"(?i)^(?:(?:page|p\.|seite|página)?\s*\d{{1,4}}\s*[|·
 _EDGE_SQL = r"(?i)^(?:(?:page|p\.|seite|página)?\s*\d{1,4}\s*[|·–—/-]\s*)|(?:\s{2,}|\s*[|·]\s*)(?:page|p\.|seite|página)?\s*\d{1,4}(?:\s*(?:of|/|von|de)\s*\d{1,4})?\W*$"
 CHAPTER = re.compile(r"(?i)^(?:chapter|kapitel|chapitre|cap[íi]tulo|section|abschnitt|part)\s+(?:\d{1,3}|[ivxlc]+)\b[^.!?]{0,50}$")
 BREAK = r"(\p{L}+)[-­‐¬][ \t]*(?:\r?\n)+[ \t]*(\p{Ll}+)"
+#: What a broken word needs; starts at the hyphen, so it costs far less than the whole pattern.
+BREAK_HINT = r"[-‐][ \t]*\r?\n|[\x{ad}¬]"
 _HYPHENS = "-­‐¬"
 _LIST = re.compile(r"^\s*(?:[-*•+]\s|\d{1,3}[.)]\s|#{1,6}\s|>|\||```|~~~)")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -75,7 +77,7 @@ def _maybe(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def joined_words(body: Column) -> Column:
     """Words of a body, those broken at line ends in one piece."""
-    return words(F.regexp_replace(body, BREAK, "$1$2"))
+    return words(F.when(body.rlike(BREAK_HINT), F.regexp_replace(body, BREAK, "$1$2")).otherwise(body))
 
 
 def vocabulary(split: DataFrame) -> DataFrame:
@@ -311,7 +313,7 @@ def scan_repairs(docs: DataFrame, scanned: str = "pdf") -> DataFrame:
     entry = F.transform("cands", lambda c: F.concat_ws("\t", c["word"], c["own"].cast("string"), F.array_join(F.transform(c["to"], lambda t: F.concat_ws(" ", t["cand"], t["score"].cast("string"))), "\t")))
     facts = sus.select("rid", F.array_join(entry, "\n").alias("cands")).join(pairs, "rid", "left")
     facts = facts.join(heads.select("rid", F.array_join("keys", "\n").alias("keys")), "rid", "full").join(keep.select("rid", F.array_join("keep", "\n").alias("keep")), "rid", "left")
-    evidence = F.col("body").rlike(BREAK) | F.col("body").rlike(r"(?im)^[\s\-–—\[\](){}|.·*]{0,8}(?:page|pg\.?|p\.|seite|s\.|página)?[ \t]*(?:\d{1,4}|[ivxlc]{1,7})[ \t]*(?:(?:of|/|von|de|sur)[ \t]*\d{1,4})?[ \t\-–—\[\](){}|.·*]{0,8}$")
+    evidence = (F.col("body").rlike(BREAK_HINT) & F.col("body").rlike(BREAK)) | F.col("body").rlike(r"(?im)^[\s\-–—\[\](){}|.·*]{0,8}(?:page|pg\.?|p\.|seite|s\.|página)?[ \t]*(?:\d{1,4}|[ivxlc]{1,7})[ \t]*(?:(?:of|/|von|de|sur)[ \t]*\d{1,4})?[ \t\-–—\[\](){}|.·*]{0,8}$")
     titled = F.exists("known", lambda k: F.contains(F.lower("body"), F.concat(F.lit("\n"), F.lower(k)))) | F.col("body").rlike(r"(?im)^\W{0,3}(?:\d+ \| )?(?:chapter|kapitel|chapitre|cap[íi]tulo) \d+")
     noisy = rows.join(facts, "rid", "left").where(F.col("cands").isNotNull() | F.col("keys").isNotNull() | F.coalesce(titled, F.lit(False)) | F.coalesce(evidence, F.lit(False)))
     noisy = noisy.withColumn("known", F.array_join("known", "\n"))
