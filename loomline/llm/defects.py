@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from loomline.operators.skew import hub_join
 from loomline.session import Stage
 
+#: Shortened answers are broadcast up to so many rows (an answer each), counted before.
+BROADCAST_ROWS = 20_000
+
 #: Answers that only stand for nothing, after removal of brackets, quotes and punctuation.
 EMPTY = frozenset(
     "n a|na|none|null|nil|nan|tbd|tba|todo|answer|the answer|your answer|answer here|no answer|no response|not available|not applicable|unknown|"
@@ -167,7 +170,11 @@ def shortened_answers(answers: DataFrame) -> DataFrame:
 
 
 def length_spikes(answers: DataFrame, least: int = 20, factor: float = 4.0, around: int = 10) -> DataFrame:
-    """(length) at which ``factor`` times as many answers stop without a mark as on average at the lengths ``around`` it."""
+    """(length) at which ``factor`` times as many answers stop without a mark as on average at the lengths ``around`` it.
+
+    Each holds at least 1/10,000 of all answers, so there are at most 10,000.
+    """
+    least = max(least, answers.count() // 10_000)
     bare = answers.where(~F.col("answer").rlike(r"[.!?…\"')\]”’»`]\s*$")).groupBy(F.length("answer").alias("length")).agg(F.count("*").alias("n"))
     near = bare.select(F.explode(F.sequence(F.col("length") - around, F.col("length") + around)).alias("length"), "n").groupBy("length").agg(F.sum("n").alias("around"))
     total = bare.join(near, "length")
@@ -180,7 +187,10 @@ def find_defects(records: DataFrame, id_col: str = "qa_id") -> DataFrame:
     said = Stage(rows.where(F.col("answer").isNotNull()).select("answer").distinct(), "answers").df
     short = shortened_answers(said).where("shortened").select("answer", F.lit(True).alias("shortened"))
     spikes = length_spikes(said)
-    facts = hub_join(rows, short, "answer", "left").withColumn("length", F.length("answer"))
+    short = Stage(short, "short").df
+    few = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    facts = rows.join(F.broadcast(short), "answer", "left") if few else hub_join(rows, short, "answer", "left")
+    facts = facts.withColumn("length", F.length("answer"))
     facts = facts.join(F.broadcast(spikes.withColumn("spike", F.lit(True))), "length", "left")
 
     @F.pandas_udf("string")
