@@ -80,10 +80,11 @@ def record_groups(records: DataFrame, id_col: str = "qa_id", entities: tuple[str
     first = F.coalesce(*[F.col(f"e{i}") for i in range(len(keys))], F.concat(F.lit("r:"), F.col("record")))
     rows = Stage(rows.withColumn("first", first), "records").df
     between = [rows.select(F.col("first").alias("a"), F.col(f"e{i}").alias("b")).where("b is not null").distinct() for i in range(len(keys))]
-    repeated = rows.groupBy("record").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.collect_set("first").alias("all"))
-    repeated = repeated.where("a <> b").select("a", F.explode("all").alias("b"))
+    least = rows.groupBy("record").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b").select("record", "a")
+    least = Stage(least, "repeated").df
+    repeated = [hub_join(rows.select("record", "first"), least, "record").select("a", F.col("first").alias("b")).distinct()] if least.limit(1).count() else []
     links = between[0]
-    for other in [*between[1:], repeated, rows.where("first like 'r:%'").select(F.col("first").alias("a"), F.col("first").alias("b"))]:
+    for other in [*between[1:], *repeated, rows.where("first like 'r:%'").select(F.col("first").alias("a"), F.col("first").alias("b"))]:
         links = links.unionByName(other)
     roots = Stage(connected_components(links, "a", "b"), "roots").df
     roots = roots.withColumnRenamed("node", "first").withColumnRenamed("root", "group")
