@@ -49,22 +49,21 @@ def _blank_to_null(c: str) -> Column:
     return F.nullif(strip(F.col(c)), F.lit(""))
 
 
-def latest_deliveries(messages: DataFrame) -> DataFrame:
-    """One row per trimmed message id: the latest ``updated``, then the latest ``ingested_at``."""
-    rows = messages.select(
-        _blank_to_null("message_id").alias("id"),
-        F.struct(
-            iso_instant(F.col("updated")).alias("edited"),
-            F.col("ingested_at").alias("at"),
-            F.col("text"),
-            _blank_to_null("parent_id").alias("parent"),
-            _blank_to_null("thread_id").alias("thread"),
-            F.col("author"),
-            F.col("created"),
-            F.col("person_email").alias("email"),
-        ).alias("m"),
-    ).where("id is not null")
-    return rows.groupBy("id").agg(F.max("m").alias("m")).select("id", "m.*")
+EXTRA = ("author", "created", "text")
+
+
+def latest_deliveries(messages: DataFrame, extra: tuple[str, ...] = EXTRA) -> DataFrame:
+    """One row per trimmed message id: the latest ``updated``, then the latest ``ingested_at``.
+
+    What the texts say about a message is decided before the shuffle, so they travel only if ``extra`` asks for them.
+    """
+    fields = [
+        iso_instant(F.col("updated")).alias("edited"), F.col("ingested_at").alias("at"), readable(F.col("text")).alias("ok"), _blank_to_null("parent_id").alias("parent"),
+        _blank_to_null("thread_id").alias("thread"), F.lower(strip(F.coalesce("author", F.lit("")))).alias("who"), F.coalesce(F.col("person_email").rlike(BOT), F.lit(False)).alias("bot"),
+        iso_instant(F.col("created")).alias("time"),
+    ]
+    rows = messages.select(_blank_to_null("message_id").alias("id"), F.struct(*fields, *extra).alias("m")).where("id is not null")
+    return rows.groupBy("id").agg(F.max("m").alias("m")).select("id", "m.*").drop("edited", "at")
 
 
 def resolve_threads(latest: DataFrame, most: int = 40) -> DataFrame:
@@ -103,21 +102,14 @@ def _number(turns: DataFrame, hot: int) -> DataFrame:
     return small.unionByName(large.select(small.columns))
 
 
-def conversations(messages: DataFrame, hot: int = 100_000) -> DataFrame:
-    """(thread_id, turn_no, message_id, author, created, role, text) of the kept conversations.
+def conversations(messages: DataFrame, hot: int = 100_000, extra: tuple[str, ...] = EXTRA) -> DataFrame:
+    """(thread_id, turn_no, message_id, role and ``extra`` columns) of the kept conversations.
 
     role: user for the starter of the thread, system for bots, assistant for all others.
     """
-    latest = Stage(latest_deliveries(messages), "latest").df
+    latest = Stage(latest_deliveries(messages, extra), "latest").df
     named = latest.join(resolve_threads(latest), "id", "left").withColumn("thread", F.coalesce("thread", "resolved", "id")).drop("resolved")
-    who = F.lower(strip(F.coalesce("author", F.lit(""))))
-    named = Stage(
-        named.select(
-            "id", "thread", "parent", "author", "created", "text", iso_instant(F.col("created")).alias("time"), who.alias("who"),
-            F.coalesce(F.col("email").rlike(BOT), F.lit(False)).alias("bot"), readable(F.col("text")).alias("ok"),
-        ),
-        "threads",
-    ).df
+    named = Stage(named, "threads").df
     ids = named.select(F.col("id").alias("parent"), F.lit(1).alias("there"))
     checked = hub_join(named.where("parent is not null").select("thread", "parent"), ids, "parent", "left")
     broken = checked.where("there is null").select("thread").distinct()
@@ -128,5 +120,5 @@ def conversations(messages: DataFrame, hot: int = 100_000) -> DataFrame:
     kept = hub_join(turns.withColumn("is_reply", F.col("id") != F.col("thread")), state.where("answered").select("thread", "n"), "thread")
     role = F.when(F.col("bot"), "system").when(F.col("who") == F.col("starter"), "user").otherwise("assistant")
     return _number(kept, hot).select(
-        F.col("thread").alias("thread_id"), "turn_no", F.col("id").alias("message_id"), "author", "created", role.alias("role"), "text"
+        F.col("thread").alias("thread_id"), "turn_no", F.col("id").alias("message_id"), role.alias("role"), *extra
     )

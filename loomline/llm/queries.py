@@ -47,7 +47,8 @@ def p5_repaired(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return conversations.conversations(load(spark, base, "chat_messages")).select("thread_id", "turn_no", "message_id")
+    found = conversations.conversations(load(spark, base, "chat_messages"), extra=())
+    return found.select("thread_id", "turn_no", "message_id")
 
 
 def p6_conversations(spark: SparkSession, base: str) -> DataFrame:
