@@ -264,3 +264,12 @@ def test_incremental_batches(spark, tmp_path):
     rows.write.mode("append").parquet(source)
     ingest.run_batches(stream, ingest.append_new(rows, str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_sparse_ways_agree(spark):
+    docs = spark.createDataFrame([(i, f"rule {i % 3} node {i % 5} cap") for i in range(30)] + [(99, None)], "doc int, text string")
+    v = sparse.term_vectors(docs, "doc", "text")
+    q = v.where("doc < 4").withColumnRenamed("doc", "query")
+    n = docs.agg(F.count("*").alias("n")).scalar()
+    ways = [sorted(map(tuple, retrieve.sparse_topk(v, sparse.doc_frequency(v, "doc"), n, q, 4, entries=e).select("query", "doc", "score", "rank").collect())) for e in (1000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 16
