@@ -88,22 +88,31 @@ FILLER = (
     r"^describe\s+the\s+\w+\s+in\s+\w+\s+or\s+\w+\s+sentences\b", r"^(?:foo\s+bar|xxx+)\b", r"^(?:tbd|todo|to\s+be\s+(?:written|done|added))\b",
 )
 
-#: What any residue contains, in lower case; cheap substring tests come before any grammar.
-TRIGGERS = (
-    "{{", "${", "<%", "@@", "[[", "xx_", "__", "[insert", "[enter", "[add", "[type", "[your", "[todo", "[tbd", "[name", "«", "script",
-    "http ", "http status", "error", "err ", "erreur", "fehler", "código", "codigo", "code ", "status ", "not found", "nicht gefunden", "introuvable", "no encontrada",
-    "forbidden", "bad gateway", "unavailable", "went wrong", "access denied", "permission", "no longer valid", "withdrawn", "too many re", "rate limit",
-    "server is", "timed out", "rejected", "session has expired", "session expired", "session timed", "no such", "est pas disponible", "could not be", "resource gone", "exception", "traceback",
-    "lorem", "ipsum", "dolor", "amet", "sodales", "placeholder", "coming soon", "to follow", "blah", "asdf", "dummy", "sample ", "test test", "xxx",
-    "replace this", "describe the", "tbd", "todo", "to be written", "to be done", "to be added", "foo bar",
+#: What every match of a grammar contains, so that no text without one of these is residue; tests hold an example of each alternative.
+#: Literals of the lower-case text, for PLACEHOLDERS and SCRIPT.
+TRIGGERS = ("{{", "${", "<%", "@@", "[[", "xx_", "[insert", "[enter", "[add", "[type", "[your", "[todo", "[tbd", "[name", "«", "script")
+#: Placeholders whose delimiters are common characters, in the text as it is; and letters that (?i) takes for an s or i, unlike lower case.
+TRIGGER_RE = r"%[A-Z][A-Z0-9_]{2,40}%|<[A-Z][A-Z0-9 _-]*>|\{[a-z][a-z0-9]*(?:_[a-z0-9]+)*\}|__[A-Z]|[\x{17f}\x{130}\x{131}]"
+#: Beginnings at a word's start in the lower-case text: ERROR and FILLER in their order, LATIN last. What is white space in a
+#: grammar is \W here, as \W is ASCII in the JVM and takes more; a span of code between two words may have any length, as it is blanked later.
+_NEAR = r"(?:[^\n]{0,30}|[^\n]{0,30}[`~][\s\S]*)"
+STARTS = (
+    r"(?:http|err|error|errore|erreur|code|status|fehler|c[óo]digo)\W*(?:status\W+)?[1-5]\p{Nd}{2}",
+    r"[45]\p{Nd}{2}\W+(?:not|forbidden|unauthorized|service|internal|bad|gateway|gone)",
+    r"bad\W+gateway", r"something\W+went\W+wrong", r"access\W+denied", r"you\W+don't\W+have\W+permission",
+    r"page\W+(?:was\W+|could\W+)?not\W+(?:be\W+)?found", r"this\W+link\W+is\W+no\W+longer\W+valid",
+    r"the\W+(?:page|topic|document|article|resource)\W+(?:you\W[^\n]*\W)?(?:was|is|has|could|cannot|does)" + _NEAR + r"(?:withdrawn|moved|gone|removed|exist|found|loaded|unavailable)",
+    r"too\W+many\W+re", r"rate\W+limit\W+reached", r"server\W+is\W+(?:down|unavailable|overloaded)",
+    r"seite\W+nicht\W+gefunden", r"page\W+introuvable", r"p[áa]gina\W+no\W+encontrada", r"der\W+angeforderte",
+    r"session\W+(?:has\W+)?(?:expired|timed)", r"cette\W+page\W+n'est\W+pas\W+disponible", r"it\W+may\W+have\W+been\W+(?:moved|removed)",
+    r"no\W+such\W", r"no\W+further\W+details", r"request\W+(?:timed|rejected)", r"document\W+unavailable", r"resource\W+gone", r"upstream\W+timed",
+    r"the\W+upstream\W+service\W+did", r"(?:internal|unexpected|fatal)\W+(?:server\W+)?error", r"(?:uncaught|unhandled)\W", r"traceback\W",
+    r"placeholder\W+text", r"content\W+coming\W+soon", r"text\W+to\W+follow", r"blah\W+blah", r"asdf",
+    r"(?:dummy|sample)\W+(?:text|heading|paragraph|title|content|body)", r"test\W+test\W", r"replace\W+this\W+(?:paragraph|text|sentence|section)",
+    r"describe\W+the\W", r"foo\W+bar", r"xxx", r"tbd", r"todo", r"to\W+be\W+(?:written|done|added)",
+    r"we're\W+checking",
 )
-#: Placeholders whose delimiters are common characters, and codes that need their number.
-TRIGGER_RE = r"%[A-Z][A-Z0-9_]{2,40}%|<[A-Z][A-Z0-9 _-]*>|(?<![\w{$`\"'/])\{[a-z][a-z0-9]*(?:_[a-z0-9]+)*\}"
-#: Triggers that ordinary texts contain as well, with what makes them one.
-WEAK = {
-    "__": r"__[A-Z]", "code ": r"code\W+[1-5]\d\d", "status ": r"status\W+(?:status )?[1-5]\d\d", "error": r"error\W+[1-5]\d\d|(?:server|fatal|unexpected|unhandled|uncaught) \w*error",
-    "http ": r"http\W+(?:status )?[1-5]\d\d", "err ": r"\berr\W+[1-5]\d\d", "dolor": r"\bdolor\b",
-}
+_START_RE = r"(?<![a-z0-9_])(?:" + "|".join((*STARTS, *LATIN)) + ")"
 
 
 _PLACE = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
@@ -136,7 +145,7 @@ def residue_type(text: str | None, title: str | None = None, density: float = 0.
     for unit in _UNIT.split(body):
         unit = unit.strip()
         unit = _TAIL.sub("", _HEAD.sub("", unit)).strip()
-        if headings and unit.casefold().startswith(headings):
+        if headings and unit.casefold().startswith(headings) and not re.match(r"\w\w", unit[len(headings) - 1 : len(headings) + 1]):
             unit = unit[len(headings) :].strip()
         elif heading := _HEADING.match(unit):
             unit = unit[heading.end() :].strip()
@@ -180,11 +189,8 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def shows(low):
         hit = text.rlike(TRIGGER_RE)
         for word in TRIGGERS:
-            found = F.contains(low, F.lit(word))
-            if word in WEAK:
-                found = found & text.rlike(WEAK[word] if word == "__" else "(?i)" + WEAK[word])
-            hit = hit | found
-        return hit
+            hit = hit | F.contains(low, F.lit(word))
+        return hit | low.rlike(_START_RE)
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), title.alias("title")).where("text is not null")
     hits = rows.where(F.exists(F.array(F.lower(text)), shows))  # the lambda binds the lower-case text, so it is made once

@@ -175,3 +175,36 @@ def test_residue_tables(spark):
     assert {tuple(x) for x in residue.find_residue(df).collect()} == {(1, "error_page"), (4, "placeholder")}
     assert {x.doc_id for x in residue.without_residue(df).collect()} == {2, 3}
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+#: An example of each alternative of the grammars.
+RESIDUE = {
+    "error_page": (
+        "HTTP 503|HTTP-503|Error: 500|Err #404|Code: 500|Status: 404|HTTP status 502|Fehler 404|Erreur 404|Errore 500|Código 404|Codigo 404|Status 404|404 Not Found|403 Forbidden|401 Unauthorized|"
+        "503 Service Unavailable|500 Internal Server Error|502 Bad Gateway|504 Gateway Timeout|504 Gateway Time-out|400 Bad Request|410 Gone|Bad gateway (502)|Oops! Something went wrong|Access denied|"
+        "You don't have permission to view it|Page not found|The page could not be found|This link is no longer valid|The page has been removed.|The page does not exist.|The topic you were looking for was withdrawn|"
+        "The article cannot be loaded|The document is `a code span that is far longer than thirty characters` gone|Too many requests|Rate limit reached|The search server is overloaded|Seite nicht gefunden|"
+        "Page introuvable|Página no encontrada|Der angeforderte Artikel fehlt|Your session has expired|Session timed out|Cette page n'est pas disponible|It may have been moved.|No such file|Too many redirects|"
+        "No further details|Request timed out|Document unavailable|Resource gone|Upstream timed out|Request rejected|The upstream service did not answer.|Internal error.|An unexpected error|Fatal server error|"
+        "Uncaught TypeError|Unhandled exception|Traceback (most recent call last)"
+    ).split("|"),
+    "script_notice": (
+        "JavaScript is disabled|Scripts are blocked|Scripting is not available|Please enable JavaScript|Turn on java script|Scripts must be allowed|This page requires scripting|It does not support script|"
+        "Noscript|JavaScript muss man aktivieren|Bitte aktivieren Sie JavaScript|Activer JavaScript|Habilite JavaScript|We're checking your browser before the visit"
+    ).split("|"),
+    "filler": (
+        "Placeholder text|Content coming soon|Text to follow|Blah blah|It is asdf|Dummy heading|Sample text|Sample\u00a0title|Test test test|Replace this paragraph|Describe the rule in one or two sentences|Foo bar|XXXX|"
+        "TBD|TODO|To be written|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi|Vivamus|Loreſ ipſum"
+    ).split("|") + list(residue.LATIN),
+    "placeholder": "Dear {{name}}|To ${name}|By <%= name %>|On %DATE%|At @@place@@|In [[town]]|A __NAME__|A XX_NAME_XX|[your name here]|[Insert it]|For <FULL NAME>|« nom »|Dear {first_name}|See `x`{name} now".split("|"),
+}
+
+
+def test_residue_gate_passes_every_grammar(spark):
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, texts in RESIDUE.items() for t in texts)]
+    for grammar in residue.ERROR + residue.SCRIPT + residue.FILLER + residue.PLACEHOLDERS:
+        flags = 0 if grammar in residue.PLACEHOLDERS else residue.re.I
+        assert any(residue.re.search(grammar, t, flags) for _, t, _ in rows), grammar
+    assert [(t, residue.residue_type(t)) for _, t, _ in rows] == [(t, k) for _, t, k in rows]
+    found = {x.doc_id: x.residue_type for x in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
+    assert [(t, found.get(i)) for i, t, _ in rows] == [(t, k) for _, t, k in rows]
