@@ -7,6 +7,7 @@ from loomline.functions import text as T
 from loomline.functions import values as V
 from loomline.operators import chunking
 from loomline.plans import budget
+from loomline.queries import estimate_tokens
 
 
 def one(spark, column, **inputs):
@@ -26,6 +27,17 @@ def test_token_count_equals_python(spark, text):
     assert one(spark, T.token_count(F.col("x")), x=text) == budget.tokens_of(text)
 
 
+@pytest.mark.parametrize("text", ["a\u200db", "می\u200cخواهم", "\u200d", "👩\u200d💻 ok", "x \u200c\u200d y"])
+def test_token_count_of_joiners_equals_python(spark, text):
+    assert one(spark, T.token_count(F.col("x")), x=text) == budget.tokens_of(text)
+
+
+def test_estimate_tokens_has_a_row_for_every_document(spark, tmp_path):
+    texts = {1: "a b", 2: "می\u200cخواهم", 3: "👩\u200d💻 ok", 4: None, 5: " "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(x) for x in estimate_tokens(spark, str(tmp_path)).collect()} == {(i, budget.tokens_of(t or "")) for i, t in texts.items()}
+
+
 def test_clip(spark):
     assert one(spark, T.clip(F.col("x"), 20), x="abcdefghij klmnopqrstuvwxyz") == "abcde" + T.MARKER
     assert one(spark, T.clip(F.col("x"), 5), x="abcdefghij") == "abcde"
