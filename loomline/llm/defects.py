@@ -82,8 +82,10 @@ _ADDRESS_END = re.compile(
     r"|\b\d{1,4}[A-Za-z]?\s+(?:[A-Z]\w+\s+){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Court|Way|Square|Close)\b[^.\n]*"
     r"|\b(?:[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|weg|gasse|platz|allee)|(?:Am|An der|Im|Calle|Via|Avenida)\s+\w+),?\s+\d{1,4}[^.\n]*)$"
 )
-#: An end after which a sentence must go on, even if a mark follows.
-_OPEN_END = re.compile(r"(?i)(?:[,(\[:–-]|\b(?:and|or|the|a|an|of|to|such as|if you|because|with|for|und|oder|der|die|das|et|ou|le|la|de|y|o|el|los))$")
+#: Of those, ends that are whole at any length: a closed table row, pictures.
+_WHOLE_END = re.compile(r"(?:(?:^|\n)\s*\|[^\n]*\||[\U0001F300-\U0001FAFF☀-➿️‍]+)$")
+#: Marks that end no sentence, after abbreviations and the numbers of a list.
+_OPEN_MARK = re.compile(r"(?:\b(?:e\.\s?g|i\.\s?e|cf|vs|approx|incl|resp|fig|no|dr|mr|mrs|prof|st|z\.\s?b|d\.\s?h|bzw|ca|p\.\s?ej|p\.\s?ex)\.|(?:^|\n)\s*\d{1,3}[.)])$", re.I)
 
 
 def language(text: str) -> str | None:
@@ -124,17 +126,17 @@ def is_refusal(answer: str) -> bool:
 
 
 def unfinished(answer: str, shortened: bool, spike: bool) -> bool:
-    """Whether an answer stops inside a sentence or word."""
+    """Whether an answer stops inside a sentence or word; ``spike``: it has a length at which unusually many stop without a mark."""
     text = re.sub(r"[\s​-‏⁠﻿]+$", "", answer)
     if shortened:
         return True
     tail = text.rsplit("\n", 1)[-1]
     tail = tail if len(tail) <= 240 else "…" + tail[-240:]
-    if text.endswith("```") or (not _ENDED.search(tail[-8:]) and (_BARE_END.search(tail) or _ADDRESS_END.search(tail))):
+    if text.endswith("```"):
         return False
-    if text.count("`") % 2 or not _ENDED.search(tail[-8:]):
-        return True
-    return spike and bool(_OPEN_END.search(text))
+    if not _ENDED.search(tail[-8:]):  # at a length where answers are cut off, an end without a mark is a cut
+        return not (_WHOLE_END if spike else _BARE_END).search(tail) and (spike or not _ADDRESS_END.search(tail))
+    return text.count("`") % 2 == 1 or (spike and bool(_OPEN_MARK.search(tail)))
 
 
 def defect(question: str | None, answer: str | None, shortened: bool = False, spike: bool = False) -> str | None:

@@ -78,6 +78,27 @@ def test_defects(question, answer, expected):
     assert defects.defect(question, answer) == expected
 
 
+@pytest.mark.parametrize(
+    "end,cut",
+    [
+        ("move the rule.\n- the limit of the po", True), ("move the rule. In short: pool.max=4", True), ("move the rule. See https://holm.example/gui", True),
+        ("move the rule.\n| pool | lim", True), ("write to 12 Holm Street, Kel", True), ("move a rule, e.g.", True), ("move the rule.\n2.", True),
+        ("move the rule.\n| pool | limit |", False), ("move the rule 🎉", False), ("move the rule.", False), ("move the rules, pools etc.", False),
+    ],
+)
+def test_only_the_spike_decides(end, cut):
+    answer = "Open the console and " + end
+    assert defects.defect("How do I move it?", answer, spike=True) == ("truncated_answer" if cut else None)
+    assert defects.defect("How do I move it?", answer) is None
+
+
+def test_spikes_reach_the_records(spark):
+    rows = [(f"c{i}", "How do I move it?", f"Open the console and move the rule.\n- the limit of pool {i:03} and the gro") for i in range(30)]
+    rows += [(f"w{i}", "How do I move it?", "Open the console and move the rule.\n- " + f"{i} the limit" + "s" * (2 * i)) for i in range(4)]
+    found = {tuple(x) for x in defects.find_defects(spark.createDataFrame(rows, "qa_id string, question string, answer string")).collect()}
+    assert found == {(f"c{i}", "truncated_answer") for i in range(30)}
+
+
 def test_shortened_answers_cross_partitions(spark):
     base = [f"Answer number {i} explains the rule of the group and then stops" for i in range(200)]
     texts = base + [t + " after a while." for t in base[::10]] + [t[:40] for t in base[3:4]]
