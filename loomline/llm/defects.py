@@ -64,11 +64,8 @@ _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
 _SPLIT = [alternative for p in REFUSAL for alternative in re.split(r"\|(?=\^|\\b)", p)]
 _REFUSAL_START = re.compile("(?is)" + "|".join(f"(?:{p})" for p in _SPLIT if p.startswith("^")))
 _REFUSAL_INSIDE = re.compile("(?is)" + "|".join(f"(?:{p})" for p in _SPLIT if not p.startswith("^")))
-#: Without one of these a text is no refusal; substring tests are far cheaper than the patterns.
-_REFUSAL_HINTS = (
-    "i ", "i'", "i’", "my ", "sorry", "apolog", "unfortunately", "regrettably", "not ", "n't", "n’t", "no ", "insufficient", "leider", "tut mir", "entschuldigung", "ich ", "als ki", "désol", "je ", "malheureusement",
-    "en tant", "lo siento", "lament", "perd", "como ",
-)
+#: Without one of these (the letters are what (?i) takes for an i or s) no pattern that may begin inside a text matches.
+_INSIDE_HINTS = ("declin", "against", "ı", "i̇", "ſ")
 _LEAD, _TAIL = re.compile(LEAD), re.compile(TAIL)
 #: A text may stop after these: sentence marks, closing quotes and brackets, code.
 _ENDED = re.compile(r"(?:[.!?…。！？][\"'”’»)\]*_]*|[)\]\"”’»`;])$")
@@ -119,10 +116,10 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Whether an answer declines; patterns that begin with ^ are tried at its start only."""
+    if _REFUSAL_START.match(answer):
+        return True
     low = answer.lower()
-    if not any(h in low for h in _REFUSAL_HINTS):
-        return False
-    return bool(_REFUSAL_START.match(answer) or _REFUSAL_INSIDE.search(answer))
+    return any(h in low for h in _INSIDE_HINTS) and bool(_REFUSAL_INSIDE.search(answer))
 
 
 def unfinished(answer: str, shortened: bool, spike: bool) -> bool:
@@ -146,7 +143,7 @@ def defect(question: str | None, answer: str | None, shortened: bool = False, sp
     q, a = question or "", answer.strip()
     if copies(q, a):
         return "copies_question"
-    if len(a) < 400 and is_refusal(a):
+    if is_refusal(a):
         return "refusal"
     asked, said = language(q), language(a)
     if asked and said and asked != said:

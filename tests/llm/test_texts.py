@@ -99,6 +99,24 @@ def test_spikes_reach_the_records(spark):
     assert found == {(f"c{i}", "truncated_answer") for i in range(30)}
 
 
+#: An example of each pattern and of the alternatives that lacked a hint.
+REFUSALS = (
+    "I'm sorry, but I cannot do it.|Unfortunately I can't say.|I cannot help with it.|I\u00a0cannot help with it.|As an AI I am unable to say.|I'd rather not say.|I must decline.|I refuse.|It asks for a secret, so I have to decline.|"
+    "That goes against my guidelines.|It is against my guidelines.|This question is outside the provided context.|This is beyond the scope of the document.|That request is outside the text.|The answer is not in the context.|"
+    "The document does not mention it.|There is no information on it.|Insufficient data for it.|No answer is possible.|It is not clear from the text.|It is not possible to determine it.|Leider kann ich es so sagen.|"
+    "Dazu kann ich nichts sagen.|Darüber darf ich nichts sagen.|Ich kann es nicht sagen.|Als KI weiß man es.|Désolé, rien.|Je ne sais pas.|En tant qu'IA, rien.|Lo siento, nada.|No puedo decirlo.|Como IA, nada.|Perdón, nada."
+).split("|")
+
+
+def test_every_refusal_is_seen_at_any_length():
+    for pattern in defects._SPLIT:
+        assert any(defects.re.search("(?is)" + pattern, text) for text in REFUSALS), pattern
+    for text in REFUSALS:
+        assert defects.is_refusal(text), text
+        assert defects.defect(None, text + " The rule moves with the group of the tenant." * 20) == "refusal", text
+    assert defects.defect(None, "The rule moves with the group of the tenant. Press Decline if it must not." * 20) is None
+
+
 def test_shortened_answers_cross_partitions(spark):
     base = [f"Answer number {i} explains the rule of the group and then stops" for i in range(200)]
     texts = base + [t + " after a while." for t in base[::10]] + [t[:40] for t in base[3:4]]
