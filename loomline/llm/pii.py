@@ -126,12 +126,12 @@ def _shape(text: str, span: str, start: int, end: int, kind: str) -> list[float]
     ]
 
 
-#: Without one of these a text has no street line.
+#: Without one of these in the lower-case text, white space as single spaces, or a short street word after a number, a text has no street line.
 _STREET_HINTS = (
-    "street", "road", " rd", "avenue", " ave", "lane", " ln", "crescent", "drive", "court", "close", " way", "square", "boulevard", "blvd", "terrace", "place", " row", "mews", "highway", "parkway",
+    "street", "road", " rd", "avenue", " ave", "lane", " ln", " cres", "drive", "court", "close", " way", "square", "boulevard", "blvd", "terrace", "place", " row", "mews", "highway", "parkway",
     " rue ", "chemin", "calle ", "via ", "plaza", "allée", "straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ufer", "avenida", "paseo", "am ", "im ", "an der ", "auf der ",
 )
-_SHORT_STREET = re.compile(r"\d[A-Za-z]?\s+[A-Z]\w+\s+(?:[A-Z]\w+\s+)?(?:S[Tt]|D[Rr]|C[Tt]|P[Ll]|S[Qq])\b")
+_SHORT_STREET = re.compile(r"\d\s?[A-Za-z]?,?\s+(?:" + _UP + r"\s+){1,3}(?:S[Tt]|D[Rr]|C[Tt]|P[Ll]|S[Qq])\b")
 _AT = re.compile(r"[(\[{<] ?[aA][tT] ?[)\]}>]|\s[aA][tT]\s+[\w-]+(?:\.[A-Za-z]| [dD][oO][tT] | ?[(\[{<] ?[dD])")
 _USER = re.compile(r"[\w.+%'-]{1,64}\s?\Z")
 _MAIL_SIGNS = re.compile(r"(?i)\bdot\b|[(\[{<]\s?at|\.[a-z]{2,}$")
@@ -177,7 +177,7 @@ def propose(text: str) -> list[tuple[str, int, int]]:
     for m in GENERATORS["id_number"].finditer(text):
         if m.end() - m.start() >= 6 and sum(map(str.isdigit, m.group())) >= 6:
             out.append(("id_number", *m.span()))
-    low = text.lower()
+    low = " ".join(text.lower().split())
     if any(k in low for k in _STREET_HINTS) or _SHORT_STREET.search(text):
         out += [("address", *m.span()) for m in GENERATORS["address"].finditer(text)]
     at = 0

@@ -35,6 +35,16 @@ def test_findings(text, expected):
     assert kinds(text) == expected
 
 
+def test_street_gate_passes_every_street_line():
+    lines = [f"12 {name} {form}, Leeds" for word in pii._STREETS for form in (word, word.upper()) for name in ("Elm", "Old\nMill", "Old Mill Hill", "King's", "King’s", "Stow-Hill")]
+    lines += [f"7 b,{gap}{form}{gap}Holm" for word in "rue avenue boulevard chemin place calle via plaza allée".split() for form in (word, word.capitalize(), word.upper()) for gap in (" ", "\n")]
+    lines += [f"Holm{word} 12" for word in "straße strasse str. weg gasse platz allee damm ufer".split()] + ["HOLMSTRAßE 12", "HOLMWEG 12"]
+    lines += [f"{word}{gap}Holm 12" for word in "Am|AM|An der|Im|IM|Auf der|Calle|CALLE|Avenida|AVENIDA|Via|VIA|Plaza|PLAZA|Paseo|PASEO".split("|") for gap in (" ", "\n")]
+    for line in lines:
+        assert pii.GENERATORS["address"].search(line), line
+        assert any(kind == "address" for kind, *_ in pii.propose(line)), line
+
+
 def test_held_out_accuracy():
     models = pii.fit_models()
     right = total = 0
