@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,10 +34,13 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, else the context's checkpoint folder.
 
-    Only where both are unset (tests, one machine) a local folder is made and noted in the session.
+    Only where both are unset on one machine (tests) a local folder is made and noted in the session; on a cluster that
+    is an error, as a folder of one machine would be read back short.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(?:\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
