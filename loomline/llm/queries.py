@@ -24,6 +24,10 @@ def p2_counts(spark: SparkSession, base: str) -> DataFrame:
     return overlap.overlap_counts(load(spark, base, "qa_records"), load(spark, base, "qa_splits"))
 
 
+def p2_coverage(spark: SparkSession, base: str) -> DataFrame:
+    return overlap.coverage(load(spark, base, "qa_records"), load(spark, base, "qa_splits"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return defects.find_defects(load(spark, base, "qa_records"))
 
@@ -86,7 +90,7 @@ def p10_corpus(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_counts, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
+    for f in (p1_found, p1_splits, p2_found, p2_counts, p2_coverage, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p6_conversations, p7_found, p7_pieces, p8_ids, p9_found, p9_leaks, p10_found, p10_corpus)
 }
 
 _WS = r"[\t-\r \x{85}\p{Z}]"

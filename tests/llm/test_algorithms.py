@@ -110,11 +110,61 @@ def test_overlaps_match_brute_force(spark, wide):
     pairs = overlap.cross_split_overlaps(qa(spark, records), s, wide=wide).collect()
     got = {(min(p.eval_id, p.train_id), max(p.eval_id, p.train_id)) for p in pairs}
     assert got == near_pairs(records, splits)
+    if wide > 1:  # the suffix array alone
+        alone = overlap.cross_split_overlaps(qa(spark, records), s, exact=False).collect()
+        alone = {(min(p.eval_id, p.train_id), max(p.eval_id, p.train_id)) for p in alone}
+        assert alone <= got and len(alone) >= 0.9 * len(got)
+        counted = {(x.split_name, x.source_type): (x.records, x.pairs) for x in overlap.overlap_counts(qa(spark, records), s).collect()}
+        for key, n in counted.items():
+            mine = [p for p in pairs if (p.eval_split, p.eval_source) == key]
+            assert n == (len({p.eval_id for p in mine}), len(mine))
+        assert sum(n for _, n in counted.values()) == len(pairs)
 
 
 def test_overlap_of_nothing(spark):
     s = spark.createDataFrame([], "qa_id string, split_name string")
     assert overlap.found_overlaps(qa(spark, []), s).count() == 0
+    assert overlap.coverage(qa(spark, []), s).count() == 0
+
+
+def test_coverage_merges_spans(spark):
+    body = [f"b{i}" for i in range(60)]
+    records = [("t", "x y", " ".join(body[:40]), None, None, "pdf"), ("u", "z", " ".join(body[20:60]), None, None, "pdf"), ("e", "q r", " ".join(["new"] * 5 + body), None, None, "pdf"), ("n", "", " ".join(f"c{i}" for i in range(30)), None, None, "pdf"), ("k", "x y", " ".join(body[:40]), None, None, "webex")]
+    splits = [("t", "train"), ("u", "train"), ("e", "test"), ("n", "valid"), ("k", "test")]
+    s = spark.createDataFrame(splits, "qa_id string, split_name string")
+    got = {x.qa_id: (x.split_name, x.words, x.covered) for x in overlap.coverage(qa(spark, records), s).collect()}
+    assert got["n"] == ("valid", 30, 0) and got["k"] == ("test", 42, 42)
+    assert got["e"][1] == 67 and 40 <= got["e"][2] <= 62
+
+
+@pytest.mark.parametrize("rows,batch", [(700, 50), (300, 300)])
+def test_runs_across_edges_and_batches(rows, batch):
+    """The pass over sorted suffixes gives the pairs of every run, whatever the partitions and batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(rows)
+    items = sorted(([r.choice([1, 2]) for _ in range(5)], i, r.random() < 0.5) for i in range(rows))
+    run = overlap._neighbours(3, 10_000)
+
+    def batches(part):
+        for k in range(0, len(part), batch):
+            some = part[k : k + batch]
+            keys = [np.array(w, dtype=">u4").tobytes() for w, _, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([c for _, c, _ in some]), pa.array([0] * len(some), pa.int32()), pa.array([e for *_, e in some]), pa.array([not e for *_, e in some])], names=["key", "class", "pos", "e", "t"])
+
+    pairs, edges = set(), {}
+    for part in (items[: rows // 3], items[rows // 3 :]):
+        for out in run(batches(part)):
+            for x in out.to_pylist():
+                if x["prefix"] is None:
+                    pairs.add((x["ec"], x["tc"]))
+                else:
+                    edges.setdefault(x["prefix"], []).append((x["ec"], x["e"]))
+    for members in edges.values():
+        pairs |= {(a, b) for a, ea in members for b, eb in members if ea and not eb}
+    expected = {(a[1], b[1]) for a in items for b in items if a[0][:3] == b[0][:3] and a[2] and not b[2]}
+    assert pairs == expected
 
 
 TEXTS = ["", "short", "word " * 500, "a" * 3000, "One sentence. " * 200, "para one is here.\n\n" * 150, "é́" * 900, "👩‍👩‍👧" * 400, "x\n" * 900, "no space," * 300]
