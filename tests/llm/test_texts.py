@@ -1,6 +1,7 @@
 """Personal information, defects, scan noise, conversations, residue."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -198,6 +199,62 @@ def test_conversations(spark, hot):
     assert run(spark, rows, hot) == [("a", 1, "a", "user"), ("a", 2, "d", "system"), ("a", 3, "b", "assistant"), ("a", 4, "c", "user")]
 
 
+@pytest.mark.parametrize("hold", [50_000, 3])
+def test_conversations_match_brute_force(spark, hold):
+    r = random.Random(hold)
+    rows, thread_of = [], {}
+    for i in range(400):
+        t = f"t{r.randrange(40):02}" if r.random() < 0.6 else "t00"
+        root = t not in thread_of
+        thread_of.setdefault(t, [])
+        name = t if root and r.random() < 0.9 else f"{t}-{i:03}"
+        parent = None if name == t else r.choice(thread_of[t] or [t]) if r.random() < 0.995 else "nowhere"
+        named = t if parent is None or r.random() < 0.7 else None
+        rows.append(msg(name, parent, named, r.choice(["Ann", "ann ", "Ann", "Bob"]) if t != "t05" else "Ann", r.choice(["a@x.test", "a@x.test", "b@bot.example"]), f"2024-01-01T{r.randrange(24):02}:00:00Z" if r.random() < 0.9 else None, text=r.choice(["hi", "hi", "hi", "", "(deleted)"]) if name != t or r.random() < 0.2 else "hi"))
+        thread_of[t].append(name)
+    by = {x[0]: x for x in rows}
+
+    def thread(x):
+        while not x[3]:
+            if x[2] not in by:
+                return x[2]
+            x = by[x[2]]
+        return x[3]
+
+    groups = {}
+    for x in rows:
+        groups.setdefault(thread(x), []).append(x)
+    expected = []
+    for t, items in groups.items():
+        first = next((x for x in items if x[0] == t), None)
+        ok = lambda x: x[8] == "hi"
+        who, bot = lambda x: x[4].strip().lower(), lambda x: x[5].endswith("bot.example")
+        if not first or not ok(first) or any(x[2] and x[2] not in by for x in items) or not any(ok(x) and who(x) != who(first) and not bot(x) for x in items):
+            continue
+        turns = sorted((x for x in items if ok(x)), key=lambda x: (x[0] != t, x[6] is None, x[6] or "", x[0]))
+        expected += [(t, i, x[0], "system" if bot(x) else "user" if who(x) == who(first) else "assistant") for i, x in enumerate(turns, 1)]
+    assert expected and run(spark, rows, hold) == sorted(expected)
+
+
+def test_conversations_in_a_circle(spark):
+    rows = [msg("u", "v", None), msg("v", "w", None, "Bob"), msg("w", "u", None), msg("a"), msg("b", "a", None, "Bob")]
+    assert [x[2] for x in run(spark, rows)] == ["a", "b"]
+
+
+def test_tables_compose():
+    import numpy as np
+
+    r = np.random.RandomState(1)
+    letters = r.randint(0, 5, 200)
+    begin = np.array([0, 1, 2, 50, 51, 130])
+    for table, a, b in zip(conversations.compose(conversations.DELTA[letters], begin), begin, [*begin[1:], 200]):
+        for state in range(4):
+            at = state
+            for x in letters[a:b]:
+                at = conversations.DELTA[x][at]
+            assert table[state] == at
+
+
 def test_conversations_deep_chain_and_nothing(spark):
     rows = [msg("m000")] + [msg(f"m{i:03}", f"m{i - 1:03}", None, "Bob" if i % 2 else "Ann", created=f"2024-01-01T10:{i:02}:00Z") for i in range(1, 50)]
     assert [x[2] for x in run(spark, rows)] == [f"m{i:03}" for i in range(50)]
