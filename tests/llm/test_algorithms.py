@@ -250,3 +250,18 @@ def test_leaks_match_brute_force(spark):
     e = spark.createDataFrame(passages, "query_id string, gold_passage string")
     assert {(x.doc_id, x.query_id) for x in leakage.find_leaks(d, e).collect()} == expected
     assert leakage.find_leaks(d.limit(0), e).count() == 0 and leakage.find_leaks(d, e.limit(0)).count() == 0
+    stored = leakage.positional_index(d, block=100).cache()
+    assert {(x.doc_id, x.query_id) for x in leakage.find_leaks(d, e, index=stored).collect()} == expected
+    posted = {(x.doc, x.place, x.term) for x in stored.selectExpr("term", "explode(arrays_zip(docs, places)) as o").selectExpr("term", "o.docs as doc", "o.places as place").collect()}
+    assert len(posted) == sum(len(WORD.findall((t or "").lower())) for _, t in docs[:-1])
+
+
+def test_leaks_in_proximity(spark):
+    p = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
+    rows = {1: p, 2: [*p[:5], "new", *p[5:]], 3: [*p[:6], "x", *p[7:]], 4: p[:6], 5: list(reversed(p)), 6: ["pad"] * 30 + [*p[:4], "in", "between", *p[4:]]}
+    d = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    e = spark.createDataFrame([("q", " ".join(p)), ("none", None)], "query_id string, gold_passage string")
+    got = {x.doc_id: (x.run, x.near) for x in leakage.find_leaks(d, e, slack=3).collect()}
+    assert got[1] == (15, 12) and got[2][0] == 10 and got[2][1] == 12 and got[3][1] == 11 and got[6] == (11, 12)
+    assert 4 not in got and 5 not in got
+    assert {x.doc_id for x in leakage.find_leaks(d, e).collect()} == {1}
