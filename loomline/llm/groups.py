@@ -4,8 +4,8 @@ Records that share an entity (a chunk or a document), directly or through others
 to distinct pairs of entities before anything else, so a document with a third of all rows counts once per chunk.
 Connected components run by alternating large-star and small-star (Kiveris et al., SoCC 2014) on that entity graph:
 each step is an aggregation (minimum of the neighbours) and one join, written to the shared folder. Hub nodes are
-salted in the join. Whole groups then go to splits: large groups, at most ``large`` of them, by largest deficit, all
-others by the hash of the group into ranges proportional to what the splits still lack.
+salted in the join. Whole groups then go to splits by the hash of the group, into ranges proportional to the targets; only
+groups with more than a hundredth of all ids are placed one by one before.
 
 Results by case: null and blank ids link nothing; a record without any entity is its own group; a repeated record id
 links its rows; rows without an id link their entities but come out nowhere; ids compare without case and surrounding white space; an empty table gives no rows.
@@ -20,6 +20,9 @@ from loomline.functions.words import clean_id
 from loomline.operators.skew import hub_join
 from loomline.session import Stage
 
+#: A group with more than 1/LARGE of the ids is placed by itself; hash cells whose ids are counted.
+LARGE, CELLS = 100, 4096
+
 
 def _star(both: DataFrame, keep: Column, links: int) -> DataFrame:
     """Links (v, m(u)) for every neighbour v of u that ``keep`` admits, m(u) the least of u and its neighbours.
@@ -101,10 +104,13 @@ def found_groups(records: DataFrame) -> DataFrame:
     return hub_join(rows.select("record", "group"), big, "group").select(F.col("record").alias("qa_id"), "group_doc_id").distinct()
 
 
-def assign_splits(records: DataFrame, targets: DataFrame, large: int = 10_000) -> DataFrame:
+def assign_splits(records: DataFrame, targets: DataFrame, large: int = LARGE, cells: int = CELLS) -> DataFrame:
     """(qa_id, group_id, split_name): every distinct id in one split, groups whole, sizes near the targets.
 
-    The driver sees the targets and the groups holding more than 1/``large`` of the ids, so at most ``large`` of them.
+    A group's hash gives its cell, cells in their order are cut into one range for each split, in proportion to the
+    targets by the ids that the cells hold. So the sizes miss the targets by a cell at most, and new data moves only
+    groups next to a cut. Groups holding more than 1/``large`` of the ids, which no hash can place well, go to the split
+    that lacks most, largest first. The driver sees the targets, ``cells`` counts and fewer than ``large`` groups.
     """
     rows = record_groups(records).where("record is not null").select("record", "group").distinct()
     sizes = Stage(rows.groupBy("group").agg(F.count("*").alias("n")), "sizes").df
@@ -117,19 +123,31 @@ def assign_splits(records: DataFrame, targets: DataFrame, large: int = 10_000) -
         to = max(lack, key=lambda k: (lack[k], k))
         lack[to] -= r["n"]
         placed.append((r["group"], to))
-    rest = {k: max(v, 0.0) for k, v in lack.items()}
-    whole = sum(rest.values())
-    ranges = F.lit(max(rest, key=lambda k: rest[k]) if rest else None)
-    at = F.pmod(F.xxhash64("group"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    upper, choice = 0.0, None
-    for k, v in rest.items():
-        if whole and v:
-            upper += v / whole
-            choice = F.when(at < upper, F.lit(k)) if choice is None else choice.when(at < upper, F.lit(k))
-    hashed = choice.otherwise(ranges) if choice is not None else ranges
+    cell = F.pmod(F.xxhash64("group"), F.lit(cells))
+    masses = sizes.where(F.col("n") * large <= total).groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).orderBy("cell").collect()
+    hashed = _ranges(cell, [(r["cell"], r["n"]) for r in masses], {k: max(v, 0.0) for k, v in lack.items()})
     if not placed:
         out = rows.withColumn("split_name", hashed)
     else:
         fixed = F.broadcast(records.sparkSession.createDataFrame(placed, "group string, placed string"))
         out = rows.join(fixed, "group", "left").withColumn("split_name", F.coalesce("placed", hashed))
     return out.select(F.col("record").alias("qa_id"), F.col("group").alias("group_id"), "split_name")
+
+
+def _ranges(cell: Column, masses: list[tuple[int, int]], lack: dict[str, float]) -> Column:
+    """The split of a cell: ranges of cells, as long as the splits' lacks; a cell belongs where its middle falls."""
+    whole, rest, names = sum(n for _, n in masses), sum(lack.values()), list(lack)
+    if not names:
+        return F.lit(None).cast("string")
+    done, at, upper, bound = 0, 0, lack[names[0]] * (whole / rest if rest else 0), {}
+    for where, n in masses:
+        while at < len(names) - 1 and done + n / 2 > upper:
+            at += 1
+            upper += lack[names[at]] * (whole / rest if rest else 0)
+        bound[names[at]] = where
+        done += n
+    out = F.lit(names[-1])
+    for name in reversed(names):
+        if name in bound:
+            out = F.when(cell <= bound[name], F.lit(name)).otherwise(out)
+    return out

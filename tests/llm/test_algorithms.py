@@ -62,8 +62,12 @@ def test_splits_keep_groups_and_sizes(spark):
         by.setdefault(x.group_id, set()).add(x.split_name)
     assert all(len(v) == 1 for v in by.values())
     assert sum(x.split_name == "train" for x in out) == 320
-    hashed = groups.assign_splits(qa(spark, rows), targets, large=1).collect()
-    assert 0.6 < sum(x.split_name == "train" for x in hashed) / 400 < 0.95
+    few = groups.assign_splits(qa(spark, rows), targets, large=1, cells=16).collect()
+    assert 0.6 < sum(x.split_name == "train" for x in few) / 400 < 0.95
+    more = [*rows, *[(f"g{i}", "q", "a", None, "giant", "pdf") for i in range(200)], *[(f"m{i}", "q", "a", None, f"e{i // 3}", "pdf") for i in range(300)]]
+    out = groups.assign_splits(qa(spark, more), targets).collect()
+    assert {x.split_name for x in out if x.qa_id.startswith("g")} == {"train"}
+    assert abs(sum(x.split_name == "train" for x in out) - 720) <= 8 and abs(sum(x.split_name == "test" for x in out) - 90) <= 8
 
 
 def test_groups_of_nothing(spark):
