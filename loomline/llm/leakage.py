@@ -130,7 +130,7 @@ def find_leaks(
     passages = terms.groupBy("query_id", "passage").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("q_pos", "word"))), lambda s: s["word"]).alias("p")
     )
-    both = agreed.join(_maybe_broadcast(passages, asked), ["query_id", "passage"]).join(split, "doc")
+    both = split.join(agreed, "doc").join(_maybe_broadcast(passages, asked), ["query_id", "passage"])
     run = F.aggregate(
         F.transform(F.col("p"), lambda t, i: F.coalesce(t == F.get(F.col("w"), F.col("shift") + i), F.lit(False))),
         F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")),
