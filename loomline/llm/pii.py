@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -59,7 +60,7 @@ GENERATORS = {
         r"(?:,\s+" + _FLAT + r"\s+\w+)?(?:,?\s+" + _UP + r"\s+\d{4,6}\b|,\s*(?:\d{4,5}\s+)?" + _UP + r")?"
     ),
     "name": re.compile(
-        r"\b(?:" + TITLE + r"\.?\s+(?:" + _UP + r"\s+|[A-Z]\.\s*){0,2}" + _UP + r"|(?:[A-ZÀ-ÖØ-Þ]\.\s*){1,2}" + _UP + r"|" + _UP + r",\s+" + _UP + r"|" + _UP + r"(?:\s+[A-Z]\.)?\s+" + _UP + r")"
+        r"\b(?:" + TITLE + r"\.?\s+(?:" + _UP + r"\s+|[A-Z]\.\s*){0,2}" + _UP + r"|(?:[A-ZÀ-ÖØ-Þ]\.\s*){1,2}" + _UP + r"|" + _UP + r",\s+" + _UP + r"|" + _UP + r"(?:\s+[A-Z]\.)?(?:\s+(?:de|la|del|der|den|van|von|di|da|dos|bin|al|el)\b){0,2}\s+" + _UP + r")"
     ),
 }
 _CUES = {
@@ -69,6 +70,8 @@ _CUES = {
     "address": re.compile(r"(?i)\b(?:address|lives|courier|ship|letters|delivery|branch|moved|office|visit|post|card|home|wohnt|adresse|anschrift|habite|vive|dirección|sent)\b"),
     "name": re.compile(r"(?i)\b(?:signed\s+by|approved|ask|escalate|loop\s+in|according|thanks|contact\s+card|card|written\s+by|reviewed\s+by|spoke|met|caller|regards|dear|from|by|signed|reported|assigned|owner|per|says|said|told)\b"),
 }
+#: Words directly before or after a person.
+_ASKED = re.compile(r"(?i)\b(?:signed\s+by|approved\s+by|reviewed\s+by|written\s+by|reported\s+by|sent\s+by|ask|call|contact|escalate(?:d)?\s+to|assigned\s+to|loop\s+in|according\s+to|thanks,?|regards,?|dear|met|told|spoke\s+(?:to|with)|card:|owner:|on\s+behalf\s+of)\s+$")
 _AGAINST = re.compile(
     r"(?i)\b(?:job|order|build|reference|version|release|counter|ticket|step|section|invoice|serial|batch|port|id|answers|package|read|reset|replayed|rows|view|map|"
     r"team|environment|tenant|product|guide|chapter|handle|key|pattern|commit|hash|checksum|token|score|level|requests)\b"
@@ -83,6 +86,11 @@ _NOT_NAME = frozenset(
 _SURNAME = re.compile(r"(?i)(?:ova|ova|ski|ska|sky|son|sen|berg|stein|mann|mundt|ez|es|ini|elli|etti|ari|aki|moto|ham|ton|ley|man|off|ov|ev|ić|ic|vich|escu|idze|yan|ian|oglu|pour|zadeh|eira|eiro|quist|strom|feld|bauer|meier|ieu|aux|ard)$")
 
 
+def _plain(word: str) -> str:
+    """A word without its accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def _shape(text: str, span: str, start: int, end: int, kind: str) -> list[float]:
     """Features of a span: format first, then context."""
     before, after = text[max(0, start - 48) : start], text[end : end + 32]
@@ -115,14 +123,14 @@ def _shape(text: str, span: str, start: int, end: int, kind: str) -> list[float]
             float(bool(re.match(r"^[A-Z]\d{2,3}[A-Z]\d{4,}$", span))), float(letters > 0),
         ]
     if kind == "address":
-        return base + [float(bool(re.search(r",\s*(?:\d{4,5}\s+)?\w", span))), float(bool(re.search(r"\b\d{4,5}\b", span))), float(bool(re.search(r"(?i)\b(?:section|step|line|row|map|view|chapter)\b", near[-14:] + " " + span))), float(bool(re.search(r"(?i)straße|strasse|weg\b|rue|calle|gasse|platz", span))), float(bool(re.search(r"(?i)\b" + STREET + r"\b", span))), float(len(words))]
-    given = [w in GIVEN for w in low]
+        return base + [float(bool(re.search(r",\s*(?:\d{4,5}\s+)?\w", span))), float(bool(re.search(r"\b\d{4,5}\b", span))), float(bool(re.search(r"(?i)\b(?:section|step|line|row|map|view|chapter)\b", near[-14:] + " " + span))), float(bool(re.search(r"(?i)straße|strasse|weg\b|rue|calle|gasse|platz", span))), float(bool(re.search(r"(?i)\b" + STREET + r"\b", span))), float(len(words)), float(not any(c.isupper() for c in span))]
+    given = [w in GIVEN or _plain(w) in GIVEN for w in low]
     titled = bool(re.match(TITLE + r"\b", span))
     core = low[1:] if titled else low
     return base + [
         float(any(given)), float(titled), float(bool(core) and core[-1] in GIVEN), float(bool(core) and core[0] in GIVEN), float(any(w in _NOT_NAME for w in low if len(w) > 1)),
         float(bool(re.search(r"\b[A-Z]\.", span))), float("," in span), float(span.isupper()), float(bool(words) and bool(_SURNAME.search(words[-1]))), float(bool(words) and bool(_SURNAME.search(words[1 if titled and len(words) > 1 else 0]))),
-        float(bool(_SAY.match(after))), float(len(core)), float(not before.strip() or bool(re.search(r"[.!?\]:]\s*$", before))),
+        float(bool(_SAY.match(after))), float(bool(_ASKED.search(before))), float(len(core)), float(not before.strip() or bool(re.search(r"[.!?\]:]\s*$", before))),
     ]
 
 
@@ -132,6 +140,10 @@ _STREET_HINTS = (
     " rue ", "chemin", "calle ", "via ", "plaza", "allée", "straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ufer", "avenida", "paseo", "am ", "im ", "an der ", "auf der ",
 )
 _SHORT_STREET = re.compile(r"\d\s?[A-Za-z]?,?\s+(?:" + _UP + r"\s+){1,3}(?:S[Tt]|D[Rr]|C[Tt]|P[Ll]|S[Qq])\b")
+#: Street lines without capitals; long street words only, as the short ones are other words too.
+_LOWER_STREETS = ("street", "road", "avenue", "lane", "crescent", "drive", "court", "square", "boulevard", "terrace", "highway", "parkway")
+_LOWER_ADDRESS = re.compile(r"\b\d{1,4}\s?[a-z]?,?\s+(?:[a-zà-ÿ][\w’'-]*\s+){1,3}(?:" + "|".join(_LOWER_STREETS) + r")\b(?:,\s+[a-zà-ÿ][\w’'-]*\b(?:\s+\d{4,6}\b)?)?")
+_TITLED, _LETTERS, _NEXT_UP = re.compile(TITLE + r"\b"), re.compile(r"[^\W\d_]{2,}"), re.compile(r"\s" + _UP + r"(?![\w-])")
 _AT = re.compile(r"[(\[{<] ?[aA][tT] ?[)\]}>]|\s[aA][tT]\s+[\w-]+(?:\.[A-Za-z]| [dD][oO][tT] | ?[(\[{<] ?[dD])")
 _USER = re.compile(r"[\w.+%'-]{1,64}\s?\Z")
 _MAIL_SIGNS = re.compile(r"(?i)\bdot\b|[(\[{<]\s?at|\.[a-z]{2,}$")
@@ -155,17 +167,18 @@ def _mail_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _is_name(text: str, start: int, end: int) -> bool:
-    """Whether a capitalised sequence could be a person: title, initial, given name, or a surname's ending next to a cue."""
+def _could_be_name(text: str, start: int, end: int) -> bool:
+    """Whether a capitalised sequence could be a person: not if one of its words is known to be something else."""
     span = text[start:end]
-    low = [w.casefold() for w in re.findall(r"[^\W\d_]{2,}", span)] or [""]
-    if re.match(TITLE + r"\b", span):
-        return True
-    if any(w in _NOT_NAME for w in low):
-        return False
-    if any(w in GIVEN for w in low) or re.search(r"\b[A-Z]\.", span):
+    if _TITLED.match(span):
         return True
-    return not span.isupper() and bool(_SURNAME.search(low[-1]) and _CUES["name"].search(text[max(0, start - 26) : start] + text[end : end + 14]))
+    return not any(w.casefold() in _NOT_NAME for w in _LETTERS.findall(span))
+
+
+def _longer(text: str, end: int) -> int:
+    """The end of a name that begins a sequence of more than two capitalised words."""
+    m = _NEXT_UP.match(text, end)
+    return m.end() if m and not any(w.casefold() in _NOT_NAME for w in _LETTERS.findall(m.group())) else end
 
 
 def propose(text: str) -> list[tuple[str, int, int]]:
@@ -180,11 +193,14 @@ def propose(text: str) -> list[tuple[str, int, int]]:
     low = " ".join(text.lower().split())
     if any(k in low for k in _STREET_HINTS) or _SHORT_STREET.search(text):
         out += [("address", *m.span()) for m in GENERATORS["address"].finditer(text)]
+        if any(k in low for k in _LOWER_STREETS):
+            out += [("address", *m.span()) for m in _LOWER_ADDRESS.finditer(text)]
     at = 0
     while m := GENERATORS["name"].search(text, at):
-        if _is_name(text, *m.span()):
-            out.append(("name", *m.span()))
-            at = m.end()
+        if _could_be_name(text, *m.span()):
+            end = m.end() if "," in m.group() else _longer(text, m.end())
+            out.append(("name", m.start(), end))
+            at = end
         else:  # the next may begin at its second word
             second = re.search(r"\s\S", m.group())
             at = m.start() + second.start() + 1 if second else m.end()
@@ -254,6 +270,8 @@ def labelled_sample(size: int = SAMPLE, seed: int = 5) -> list[tuple[str, list[t
     up = lambda s: s[:1].upper() + s[1:]
     place = lambda: up("".join(r.choice(syllables) for _ in range(r.randint(2, 3))) + r.choice("nlrstmkd"))
     surname = lambda: up("".join(r.choice(syllables) for _ in range(r.randint(1, 2))) + r.choice(ends))
+    onsets, ends_of_given = "sh xi ngu bri cai tha dmi oke ye zh mbe fio sau quy aoi tri kir gud hre lju".split(), "an en on ia ie ena ura iko ish esh ell eth oma ard us yen oor il am ys".split()
+    stranger = lambda: up(r.choice(onsets) + r.choice(["", *syllables]) + r.choice(ends_of_given))
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     filler = lambda: r.choice(["The limit was raised again.", "Values above 42 are rejected.", "See the guide for the score band.", f"Our {place()} environment is small.", "[2024-03-02T10:11:12Z] member-0042: ok,", f"Set `pool.max` to {d(3)} first.", ""])
 
@@ -273,11 +291,12 @@ def labelled_sample(size: int = SAMPLE, seed: int = 5) -> list[tuple[str, list[t
     def address():
         city, zip_ = place(), d(5)
         out = r.choice([f"{d(3)} {place()} {r.choice(['Street', 'Road', 'Avenue', 'Lane', 'Crescent', 'Drive'])}, {city}", f"{d(2)} {place()} St., {city}", f"{d(3)} {place()} St{chr(10)}{city} {zip_}", f"{d(2)} {place()} St {city} {zip_}", f"{d(2)} {place()} Ave., Suite {d(3)}, {city}", f"{r.randint(1, 200)}, rue {place()}, {zip_} {city}", f"{place()}straße {d(2)}a, {zip_} {city}", f"{place()}weg {d(2)}, {zip_} {city}", f"Calle {place()} {d(2)}, {zip_} {city}", f"Flat {d(2)}, {d(2)} {place()} Road, {city}", f"{d(3)}B {place()} Street, {city} {zip_}", f"{r.randint(1, 250)}{r.choice('ABC')} {place()} {r.choice(['Street', 'Road', 'Lane'])}, {city}", f"{r.randint(1, 250)} {place()} Crescent, {city}", f"{r.randint(1, 250)} {place()} {place()} Road, {city}"])
-        return out.upper() if r.random() < 0.2 and "ß" not in out else out
+        return out.upper() if r.random() < 0.2 and "ß" not in out else out.lower() if r.random() < 0.08 else out
 
     def name():
-        g, s = up(r.choice(given)), surname()
-        out = r.choice([f"{g} {s}", f"{g} {s}", f"{g} {r.choice('ABDEKLMT')}. {s}", f"{r.choice('ABDEKLMT')}. {s}", f"Dr {g} {s}", f"Ms {s}", f"Mr. {s}", f"Herr {s}", f"{s}, {g}"])
+        g = up(r.choice(given)) if r.random() < 0.6 else stranger()
+        s = surname() if r.random() < 0.7 else stranger()
+        out = r.choice([f"{g} {s}", f"{g} {s}", f"{g} {r.choice('ABDEKLMT')}. {s}", f"{r.choice('ABDEKLMT')}. {s}", f"Dr {g} {s}", f"Ms {s}", f"Mr. {s}", f"Herr {s}", f"{s}, {g}", f"{g} {s} {surname()}", f"{g} {r.choice(['de', 'van', 'von', 'di', 'al', 'de la', 'van der'])} {s}"])
         return out.upper() if r.random() < 0.12 else out
 
     say = {
@@ -285,7 +304,7 @@ def labelled_sample(size: int = SAMPLE, seed: int = 5) -> list[tuple[str, list[t
         "phone": ["Call {} if it stays red.", "Ring {} and ask for the desk.", "The caller left {} as a number.", "Fax and voice end at {}.", "Out of hours: {}.", "She wants a text message on {} later.", "Phone {} now.", "{} is the hotline.", "Contact card: Ann Bell, 4 Elm Road, Kelm, {}.", "Noted {} in the log."],
         "id_number": ["The caller was verified with passport number {} today.", "Customer quoted SSN {} in the form.", "Matched on {}, no second hit.", "Record opened under identity card {}.", "Please delete social security number {} from the field.", "Scan shows driving licence {}, expired.", "Tax id {} was seen.", "Personal number {} is on file.", "Record opened under {}.", "Noted {} in the log.", "It shows {} twice."],
         "address": ["Letters still go to {}.", "Lives at {} according to the form.", "Courier was sent to {}, twice.", "Delivery address on file: {}.", "The branch moved to {} last month.", "Ship the token to {}.", "Noted {} in the log.", "Contact card: Ann Bell, {}, 555-0100."],
-        "name": ["{} approved the change window.", "The request was signed by {}.", "Ask {} about the weights.", "Please loop in {} from the billing desk.", "According to {}, the job had failed.", "Escalate to {} when the queue is full.", "Thanks for the quick check, {}!", "Contact card: {}, {}.", "{} said so.", "Reviewed by {} on Monday.", "Then {} left the room.", "Noted {} in the log."],
+        "name": ["{} approved the change window.", "The request was signed by {}.", "Ask {} about the weights.", "Please loop in {} from the billing desk.", "According to {}, the job had failed.", "Escalate to {} when the queue is full.", "Thanks for the quick check, {}!", "Contact card: {}, {}.", "{} said so.", "Reviewed by {} on Monday.", "Then {} left the room.", "Noted {} in the log.", "It was signed by {}.", "Please escalate to {} today.", "Dear {},", "I met {} at noon.", "{} had asked for it."],
     }
     make = {"email": email, "phone": phone, "id_number": number, "address": address, "name": name}
     versions = lambda: ".".join(d(1) for _ in range(r.randint(2, 4)))
@@ -293,8 +312,8 @@ def labelled_sample(size: int = SAMPLE, seed: int = 5) -> list[tuple[str, list[t
         "email": [lambda: f"The package rules@{versions()} replaces it.", lambda: "Use user@tenant as the key pattern.", lambda: "Mention @oncall in the room.", lambda: f"Pin loader@{versions()} now.", lambda: f"Look at {place()} now.", lambda: f"It stopped at {place()}. Then it went on.", lambda: f"The job was at step.{d(1)} of it.", lambda: f"Meet at {place()}.Next item", lambda: f"host root@{place().lower()} in the shell"],
         "phone": [lambda: f"Job id 00{d(r.randint(1, 4))}-11-{d(r.randint(2, 5))} was replayed.", lambda: f"Job id 0{d(r.randint(3, 6))}-{d(2)}-{d(r.randint(3, 5))} was replayed.", lambda: f"The counter read 555 0{d(r.randint(2, 4))} before the reset.", lambda: f"Order reference {d(4)}-{d(r.randint(2, 4))}-{d(r.randint(2, 4))} has no owner.", lambda: f"Job id {d(4)}-{d(2)}-{d(3)} was replayed.", lambda: f"Order reference {d(4)}-{d(2)}-{d(2)} has no owner.", lambda: f"Build 2024.{d(4)}.{d(2)} answers on 10.0.{d(2)}.12 now.", lambda: f"The counter read {d(3)} {d(3)} {d(3)} before the reset.", lambda: f"INC-{d(4)}-{d(3)} is open.", lambda: f"[2024-0{r.randint(1, 9)}-1{d(1)}T{d(2)}] now", lambda: f"From 2024-01-1{d(1)} to 2025-02-0{d(1)}.", lambda: f"Totals {d(6)},{d(6)},{d(7)} follow.", lambda: f"Serial {d(4)}-{d(4)}-{d(4)} passed.", lambda: f"Job id {d(6)}-11-{d(4)} was replayed.", lambda: f"{d(6)} {d(6)} rows", lambda: f"Matched on SSN {d(3)}-{d(2)}-{d(4)}.", lambda: f"Tax id {d(2)} {d(3)} {d(3)} {d(3)} was quoted.", lambda: f"personal number {d(6)}-{d(4)} in the form"],
         "id_number": [lambda: f"Job id 0{d(r.randint(3, 6))}-{d(2)}-{d(r.randint(3, 5))} was replayed.", lambda: f"Order reference {d(4)}-{d(r.randint(2, 4))}-{d(r.randint(2, 4))} has no owner.", lambda: f"The counter read 555 0{d(r.randint(2, 4))} before the reset.", lambda: f"Job id {d(4)}-{d(2)}-{d(3)} was replayed.", lambda: f"Order reference {d(4)}-{d(2)}-{d(4)} has no owner.", lambda: f"Build 2024.{d(4)}.{d(2)} answers.", lambda: f"The counter read {d(3)} {d(3)} before.", lambda: f"INC-{d(4)}-{d(3)} is open.", lambda: f"On 2024-0{r.randint(1, 9)}-1{d(1)} it ran.", lambda: f"Totals {d(6)},{d(6)},{d(7)} follow.", lambda: f"Call +1 ({d(3)}) {d(3)}-{d(4)} now.", lambda: f"Ring 0049-{d(2)}-{d(5)}-{d(3)}.", lambda: f"Phone +34 {d(3)} {d(3)} {d(3)}.", lambda: f"tel {d(3)}-{d(4)} works", lambda: f"Commit {d(3)}AB{d(5)} is bad.", lambda: f"Courier to 12, rue {place()}, {d(5)} {place()}", lambda: f"{d(3)} 2024 and {d(4)} rows", lambda: f"hash A{d(7)}"],
-        "address": [lambda: f"Read Section {d(2)} Road Map in the guide.", lambda: f"Step {d(2)}, Lane view, shows {d(2)} rows.", lambda: f"See {d(1)} {place()} Road Map today.", lambda: f"Row {d(2)} Street View Lane stays open.", lambda: f"After {d(2)} Requests Close Way early.", lambda: f"Chapter {d(1)} {place()} Place is long."],
-        "name": [lambda: f"In {place()} Console the map is open.", lambda: f"Read Section {d(2)} Road Map in {place()} Canvas.", lambda: f"{up(r.choice(given))} runs the {place()} Stream today.", lambda: f"The {place()} Rules team left.", lambda: f"Das Team {place()} prüft es.", lambda: f"For {place()} Hub, {place()} waits.", lambda: f"Open {place()}, pick the cache.", lambda: f"Seen by {place()} and {place()} on {place()}.", lambda: f"Tenants {place()}, {place()}, {place()} agree.", lambda: f"Step A. {place()} follows.", lambda: f"See plan B. Then stop.", lambda: f"Ask {up(r.choice(given))} about it.", lambda: f"Drive {d(1)}. {place()} goes on.", lambda: f"Use Dr Watson Gateway {versions()}.", lambda: f"Marlo Gateway {versions()} and {place()} Ledger agree."],
+        "address": [lambda: f"Read Section {d(2)} Road Map in the guide.", lambda: f"Step {d(2)}, Lane view, shows {d(2)} rows.", lambda: f"See {d(1)} {place()} Road Map today.", lambda: f"Row {d(2)} Street View Lane stays open.", lambda: f"After {d(2)} Requests Close Way early.", lambda: f"Chapter {d(1)} {place()} Place is long.", lambda: f"The {d(1)} jobs that drive the map are late.", lambda: f"After {d(2)} days of the long road it ended.", lambda: f"Some {d(2)} rules in a square were read."],
+        "name": [lambda: f"In {place()} Console the map is open.", lambda: f"Read Section {d(2)} Road Map in {place()} Canvas.", lambda: f"{up(r.choice(given))} runs the {place()} Stream today.", lambda: f"The {place()} Rules team left.", lambda: f"Das Team {place()} prüft es.", lambda: f"For {place()} Hub, {place()} waits.", lambda: f"Open {place()}, pick the cache.", lambda: f"Seen by {place()} and {place()} on {place()}.", lambda: f"Tenants {place()}, {place()}, {place()} agree.", lambda: f"Step A. {place()} follows.", lambda: f"See plan B. Then stop.", lambda: f"Ask {up(r.choice(given))} about it.", lambda: f"Drive {d(1)}. {place()} goes on.", lambda: f"Use Dr Watson Gateway {versions()}.", lambda: f"Marlo Gateway {versions()} and {place()} Ledger agree.", lambda: f"{place()} {place()} is open.", lambda: f"It moved from {place()} {place()} to the south.", lambda: f"Known Issues of {place()} {place()} follow.", lambda: f"{place()} {place()} {versions()} is out.", lambda: f"Die Werte der {place()} {place()} stimmen.", lambda: f"Values by {place()} {place()} were read.", lambda: f"Tenant {place()} {place()} left."],
     }
     out = []
     for kind in KINDS:

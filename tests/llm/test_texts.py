@@ -143,6 +143,17 @@ def test_defect_table_edges(spark):
     assert defects.find_defects(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_names_outside_the_list():
+    """People whose given names the list does not hold, beside the cues that say who they are."""
+    models = pii.fit_models()
+    names = "Siobhan Gallagher|Xiadani Okonkwo|Brian Cooper|Nguyen Thi Hoa|Oluwaseun Adeyemi|Gwyneth Pritchard|Tadhg Brennan|Ljubica Petrovic|Kwabena Mensah|Hye Park".split("|")
+    forms = ["The request was signed by {} yesterday.", "Please loop in {} from the desk.", "{} approved the change window.", "Escalate to {} when the queue is full."]
+    found = [any(k == "name" and n in t[a:b] for a, b, k in pii.detect([t], models)[0]) for n in names for f in forms for t in [f.format(n)]]
+    assert sum(found) >= 0.85 * len(found)
+    plain = ["In Holm Console the map is open.", "The Delta Rules team left.", "Open Section Two of the Release Notes.", "Das Team Kelmar prüft die Werte der Gruppe Nord."]
+    assert not any(k == "name" for t in plain for *_, k in pii.detect([t], models)[0])
+
+
 DOC = "doc_id string, source_type string, source_ref string, source_path string, title string, page int, text string, markdown string, metadata map<string,string>"
 
 
