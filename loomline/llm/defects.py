@@ -1,7 +1,8 @@
 """Problem 4: answers that do not answer their question.
 
-Distinct answers are sorted by text over range partitions; as all extensions of a text follow it directly in that order,
-one look at the next neighbour finds every answer that is a shortened version of another. Lengths at which unusually
+Distinct answers are sorted by text over range partitions, where all extensions of a text follow it. An answer without a
+final mark is looked up once for each way in which a sentence goes on (a letter, a space, a comma ...): the neighbour that
+follows there has a common prefix with it as long as the answer exactly if the answer is a shortened version. Lengths at which unusually
 many answers stop give the length limits of the producer. Both facts join the record, and rules decide in one Arrow
 pass: stand-ins for nothing, refusals, copies of the question, language by function words, and the shape of the end.
 
@@ -55,8 +56,17 @@ FUNCTION_WORDS = {
     "en": "the of and to is in for with that by it be from are this which when how what why does can where who no then into has have was were been after before while you your than only too until either between if at as any its on or",
     "de": "der die das und ist nicht ein eine einer eines wird für auf mit von dem den des nach im muss dass sich bleibt zu bei wenn ob wie warum wann wo obwohl wurde werden sobald nur bevor durch falls ohne hat noch einmal zum zur darf erst schon bereits sowie auch beim vom oder als am",
     "fr": "le les du et est une dans pour que qui ne pas sur avec au aux par reste être l d n s quand pourquoi comment où faut il soit alors sans après avant si ce cette son sa leur été bien déjà fait dès sont aussi ou mais depuis ainsi peut doit",
+    "it": "il lo gli della delle dei degli nel nella che di è sono per con una non si al dal dalla sul sulla questo questa quando perché dove come anche più viene deve può prima dopo senza fino",
+    "pt": "os as da das do dos na no nas nos em uma um que não é são para com por se ao à foi ser quando porque onde como também mais deve pode antes depois sem até isso esta este",
+    "nl": "het een van en niet voor met op zijn wordt worden aan door naar bij om als dan ook maar deze dit wat wanneer waarom waar hoe heeft hebben moet kan nog geen alleen voordat",
     "es": "el los las del y una en para por con se al sin queda ser tras cuando qué cómo dónde hay por aunque ya que ha sido hace sea su sus tienen según también pero desde puede debe antes después hasta lo si vale es muy solo",
 }
+#: Scripts that decide a language by themselves.
+SCRIPTS = {
+    "han": "\u3400-\u4dbf\u4e00-\u9fff", "kana": "\u3040-\u30ff", "hangul": "\u1100-\u11ff\uac00-\ud7af", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "arabic": "\u0600-\u06ff\u0750-\u077f",
+    "hebrew": "\u0590-\u05ff", "devanagari": "\u0900-\u097f", "thai": "\u0e00-\u0e7f",
+}
+_SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _LANGUAGES = {w: [k for k, s in _SETS.items() if w in s] for s in _SETS.values() for w in s}
 _WORD = re.compile(r"[^\W_]+")
@@ -85,19 +95,31 @@ _WHOLE_END = re.compile(r"(?:(?:^|\n)\s*\|[^\n]*\||[\U0001F300-\U0001FAFF☀-➿
 _OPEN_MARK = re.compile(r"(?:\b(?:e\.\s?g|i\.\s?e|cf|vs|approx|incl|resp|fig|no|dr|mr|mrs|prof|st|z\.\s?b|d\.\s?h|bzw|ca|p\.\s?ej|p\.\s?ex)\.|(?:^|\n)\s*\d{1,3}[.)])$", re.I)
 
 
-def language(text: str) -> str | None:
-    """en, de, fr or es by the function words of a text, None if they do not decide."""
-    words = _WORD.findall(_CODE.sub(" ", text).casefold())
+def languages(text: str) -> frozenset[str]:
+    """The languages that a text may be in: a script, or those whose function words are nearly as frequent as the most frequent; empty if nothing decides."""
+    plain = _CODE.sub(" ", text)
+    if not plain.isascii():
+        letters = sum(c.isalpha() for c in plain)
+        for name, pattern in _SCRIPTS.items():
+            if (n := len(pattern.findall(plain))) >= 6 and 2 * n >= letters:
+                return frozenset(["han", "kana"] if name in ("han", "kana") else [name])
+    words = _WORD.findall(plain.casefold())
     if len(words) < 4:
-        return None
+        return frozenset()
     score = dict.fromkeys(_SETS, 0)
     for word in words:
         for k in _LANGUAGES.get(word, ()):
             score[k] += 1
-    first, second = sorted(score.values(), reverse=True)[:2]
-    if first < max(2, 0.12 * len(words)) or first < 1.3 * second:
-        return None
-    return max(score, key=score.__getitem__)
+    first = max(score.values())
+    if first < max(2, 0.12 * len(words)):
+        return frozenset()
+    return frozenset(k for k, n in score.items() if 1.3 * n > first)
+
+
+def language(text: str) -> str | None:
+    """The language of a text, None if there is none or more than one."""
+    found = languages(text)
+    return next(iter(found)) if len(found) == 1 else None
 
 
 def copies(question: str, answer: str, new: float = 0.12) -> bool:
@@ -145,27 +167,38 @@ def defect(question: str | None, answer: str | None, shortened: bool = False, sp
         return "copies_question"
     if is_refusal(a):
         return "refusal"
-    asked, said = language(q), language(a)
-    if asked and said and asked != said:
+    asked, said = languages(q), languages(a)
+    if asked and said and not asked & said:
         return "other_language"
     return "truncated_answer" if unfinished(a, shortened, spike) else None
 
 
+#: How a sentence goes on after a letter or digit: the next character, or the first of a range of letters.
+GOES_ON = (" ", "'", "’", "(", ",", ";", ":", "-", "0", "A", "a", "\u00aa", "\u00c0")
+
+
 def shortened_answers(answers: DataFrame) -> DataFrame:
-    """``answers`` (answer, distinct) with ``shortened``: another text starts with it and goes on inside a sentence."""
-    ranged = answers.repartitionByRange("answer").withColumn("part", F.spark_partition_id())
-    sorted_ = Stage(ranged, "sorted").df
-    firsts = sorted_.groupBy("part").agg(F.min("answer").alias("first"))
-    nexts = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("next_first"))
-    inside = F.lead("answer").over(Window.partitionBy("part").orderBy("answer"))
-    follow = F.coalesce("follow", "next_first")
-    rest = F.substring(follow, F.length("answer") + 1, F.lit(40))
-    goes_on = F.col("answer").rlike(r"[\p{L}\p{N}]$") & rest.rlike(r"^[\p{L}\p{N}'’-]|^[ ,;:(]") | F.col("answer").rlike(r"[,(:–-]$")
-    return (
-        sorted_.withColumn("follow", inside)
-        .join(F.broadcast(nexts), "part")
-        .select("answer", F.coalesce(F.startswith(follow, F.col("answer")) & (F.length("answer") >= 20) & (goes_on | rest.rlike(r"^[\p{L}\p{N}]")), F.lit(False)).alias("shortened"))
-    )
+    """(answer, shortened: true) of the distinct ``answers`` (answer) of at least 20 characters of which another one goes on inside a sentence.
+
+    What follows an answer in the order of texts need not be the extension that goes on, so each is looked up at every
+    GOES_ON; one that ends in an opening mark or a comma goes on with anything.
+    """
+    long = answers.where(F.length("answer") >= 20).select("answer")
+    bare, cut = F.col("answer").rlike(r"[\p{L}\p{N}]$|\d\.$"), F.col("answer").rlike(r"[,(:–-]$")
+    ends = F.when(bare, F.array(*[F.lit(c) for c in GOES_ON])).when(cut, F.array(F.lit("\x01")))
+    probes = long.where(bare | cut).select(F.col("answer").alias("of"), F.explode(ends).alias("end"))
+    probes = probes.select(F.concat("of", "end").alias("key"), F.lit(0).alias("kind"), F.length("of").alias("size"))
+    both = answers.select(F.col("answer").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("size")).unionByName(probes)
+    wide = Stage(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "sorted").df
+    back = Window.partitionBy("part").orderBy(F.desc("key"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    text = F.when(F.col("kind") == 1, F.col("key"))
+    firsts = wide.groupBy("part").agg(F.min(text).alias("first"))
+    nexts = firsts.select("part", F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("next_first"))
+    found = wide.withColumn("inside", F.last(text, ignorenulls=True).over(back)).where("kind = 0").join(F.broadcast(nexts), "part")
+    follow, own = F.coalesce("inside", "next_first"), F.substring("key", F.lit(1), F.col("size"))
+    rest = F.substring(follow, F.col("size") + 1, F.lit(40))
+    on = F.when(own.rlike(r"[,(:–-]$"), rest != "").when(own.rlike(r"\.$"), rest.rlike(r"^[\p{L}\p{N}]")).otherwise(rest.rlike(r"^[\p{L}\p{N}'’-]|^[ ,;:(]"))
+    return found.where(F.startswith(follow, own) & on).select(own.alias("answer")).distinct().withColumn("shortened", F.lit(True))
 
 
 def length_spikes(answers: DataFrame, least: int = 20, factor: float = 4.0, around: int = 10) -> DataFrame:
@@ -184,7 +217,7 @@ def find_defects(records: DataFrame, id_col: str = "qa_id") -> DataFrame:
     """(id_col, defect_type) of the defective records, distinct."""
     rows = records.select(F.col(id_col).alias("id"), "question", "answer").distinct()
     said = Stage(rows.where(F.col("answer").isNotNull()).select("answer").distinct(), "answers").df
-    short = shortened_answers(said).where("shortened").select("answer", F.lit(True).alias("shortened"))
+    short = shortened_answers(said)
     spikes = length_spikes(said)
     short = Stage(short, "short").df
     few = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -136,6 +136,24 @@ def test_shortened_answers_cross_partitions(spark):
     assert got == want
 
 
+def test_shortened_answers_behind_other_extensions(spark):
+    head = "The rule moves with the group of the tenant"
+    texts = [head, head + "\nSee the guide.", head + " after a while.", "Keys of the pool:\tone and two are set,", "Keys of the pool:\tone and two are set, three is not.", "Keys of the pool:\tone and two are set,\nor not."]
+    got = {x.answer for x in defects.shortened_answers(spark.createDataFrame([(t,) for t in texts], "answer string")).collect()}
+    assert got == {head, texts[3]}
+    whole = [head, head + "\nSee the guide.", head + ".", head + "!"]
+    assert defects.shortened_answers(spark.createDataFrame([(t,) for t in whole], "answer string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "answer",
+    ["Il gruppo della regola non è pronto, quindi la chiave deve restare nella console.", "Das Team prüft die Regel und nicht die Gruppe.", "规则随租户的组一起移动，因此不需要更改设置。", "Правило переходит вместе с группой арендатора.", "O grupo da regra não está pronto, então a chave deve ficar na console.", "De regel gaat met de groep mee en moet niet worden gewijzigd."],
+)
+def test_answers_in_other_languages(answer):
+    assert defects.defect("How do I move the rule to the other group?", answer) == "other_language"
+    assert defects.defect(None, answer) is None
+
+
 def test_defect_table_edges(spark):
     schema = "qa_id string, question string, answer string, length int"
     rows = [("a", "Why is it so?", "", 1), ("a", "Why is it so?", "", 1), ("b", None, None, 1), ("c", "Why is the sky blue?", "Because of the light in the air.", 1)]
