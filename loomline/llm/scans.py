@@ -236,13 +236,10 @@ def repair(body: str, cands, pairs, keys, known, keep) -> tuple[str, int, int, i
     code = False
     for line in re.split(r"\r?\n", body):
         text = line.strip()
-        if text.startswith(("```", "~~~")):
+        if code or text.startswith(("```", "~~~")):  # a block may end behind its last line of code
             code ^= len(re.findall(r"```|~~~", line)) % 2 == 1
             kept.append((line, True))
             continue
-        if code:
-            kept.append((line, True))
-            continue
         number = 0 < len(text) <= 40 and bool(PAGE_LINE.match(text))
         head = bool(text) and not number and is_header(text, keys, known)
         if number or head:
@@ -281,11 +278,9 @@ def repair(body: str, cands, pairs, keys, known, keep) -> tuple[str, int, int, i
     if options:
         fence = False
         for i, line in enumerate(paragraphs):
-            if re.match(r"\s*(?:```|~~~)", line):
+            if fence or re.match(r"\s*(?:```|~~~)", line):
                 fence ^= len(re.findall(r"```|~~~", line)) % 2 == 1
                 continue
-            if fence:
-                continue
             found = list(_TOKEN.finditer(line))
             low = [m.group().lower() for m in found]
             if any(w in options for w in low):

@@ -186,12 +186,12 @@ def test_scan_noise(spark):
         doc("m", "The aud1ence segrnent bclongs to the treatment of the rol1back point.", path="m.pdf", title=None),
         doc("h", "The audience seg-\nment belongs to the treat-\r\nment of the point.", path="h.pdf", title=None),
         doc("p", "The audience belongs\nHolm Guide\n- 12 -\nto the treatment.", path="p.pdf"),
-        doc("k", "```\n12\n13\n```\nThe audience belongs to it.", path="k.pdf", title=None), doc("n", None, None), doc("e", "", ""), doc("w", "seg-\nment", kind="webex"),
+        doc("k", "```\n12\n13\n```\nThe audience belongs to it.", path="k.pdf", title=None), doc("f", "``` { \"a\": 1,\n12\n\"b\": 2 } ```\nThe seg-\nment belongs to it.\n- 12 -\nIt stays.", path="f.pdf", title=None), doc("n", None, None), doc("e", "", ""), doc("w", "seg-\nment", kind="webex"),
     ]
     rows.append(rows[-5])
     df = spark.createDataFrame(rows, DOC)
     got = {tuple(x) for x in scans.found_noise(df).where("doc_id not like 'c%'").collect()}
-    assert got == {("m", "text", "misread_chars"), ("h", "text", "hyphen_break"), ("p", "text", "running_header"), ("p", "text", "page_number")}
+    assert got == {("m", "text", "misread_chars"), ("h", "text", "hyphen_break"), ("f", "text", "hyphen_break"), ("f", "text", "page_number"), ("p", "text", "running_header"), ("p", "text", "page_number")}
     fixed = {x.doc_id: x for x in scans.repaired(df).collect()}
     assert fixed["m"].text == "The audience segment belongs to the treatment of the rollback point."
     assert fixed["h"].text == "The audience segment belongs to the treatment of the point."
