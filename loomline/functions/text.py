@@ -28,6 +28,8 @@ MARKER = "\n...[truncated]"
 #: Lexical tokens with inner separators, and the separators.
 COMPOUND = r"[A-Za-z0-9]+(?:[-_./:][A-Za-z0-9]+)*"
 SEPARATORS = r"[-_./:]+"
+#: Fixed value: query terms that a snippet is placed by.
+SNIPPET_TERM = r"[A-Za-z0-9][A-Za-z0-9._/-]*"
 
 
 def trim(text: Column) -> Column:
@@ -153,15 +155,19 @@ def match_key(text: Column) -> Column:
 
 
 def snippet(text: Column, query: Column, most: int = 420) -> Column:
-    """A window of ``most`` characters around the earliest query term of three letters or more, with ellipses."""
+    """A window of ``most`` characters around the earliest query term of three characters or more, with ellipses."""
     clean = collapse(F.coalesce(text, F.lit("")))
-    low = F.lower(clean)
-    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 3))
-    at = F.coalesce(F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)), F.lit(1))
-    start = F.greatest(F.lit(1), F.least(at - most // 3, F.length(clean) - most + 1))
-    body = F.trim(F.substring(clean, start, F.lit(most)))
-    whole = F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(start + most - 1 < F.length(clean), "...").otherwise(""))
-    return F.when(F.length(clean) <= most, clean).otherwise(whole)
+    terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(SNIPPET_TERM), F.lit(0)), lambda t: F.length(t) >= 3)
+
+    def around(c: Column) -> Column:
+        found = F.filter(F.transform(terms, lambda t: F.instr(F.lower(c), t)), lambda p: p > 0)
+        first = F.greatest(F.lit(0), F.coalesce(F.array_min(found) - 1, F.lit(0)) - most // 3)
+        end = F.least(F.length(c), first + most)
+        start = F.greatest(F.lit(0), end - most)
+        body = trim(F.substring(c, start + 1, end - start))
+        return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(c), "...").otherwise(""))
+
+    return F.transform(F.array(clean), lambda c: F.when(F.length(c) <= most, c).otherwise(around(c)))[0]
 
 
 def clean_rewrite(output: Column, fallback: Column) -> Column:
@@ -175,13 +181,11 @@ def clean_rewrite(output: Column, fallback: Column) -> Column:
 
 
 def is_heading(text: Column) -> Column:
-    """Numbered prefix, or short text without a full stop whose words mostly begin in upper case."""
-    t = trim(text)
-    parts = F.split(t, r"\s+")
-    ups = F.size(F.filter(parts, lambda w: w.rlike(r"^\p{Lu}")))
-    lettered = F.size(F.filter(parts, lambda w: w.rlike(r"^\p{L}")))
-    short = (F.size(parts) <= 14) & (F.length(t) <= 120) & ~t.endswith(".")
-    return F.coalesce(t.rlike(r"^\d+(?:\.\d+)*[.)]?\s+\S"), F.lit(False)) | F.coalesce(short & (lettered > 0) & (ups / lettered >= 0.65), F.lit(False))
+    """Numbered prefix, or short text without a full stop whose letters are mostly upper case."""
+    t = trim(F.coalesce(text, F.lit("")))
+    letters, ups = (F.length(F.regexp_replace(t, p, "")) for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
+    short = (F.size(F.split(t, r"(?U)\s+")) <= 14) & (F.length(t) <= 120) & ~t.endswith(".")
+    return t.rlike(r"(?i)^(?:chapter\s+)?\d+(?:\.\d+)*\s+\S+") | (short & (letters > 0) & (ups >= 0.65 * letters))
 
 
 def page_span(start: Column, end: Column) -> Column:

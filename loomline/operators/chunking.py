@@ -1,11 +1,13 @@
 """Chunking: routing, character windows, paragraph packing.
 
-Packing and windowing are folds along one text; they run as Arrow UDFs that see one text at a time and give arrays of
-offsets or texts, exploded in the JVM. Null and blank texts give no chunks.
+Packing is arithmetic on lengths: a fold inside the JVM decides where groups begin, the texts are sliced and joined once.
+Only sentences (of oversized paragraphs) and windows, which look at single characters, are made by Arrow UDFs. Null and
+blank texts give no chunks.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -42,60 +44,27 @@ def sentences_of(text: str) -> list[str]:
     return [*out, tail] if tail else out
 
 
-def group_to(units: list[str], most: int, glue: str = " ") -> list[str]:
-    """Neighbouring units joined as long as they stay within ``most``; most <= 0 joins all."""
-    out: list[str] = []
-    for unit in units:
-        if out and (most <= 0 or len(out[-1]) + len(glue) + len(unit) <= most):
-            out[-1] += glue + unit
-        else:
-            out.append(unit)
-    return [u.strip() for u in out if u.strip()]
+def window_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of overlapping windows of a trimmed text; progress is always made.
 
+    A window ends at its last line break, else its last space, if that lies beyond the first third.
+    """
+    marks = {c: [m.start() for m in re.finditer(c, text)] for c in ("\n", " ")}
 
-def pack(units: list[str], target: int, least: int) -> list[str]:
-    """Paragraphs packed up to ``target``; oversized ones fall apart into sentence groups; a small rest joins its predecessor."""
-    pieces: list[str] = []
-    for unit in units:
-        parts = sentences_of(unit) if 0 < target < len(unit) else []
-        pieces += group_to(parts, target) if len(parts) > 1 else [unit]
-    out: list[str] = []
-    run: list[str] = []
-
-    def close() -> None:
-        text = "\n\n".join(run).strip()
-        run.clear()
-        if text and out and len(text) < least:
-            out[-1] = f"{out[-1]}\n\n{text}"
-        elif text:
-            out.append(text)
-
-    for piece in pieces:
-        if run and target > 0 and len("\n\n".join([*run, piece])) > target:
-            close()
-        fresh = not run
-        run.append(piece)
-        if not fresh and target > 0 and len("\n\n".join(run)) >= target:
-            close()
-    close()
-    return out
-
-
-def windows_of(text: str, size: int, overlap: int) -> list[str]:
-    """Overlapping windows, cut at the last line break, else space, beyond the first third; progress is always made."""
-    flat, out, start = text.strip(), [], 0
-    while start < len(flat):
-        end = min(len(flat), start + size)
-        if end < len(flat):
-            cut = flat.rfind("\n", start, end)
-            cut = cut if cut >= 0 else flat.rfind(" ", start, end)
-            end = cut if cut > start + size // 3 else end
-        if piece := flat[start:end].strip():
-            out.append(piece)
-        if end >= len(flat):
-            break
-        start = max(start + 1, end - overlap)
-    return out
+    def last(c: str, low: int, high: int) -> int:
+        at = bisect.bisect_left(marks[c], high) - 1
+        return marks[c][at] if at >= 0 and marks[c][at] >= low else -1
+
+    bounds = [(0, 0)]
+    while bounds[-1][1] < len(text):
+        low = max(bounds[-1][0] + 1, bounds[-1][1] - overlap) if len(bounds) > 1 else 0
+        high = low + size
+        if high < len(text):
+            cut = max(last("\n", low, high), -1)
+            cut = last(" ", low, high) if cut < 0 else cut
+            high = cut if cut - low > size // 3 else high
+        bounds.append((low, min(high, len(text))))
+    return bounds[1:]
 
 
 def sentence_array(text: Column) -> Column:
@@ -106,24 +75,95 @@ def sentence_array(text: Column) -> Column:
     return split(text)
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def group_starts(lengths: Column, most: int, glue: int, breaks: Column | None = None) -> Column:
+    """The places in ``lengths`` where a group begins, if neighbours are joined by ``glue`` characters as long as they stay
+    within ``most`` (<= 0: no limit); a true value in ``breaks`` begins a group as well."""
+
+    def step(acc: Column, i: Column) -> Column:
+        own = F.get(lengths, i)
+        longer = acc["run"] + glue + own
+        new = F.coalesce(F.get(breaks, i), F.lit(False)) if breaks is not None else F.lit(False)
+        new = (i > 0) & (new | (longer > most)) if most > 0 else (i > 0) & new
+        return F.struct(
+            F.when(new, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"), F.when(new | (i == 0), own).otherwise(longer).alias("run")
+        )
+
+    start = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("run"))
+    found = F.aggregate(F.sequence(F.lit(0), F.size(lengths) - 1), start, step, lambda acc: acc["at"])
+    return F.when(F.size(lengths) > 0, found).otherwise(F.array().cast("array<int>"))
+
+
+def ranges_of(starts: Column, total: Column) -> Column:
+    """array<struct<a, b>>: from each start up to the next, the last up to ``total``."""
+    return F.transform(starts, lambda at, k: F.struct(at.alias("a"), F.coalesce(F.get(starts, k + 1), total).alias("b")))
+
+
+def joined(texts: Column, span: Column, glue: str) -> Column:
+    return F.array_join(F.slice(texts, span["a"] + 1, span["b"] - span["a"]), glue)
+
+
+def grouped(texts: Column, most: int, glue: str = " ") -> Column:
+    """Neighbouring texts joined as long as they stay within ``most``; most <= 0 joins all."""
+    spans = lambda t: ranges_of(group_starts(F.transform(t, lambda x: F.length(x)), most, len(glue)), F.size(t))
+    return _bind(texts, lambda t: F.filter(F.transform(spans(t), lambda s: F.trim(joined(t, s, glue))), lambda x: x != ""))
+
+
+def divided(texts: Column, target: int) -> Column:
+    """array<struct<text, parts>>: texts longer than ``target`` as groups of their sentences; parts is 1 for whole texts."""
+
+    @F.pandas_udf("array<array<string>>")
+    def sentences(units: pd.Series) -> pd.Series:
+        return units.map(lambda u: None if u is None else [sentences_of(t) if len(t) > target else [] for t in u])
+
+    whole = lambda t: F.array(F.struct(t.alias("text"), F.lit(1).alias("parts")))
+    if target <= 0:
+        return F.flatten(F.transform(texts, whole))
+    over = F.exists(texts, lambda t: F.length(t) > target)
+    cut = sentences(F.when(over, texts))
+    split = lambda t, parts: F.when(F.size(parts) > 1, _bind(grouped(parts, target), lambda g: F.transform(g, lambda x: F.struct(x.alias("text"), F.size(g).alias("parts"))))).otherwise(whole(t))
+    many = F.flatten(F.transform(F.arrays_zip(texts.alias("t"), cut.alias("s")), lambda z: split(z["t"], z["s"])))
+    return F.when(over, many).otherwise(F.flatten(F.transform(texts, whole)))
+
+
+def kept_starts(spans: Column, size_of, least: int, same=None) -> Column:
+    """The places among ``spans`` where a chunk begins: a span shorter than ``least`` joins its predecessor (if ``same`` of both)."""
+    small = lambda k: size_of(F.get(spans, k)) < least
+    joins = (lambda k: small(k) & same(F.get(spans, k - 1), F.get(spans, k))) if same else small
+    return F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | ~joins(k))
+
+
 def packed_array(parts: Column, target: int, least: int) -> Column:
+    """Paragraphs packed up to ``target``; oversized ones fall apart into sentence groups; a small rest joins its predecessor."""
     if least < 0:
         raise ValueError("least must not be negative")
 
-    @F.pandas_udf("array<string>")
-    def run(units: pd.Series) -> pd.Series:
-        return units.map(lambda u: pack(list(u), target, least) if u is not None else [])
+    def pack(units: Column) -> Column:
+        spans = ranges_of(group_starts(F.transform(units, lambda u: F.length(u)), target, 2), F.size(units))
+        return _bind(spans, lambda s: chunks(units, s))
+
+    def chunks(units: Column, spans: Column) -> Column:
+        starts = kept_starts(spans, lambda s: F.length(joined(units, s, "\n\n")), least)
+        whole = ranges_of(F.transform(starts, lambda k: F.get(spans, k)["a"]), F.size(units))
+        return F.transform(whole, lambda s: joined(units, s, "\n\n"))
 
-    return run(parts)
+    texts = F.transform(divided(parts, target), lambda p: p["text"])
+    return F.when(F.size(parts) > 0, _bind(texts, pack)).otherwise(F.array().cast("array<string>"))
 
 
 def window_array(text: Column, size: int, overlap: int) -> Column:
+    """The windows of a text, trimmed, empty ones left out."""
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError("need 0 <= overlap < size")
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: windows_of(t, size, overlap) if isinstance(t, str) else [])
+        flat = texts.map(lambda t: t.strip() if isinstance(t, str) else "")
+        return flat.map(lambda t: [w for a, b in window_bounds(t, size, overlap) if (w := t[a:b].strip())])
 
     return run(text)
 

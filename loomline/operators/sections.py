@@ -5,42 +5,49 @@ Input: toc (file, pos, level, title, page), pages (file, page_count), blocks (fi
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import blank_to_null, collapse, paragraphs
-from loomline.operators.chunking import group_to, sentences_of
+from loomline.functions.text import blank_to_null, collapse, is_heading, paragraphs, stable_id
+from loomline.operators.chunking import divided, group_starts, joined, kept_starts, ranges_of
 
+UNTITLED = "Untitled Section"
 
-def section_ranges(toc: DataFrame, pages: DataFrame, depth: int = 6) -> DataFrame:
+
+def _paths(entries: Column) -> Column:
+    """The headings above each entry and its own, joined by ' > '; an entry ends all headings of its level and below."""
+    empty = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("above"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        above = F.concat(F.filter(acc["above"], lambda x: x["level"] < e["level"]), F.array(F.struct(e["level"].alias("level"), e["title"].alias("title"))))
+        name = lambda s: F.array_join(F.filter(F.transform(s, lambda x: x["title"]), lambda t: t != ""), " > ")
+        return F.transform(F.array(above), lambda s: F.struct(s.alias("above"), F.concat(acc["out"], F.array(F.coalesce(F.nullif(name(s), F.lit("")), F.lit(UNTITLED)))).alias("out")))[0]
+
+    return F.aggregate(entries, empty, step, lambda acc: acc["out"])
+
+
+def section_ranges(toc: DataFrame, pages: DataFrame) -> DataFrame:
     """(file, section_no, title, level, path, page_start, page_end).
 
-    Pages are clamped to the file; entries of level 1 win if there are any; of several that begin on a page the first
-    stays; a section ends before the next begins. Files without entries are one section. Paths follow the headings above.
+    Pages are clamped to the file, entries without a page ignored; entries of level 1 win if there are any; of several
+    that begin on a page the first by level and title stays; a section ends before the next begins. Blank titles read
+    Untitled Section. Files without entries are one section; files without pages have none. A file's table of contents is
+    one row, as a heading's path depends on all before it.
     """
-    rows = toc.join(pages, "file").select("file", "pos", "level", collapse(F.col("title")).alias("title"), F.least(F.greatest(F.col("page"), F.lit(1)), F.col("page_count")).alias("page"), "page_count")
-    rows = rows.where("title <> ''")
-    sofar = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    for d in range(1, depth + 1):
-        at = F.max(F.when(F.col("level") == d, F.col("pos"))).over(sofar)
-        rows = rows.withColumn(f"_p{d}", at).withColumn(f"_t{d}", F.last(F.when(F.col("level") == d, F.col("title")), ignorenulls=True).over(sofar))
-    parts = []
-    for d in range(1, depth + 1):
-        above = F.lit(True)
-        for u in range(1, d):
-            above = above & (F.col(f"_p{u}").isNull() | (F.col(f"_p{d}") > F.col(f"_p{u}")))
-        parts.append(F.when((F.col("level") >= d) & above, F.col(f"_t{d}")))
-    rows = rows.withColumn("path", F.concat_ws(" > ", *parts))
-    top = F.min(F.when(F.col("level") == 1, 1)).over(Window.partitionBy("file"))
-    rows = rows.withColumn("_top", top).where("_top is null or level = 1")
-    firsts = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("file", "page").orderBy("pos"))).where("_rn = 1")
-    order = Window.partitionBy("file").orderBy("page")
+    title = collapse(F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)))
+    entry = F.struct("pos", F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)).cast("int").alias("level"), title.alias("title"), "page")
+    lists = toc.where("page is not null").groupBy("file").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    each = lists.withColumn("p", _paths(F.col("e"))).select("file", F.explode(F.arrays_zip("e", "p")).alias("z")).select("file", "z.e.level", "z.e.title", "z.e.page", F.col("z.p").alias("path"))
+    rows = each.join(pages.where("page_count > 0"), "file").withColumn("page", F.least(F.greatest(F.col("page"), F.lit(1)), F.col("page_count")))
+    rows = rows.withColumn("_top", F.min("level").over(Window.partitionBy("file"))).where("level = 1 or _top > 1")
+    order = Window.partitionBy("file", "page").orderBy("level", F.lower("title"), "title", "path")
+    firsts = rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+    by_page = Window.partitionBy("file").orderBy("page")
     ranged = firsts.select(
-        "file", F.row_number().over(order).alias("section_no"), "title", "level", "path", F.col("page").alias("page_start"),
-        F.greatest(F.coalesce(F.lead("page").over(order) - 1, F.col("page_count")), F.col("page")).alias("page_end"),
+        "file", F.row_number().over(by_page).alias("section_no"), F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)).alias("title"), "level", "path", F.col("page").alias("page_start"),
+        F.greatest(F.coalesce(F.lead("page").over(by_page) - 1, F.col("page_count")), F.col("page")).alias("page_end"),
     )
-    bare = pages.join(ranged.select("file").distinct(), "file", "left_anti")
+    bare = pages.where("page_count > 0").join(ranged.select("file").distinct(), "file", "left_anti")
     whole = bare.select("file", F.lit(1).alias("section_no"), F.col("file").alias("title"), F.lit(1).alias("level"), F.col("file").alias("path"), F.lit(1).alias("page_start"), F.col("page_count").alias("page_end"))
     return ranged.unionByName(whole)
 
@@ -57,66 +64,46 @@ def page_paragraphs(blocks: DataFrame) -> DataFrame:
     return units.withColumn("unit_no", F.row_number().over(Window.partitionBy("file", "page").orderBy("block_no", "par"))).select("file", "page", "unit_no", "text")
 
 
-PLAN = "file string, section_no int, chunk_no int, heading string, text string, page_start int, page_end int, pages array<int>, paragraph_count int, sentence_split_count int"
-
-
 def pack_sections(ranges: DataFrame, units: DataFrame, target: int = 900, least: int = 220) -> DataFrame:
-    """Chunks of every section: units packed up to ``target`` under their last heading; headings are no text.
+    """(file, section_no, chunk_no, heading, text, page_start, page_end, pages, paragraph_count, sentence_split_count).
 
-    One Arrow call per section: packing is a fold along its units, and a section is bounded by its file.
+    Units are packed up to ``target`` under their last heading (first the section's title); headings are no text. A chunk
+    shorter than ``least`` joins the one before it under an equal heading. A section is one row while it is packed: it is
+    bounded by its file.
     """
-    from loomline.functions.text import is_heading
-
-    rows = section_pages(ranges).join(units, ["file", "page"]).withColumn("heading", is_heading(F.col("text")))
-    rows = rows.select("file", "section_no", "page", "unit_no", "text", "heading")
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "unit_no"])
-        out: list[dict] = []
-        run: dict = {}
-
-        def close() -> None:
-            if not run.get("texts"):
-                return
-            text = "\n\n".join(run["texts"])
-            if out and len(text) < least and out[-1]["heading"] == run["heading"]:
-                last = out[-1]
-                last["text"] += "\n\n" + text
-                last["pages"] = sorted({*last["pages"], *run["pages"]})
-                last["paragraph_count"] += len(run["texts"])
-                last["sentence_split_count"] += run["splits"]
-            else:
-                out.append({"heading": run["heading"], "text": text, "pages": sorted(set(run["pages"])), "paragraph_count": len(run["texts"]), "sentence_split_count": run["splits"]})
-            run.update(texts=[], pages=[], splits=0)
-
-        run.update(heading=None, texts=[], pages=[], splits=0)
-        for page, text, heading in zip(pdf["page"], pdf["text"], pdf["heading"]):
-            if heading:
-                close()
-                run["heading"] = text
-                continue
-            parts = group_to(sentences_of(text), target) if len(text) > target else [text]
-            for part in parts:
-                if run["texts"] and len("\n\n".join([*run["texts"], part])) > target:
-                    close()
-                run["texts"].append(part)
-                run["pages"].append(int(page))
-                run["splits"] += len(parts) > 1
-        close()
-        file, section = pdf["file"].iloc[0], int(pdf["section_no"].iloc[0])
-        return pd.DataFrame(
-            [{"file": file, "section_no": section, "chunk_no": i, "page_start": p["pages"][0], "page_end": p["pages"][-1], **p} for i, p in enumerate(out)],
-            columns=["file", "section_no", "chunk_no", "heading", "text", "page_start", "page_end", "pages", "paragraph_count", "sentence_split_count"],
-        )
-
-    return rows.groupBy("file", "section_no").applyInPandas(plan, PLAN)
+    title = ranges.select("file", "section_no", F.col("title").alias("_title"))
+    rows = section_pages(ranges).select("file", "section_no", "page").join(units, ["file", "page"]).withColumn("_is", is_heading(F.col("text")))
+    sofar = Window.partitionBy("file", "section_no").orderBy("page", "unit_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_no": F.sum(F.col("_is").cast("int")).over(sofar), "_head": F.last(F.when(F.col("_is"), F.col("text")), ignorenulls=True).over(sofar)}).where("not _is")
+    parts = rows.select("file", "section_no", "page", "unit_no", "_no", "_head", F.posexplode(divided(F.array("text"), target)).alias("part_no", "_p"))
+    unit = F.struct("page", "unit_no", "part_no", F.col("_no").alias("no"), F.col("_head").alias("head"), F.col("_p.text").alias("text"), (F.col("_p.parts") > 1).alias("split"))
+    lists = parts.groupBy("file", "section_no").agg(F.array_sort(F.collect_list(unit)).alias("u")).join(title, ["file", "section_no"])
+    n = F.size("u")
+    breaks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i > 0) & (F.get("u", i)["no"] != F.get("u", i - 1)["no"]))
+    lists = lists.withColumn("t", F.transform("u", lambda x: x["text"])).withColumn("b", breaks)
+    lists = lists.withColumn("s", ranges_of(group_starts(F.transform("t", lambda x: F.length(x)), target, 2, F.col("b")), n))
+    head = lambda span: F.coalesce(F.get("u", span["a"])["head"], F.col("_title"))
+    starts = kept_starts(F.col("s"), lambda span: F.length(joined(F.col("t"), span, "\n\n")), least, lambda x, y: head(x) == head(y))
+    lists = lists.withColumn("k", ranges_of(F.transform(starts, lambda i: F.get("s", i)["a"]), n))
+    own = lambda span: F.slice("u", span["a"] + 1, span["b"] - span["a"])
+    chunk = F.transform(
+        "k",
+        lambda span: F.struct(
+            head(span).alias("heading"), joined(F.col("t"), span, "\n\n").alias("text"), F.array_sort(F.array_distinct(F.transform(own(span), lambda x: x["page"]))).alias("pages"),
+            (span["b"] - span["a"]).alias("paragraph_count"), F.size(F.filter(own(span), lambda x: x["split"])).alias("sentence_split_count"),
+        ),
+    )
+    out = lists.select("file", "section_no", F.posexplode(chunk).alias("chunk_no", "c"))
+    first, last = F.element_at("c.pages", 1), F.element_at("c.pages", -1)
+    return out.select("file", "section_no", "chunk_no", "c.heading", "c.text", first.alias("page_start"), last.alias("page_end"), "c.pages", "c.paragraph_count", "c.sentence_split_count")
 
 
 def section_records(plans: DataFrame, ranges: DataFrame) -> DataFrame:
     """Document records of packed sections: reference, id, path with heading, page set."""
-    from loomline.functions.text import stable_id
-
     rows = plans.join(ranges.select("file", "section_no", "title", "path", F.col("page_start").alias("s"), F.col("page_end").alias("e")), ["file", "section_no"])
     ref = F.format_string("pdf::%s#section=%d-%d:pages=%d-%d:block=%d", "file", "s", "e", "page_start", "page_end", "chunk_no")
-    path = F.concat_ws(" > ", "path", "heading")
-    return rows.select(stable_id(ref).alias("doc_id"), F.lit("pdf").alias("source_type"), ref.alias("source_ref"), F.col("file").alias("source_path"), "title", F.col("page_start").alias("page"), "text", F.concat(F.lit("## "), F.coalesce("heading", "title"), F.lit("\n\n"), F.col("text")).alias("markdown"), path.alias("section_path"), "pages", "paragraph_count", "sentence_split_count")
+    sub = F.col("heading") != F.col("title")
+    path = F.when(sub, F.concat("path", F.lit(" > "), "heading")).otherwise(F.col("path"))
+    key = stable_id(F.lit("pdf-section"), F.col("file"), F.col("s"), F.col("e"), F.col("page_start"), F.col("page_end"), F.col("chunk_no"), F.col("heading"))
+    markdown = F.concat(F.lit("## "), F.col("title"), F.when(sub, F.concat(F.lit("\n### "), F.col("heading"))).otherwise(""), F.lit("\n\n"), F.col("text"), F.lit("\n"))
+    return rows.select(key.alias("doc_id"), F.lit("pdf").alias("source_type"), ref.alias("source_ref"), F.col("file").alias("source_path"), "title", F.col("page_start").alias("page"), "text", markdown.alias("markdown"), path.alias("section_path"), "pages", "paragraph_count", "sentence_split_count")

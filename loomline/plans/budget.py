@@ -1,83 +1,91 @@
-"""Prompt budgets: context rows, context text, history, prompts."""
+"""Prompt budgets: context rows, context text, history, prompts. All of it runs inside the JVM."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import MARKER, trim
+from loomline.functions.text import MARKER, clip, rtrim, token_count, trim
+
+#: A cut takes three characters for each token too many. As a token has at most four characters by the estimate, each
+#: round leaves at most a quarter of the excess (or takes eight characters), so this many rounds fit any text.
+ROUNDS = 40
+
+
+def _bind(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
 
-_PIECE = re.compile(r"\w+|[^\w\s]")
 
+def _fitted(text: Column, most: Column) -> Column:
+    """The longest beginning that the rounds of cutting leave, with at most ``most`` tokens; '' if none fits."""
+    sized = lambda t: _bind(t, lambda x: F.struct(x.alias("text"), (token_count(x) - most).alias("over")))
+    shorter = lambda s: rtrim(F.substring(s["text"], F.lit(1), F.greatest(F.length(s["text"]) - F.greatest(F.lit(8), 3 * s["over"]), F.lit(0))))
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), sized(text), lambda s, _: F.when(s["over"] > 0, sized(shorter(s))).otherwise(s), lambda s: s["text"])
+    return F.when(most > 0, cut).otherwise("")
 
-def tokens_of(text: str) -> int:
-    clean = text.strip()
-    return max(len(_PIECE.findall(clean)), max(1, len(clean) // 4)) if clean else 0
 
+def clip_tokens(text: Column, most: int | Column, marker: str = MARKER) -> Column:
+    """At most ``most`` estimated tokens (<= 0: no limit): a proportional cut, shortened until it fits, then the marker if it fits."""
+    limit = most if isinstance(most, Column) else F.lit(most)
+    extra = len(_marks(marker))
 
-def clip_chars(text: str, most: int, marker: str = MARKER) -> str:
-    clean = text.strip()
-    if most <= 0 or len(clean) <= most:
-        return clean
-    return clean[:most] if most <= len(marker) else clean[: most - len(marker)].rstrip() + marker
+    def clipped(both: Column) -> Column:
+        clean, total = both["clean"], both["total"]
+        share = F.greatest(F.lit(1), F.floor(F.length(clean) * (limit / F.greatest(total, F.lit(1)))).cast("int"))
+        start = rtrim(F.substring(clean, F.lit(1), share))
+        bare = _fitted(start, limit)
+        marked = _bind(_fitted(start, limit - extra), lambda c: F.when(c != "", F.concat(c, F.lit(marker))).otherwise(F.lit(marker.strip() or marker)))
+        return F.when((limit <= 0) | (total <= limit), clean).otherwise(F.when(F.lit(extra) < limit, marked).otherwise(bare) if marker else bare)
 
+    clean = trim(F.coalesce(text, F.lit("")))
+    return _bind(_bind(clean, lambda c: F.struct(c.alias("clean"), token_count(c).alias("total"))), clipped)
 
-def _shrink(text: str, most: int) -> str:
-    text = text.strip() if most > 0 else ""
-    while text and (over := tokens_of(text) - most) > 0:
-        text = text[: -max(8, 3 * over)].rstrip()
-    return text
 
+def _marks(text: str) -> list[str]:
+    """The pieces of a short constant text, as the estimate counts them."""
+    import re
 
-def clip_tokens(text: str, most: int, marker: str = MARKER) -> str:
-    """At most ``most`` estimated tokens: a proportional cut, trimmed until it fits, then the marker if it fits."""
-    clean = text.strip()
-    total = tokens_of(clean)
-    if most <= 0 or total <= most:
-        return clean
-    extra = tokens_of(marker)
-    if extra >= most:
-        marker, extra = "", 0
-    cut = _shrink(clean[: max(1, int(len(clean) * most / max(total, 1)))].rstrip(), most - extra)
-    return cut + marker if cut else marker.strip()
+    pieces = re.findall(r"\w+|[^\w\s]", text)
+    return pieces if len(pieces) >= len(text.strip()) // 4 else [""] * (len(text.strip()) // 4)
 
 
 def clip_tokens_column(text: Column, most: int) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: clip_tokens(t, most) if isinstance(t, str) else None)
-
-    return run(text)
-
-
-def fit_rows(texts: list[str | None], rows: int, chunk_chars: int, total_chars: int, chunk_tokens: int = 0, total_tokens: int = 0) -> list[tuple[int, str]]:
-    """(position, text) of the rows that fit, in order; limits <= 0 are off, the last row is cut to what is left."""
-    out: list[tuple[int, str]] = []
-    chars = tokens = 0
-    for i, raw in enumerate(texts):
-        if rows > 0 and len(out) >= rows:
-            break
-        text = (raw or "").strip()
-        if not text:
-            continue
-        text = clip_chars(text, chunk_chars)
-        text = clip_tokens(text, chunk_tokens)
+    return F.when(text.isNotNull(), clip_tokens(text, most))
+
+
+def fitting(texts: Column, rows: int, chunk_chars: int, total_chars: int, chunk_tokens: int = 0, total_tokens: int = 0) -> Column:
+    """array<struct<i, text>>: place and text of the ``texts`` that fit, in order; limits <= 0 are off, the last one is cut to what is left."""
+
+    def left(acc: Column) -> Column:
+        open_ = F.lit(True)
+        if rows > 0:
+            open_ = open_ & (F.size(acc["out"]) < rows)
         if total_chars > 0:
-            if chars >= total_chars:
-                break
-            text = clip_chars(text, total_chars - chars, "")
+            open_ = open_ & (acc["chars"] < total_chars)
         if total_tokens > 0:
-            if tokens >= total_tokens:
-                break
-            text = clip_tokens(text, total_tokens - tokens, "")
-        if text:
-            out.append((i, text))
-            chars += len(text)
-            tokens += tokens_of(text)
-    return out
+            open_ = open_ & (acc["tokens"] < total_tokens)
+        return open_
+
+    def within(acc: Column, text: Column) -> Column:
+        own = trim(F.coalesce(text, F.lit("")))
+        own = clip(own, chunk_chars) if chunk_chars > 0 else own
+        own = clip_tokens(own, chunk_tokens) if chunk_tokens > 0 else own
+        own = clip(own, F.lit(total_chars) - acc["chars"], "") if total_chars > 0 else own
+        return clip_tokens(own, F.lit(total_tokens) - acc["tokens"], "") if total_tokens > 0 else own
+
+    def add(acc: Column, i: Column, text: Column) -> Column:
+        more = F.struct(
+            F.concat(acc["out"], F.array(F.struct(i.alias("i"), text.alias("text")))).alias("out"), (acc["chars"] + F.length(text)).alias("chars"),
+            (acc["tokens"] + token_count(text)).alias("tokens"),
+        )
+        return F.when(text == "", acc).otherwise(more)
+
+    def step(acc: Column, i: Column) -> Column:
+        return F.when(left(acc), _bind(within(acc, F.get(texts, i)), lambda t: add(acc, i, t))).otherwise(acc)
+
+    none = F.struct(F.array().cast("array<struct<i:int,text:string>>").alias("out"), F.lit(0).alias("chars"), F.lit(0).alias("tokens"))
+    kept = F.aggregate(F.sequence(F.lit(0), F.size(texts) - 1), none, step, lambda acc: acc["out"])
+    return F.when(F.size(texts) > 0, kept).otherwise(F.array().cast("array<struct<i:int,text:string>>"))
 
 
 def select_context(ranked: DataFrame, rows: int = 10, chunk_chars: int = 1200, total_chars: int = 5000, chunk_tokens: int = 0, total_tokens: int = 0) -> DataFrame:
@@ -86,12 +94,8 @@ def select_context(ranked: DataFrame, rows: int = 10, chunk_chars: int = 1200, t
     A query's ranked rows are at most the retrieval's k, so they come together in one array and one fold.
     """
     lists = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "source_ref", "text"))).alias("r"))
-
-    @F.pandas_udf("array<struct<i:int,text:string>>")
-    def fit(items: pd.Series) -> pd.Series:
-        return items.map(lambda t: [{"i": i, "text": x} for i, x in fit_rows(list(t), rows, chunk_chars, total_chars, chunk_tokens, total_tokens)])
-
-    kept = lists.withColumn("k", fit(F.transform("r", lambda x: x["text"]))).select("query", "r", F.posexplode("k").alias("p", "k"))
+    lists = lists.withColumn("k", fitting(F.transform("r", lambda x: x["text"]), rows, chunk_chars, total_chars, chunk_tokens, total_tokens))
+    kept = lists.select("query", "r", F.posexplode("k").alias("p", "k"))
     return kept.select("query", (F.col("p") + 1).cast("bigint").alias("position"), F.get("r", F.col("k.i"))["source_ref"].alias("source_ref"), F.col("k.text").alias("text"))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,9 +45,14 @@ def test_sections(spark):
     toc = spark.createDataFrame([("f", 1, 1, "One", 1), ("f", 2, 2, "Deep", 2), ("f", 3, 1, "Two", 4), ("f", 4, 1, "Same page", 4), ("f", 5, 1, "Far", 99)], "file string, pos int, level int, title string, page int")
     pages = spark.createDataFrame([("f", 6), ("g", 3)], "file string, page_count int")
     got = {(x.file, x.title, x.page_start, x.page_end) for x in sections.section_ranges(toc, pages).collect()}
-    assert got == {("f", "One", 1, 3), ("f", "Two", 4, 5), ("f", "Far", 6, 6), ("g", "g", 1, 3)}
+    assert got == {("f", "One", 1, 3), ("f", "Same page", 4, 5), ("f", "Far", 6, 6), ("g", "g", 1, 3)}
     deep = toc.where("level = 2").unionByName(spark.createDataFrame([("f", 1, 3, "Deeper", 3)], toc.schema).withColumn("pos", F.lit(9)))
     assert {x.path for x in sections.section_ranges(deep, pages).where("file = 'f'").collect()} == {"Deep", "Deep > Deeper"}
+    many = [("h", i, i, f"L{i}", i) for i in range(2, 10)] + [("h", 10, 3, "", 20), ("h", 11, None, None, 21)]
+    ranged = sections.section_ranges(spark.createDataFrame(many, toc.schema), spark.createDataFrame([("h", 30), ("none", 0)], pages.schema)).collect()
+    assert [(x.title, x.path) for x in ranged] == [("Untitled Section", "Untitled Section")]  # a missing level is the first level
+    deep = sections.section_ranges(spark.createDataFrame(many[:9], toc.schema), pages.where("false").union(spark.createDataFrame([("h", 30)], pages.schema))).orderBy("section_no").collect()
+    assert deep[7].path == " > ".join(f"L{i}" for i in range(2, 10)) and deep[8].path == "L2 > Untitled Section"
 
 
 def test_packing_of_sections(spark):
@@ -161,9 +167,16 @@ def test_recency_and_threshold(spark):
     assert sorted(x.score for x in out) == [0.5, round(0.5 + 0.04 * 0.5 ** (14 / 45), 6), 0.55]
 
 
-def test_budget():
-    assert budget.fit_rows(["a" * 50, " ", None, "b" * 50], 5, 0, 70) == [(0, "a" * 50), (3, "b" * 20)]
-    assert budget.fit_rows(["a", "b"], 1, 0, 0) == [(0, "a")] and budget.fit_rows([], 1, 0, 0) == []
+def test_budget(spark):
+    def fit(texts, *limits):
+        df = spark.createDataFrame([(texts,)], "x array<string>").select(budget.fitting(F.col("x"), *limits).alias("y"))
+        return [tuple(x) for x in df.first().y]
+
+    assert fit(["a" * 50, " ", None, "b" * 50], 5, 0, 70) == [(0, "a" * 50), (3, "b" * 20)]
+    assert fit(["a", "b"], 1, 0, 0) == [(0, "a")] and fit([], 1, 0, 0) == []
+    texts = ["word " * 60, "x, y! " * 20, None, "last one here", "z" * 400]
+    for limits in ((0, 0, 0), (3, 120, 300), (0, 100, 0, 20, 50), (4, 0, 500, 0, 45), (2, 7, 9)):
+        assert fit(texts, *limits) == plain.fitting(texts, *limits)
     assert budget.prompt_mode(" Legacy-Reasoning ") == "legacy_reasoning" and budget.prompt_mode("x") == "grounded"
 
 

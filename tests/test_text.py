@@ -1,5 +1,8 @@
 """Text and value expressions against plain Python."""
 
+import random
+
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,18 +27,18 @@ def test_white_space(spark):
 
 @pytest.mark.parametrize("text", ["", "   ", "one", "it's 2 words, really!", "é" * 40, "a" * 4000])
 def test_token_count_equals_python(spark, text):
-    assert one(spark, T.token_count(F.col("x")), x=text) == budget.tokens_of(text)
+    assert one(spark, T.token_count(F.col("x")), x=text) == plain.tokens(text)
 
 
 @pytest.mark.parametrize("text", ["a\u200db", "می\u200cخواهم", "\u200d", "👩\u200d💻 ok", "x \u200c\u200d y"])
 def test_token_count_of_joiners_equals_python(spark, text):
-    assert one(spark, T.token_count(F.col("x")), x=text) == budget.tokens_of(text)
+    assert one(spark, T.token_count(F.col("x")), x=text) == plain.tokens(text)
 
 
 def test_estimate_tokens_has_a_row_for_every_document(spark, tmp_path):
     texts = {1: "a b", 2: "می\u200cخواهم", 3: "👩\u200d💻 ok", 4: None, 5: " "}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {tuple(x) for x in estimate_tokens(spark, str(tmp_path)).collect()} == {(i, budget.tokens_of(t or "")) for i, t in texts.items()}
+    assert {tuple(x) for x in estimate_tokens(spark, str(tmp_path)).collect()} == {(i, plain.tokens(t or "")) for i, t in texts.items()}
 
 
 def test_clip(spark):
@@ -45,9 +48,12 @@ def test_clip(spark):
 
 
 @pytest.mark.parametrize("most", [1, 5, 12, 40])
-def test_clip_tokens_fits(most):
-    for text in ["word " * 100, "x" * 500, "a, b. " * 30]:
-        assert budget.tokens_of(budget.clip_tokens(text, most)) <= most
+def test_clip_tokens_fits(spark, most):
+    texts = ["word " * 100, "x" * 500, "a, b. " * 30, "!" * 300, "", "one", "  padded  " * 50, "déjà vu, 漢字かな " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", budget.clip_tokens_column(F.col("x"), most).alias("y"), budget.clip_tokens(F.col("x"), most, "").alias("z"))
+    for r in df.collect():
+        assert plain.tokens(r.y) <= most and r.y == plain.clipped(r.x, most) and r.z == plain.clipped(r.x, most, "")
+    assert one(spark, budget.clip_tokens_column(F.col("x"), most), x=None) is None
 
 
 def test_terms(spark):
@@ -59,12 +65,27 @@ def test_sentences():
     assert chunking.sentences_of("no end") == ["no end"] and chunking.sentences_of(" ") == []
 
 
-def test_pack_and_windows():
-    assert chunking.pack(["a" * 50, "b" * 50, "c" * 5], 110, 10) == ["a" * 50 + "\n\n" + "b" * 50 + "\n\n" + "c" * 5]
-    assert chunking.pack(["a" * 100, "c" * 5], 100, 10) == ["a" * 100 + "\n\n" + "c" * 5]
-    windows = chunking.windows_of("word " * 600, 200, 50)
+def test_pack_and_windows(spark):
+    pack = lambda u, t, m: one(spark, chunking.packed_array(F.col("x"), t, m), x=u)
+    assert pack(["a" * 50, "b" * 50, "c" * 5], 110, 10) == ["a" * 50 + "\n\n" + "b" * 50 + "\n\n" + "c" * 5]
+    assert pack(["a" * 100, "c" * 5], 100, 10) == ["a" * 100 + "\n\n" + "c" * 5]
+    assert one(spark, chunking.packed_array(F.col("x"), 100, 10), x=[]) == []
+    windows = one(spark, chunking.window_array(F.col("x"), 200, 50), x="word " * 600)
     assert len(windows) >= 2 and all(windows) and max(map(len, windows)) <= 200
-    assert chunking.windows_of("a" * 10 + " " + "b" * 500, 100, 99)[-1].endswith("b")
+    assert one(spark, chunking.window_array(F.col("x"), 100, 99), x="a" * 10 + " " + "b" * 500)[-1].endswith("b")
+    assert one(spark, chunking.window_array(F.col("x"), 10, 2), x="one two\nthree four")[0] == "one two"
+
+
+def test_packing_equals_the_model(spark):
+    r = random.Random(2)
+    rows = []
+    for _ in range(60):
+        unit = lambda: " ".join(r.choice(["Rule", "moves.", "Then", "it", "stays,", "ok!", "e.g.", "group"]) for _ in range(r.choice([1, 3, 12, 40])))
+        rows.append([unit() for _ in range(r.randint(0, 8))])
+    df = spark.createDataFrame([(x,) for x in rows], "x array<string>")
+    for target, least in ((60, 20), (120, 0), (0, 10), (40, 40)):
+        got = [x.y for x in df.select(chunking.packed_array(F.col("x"), target, least).alias("y")).collect()]
+        assert got == [plain.packed(x, target, least, chunking.sentences_of) for x in rows]
 
 
 def test_predicates(spark):
@@ -72,6 +93,9 @@ def test_predicates(spark):
     assert one(spark, T.abstains(F.col("x")), x="Sorry, I don't know.") and one(spark, T.abstains(F.col("x")), x=" ")
     assert one(spark, T.phrase_hits(F.col("x"), F.col("p")), x="The Rule moves", p=["rule", "stays", "MOVES"]) == ["rule", "MOVES"]
     assert one(spark, T.is_heading(F.col("x")), x="2.1 Setup") and not one(spark, T.is_heading(F.col("x")), x="this is a sentence that goes on.")
+    heading = lambda x: one(spark, T.is_heading(F.col("x")), x=x)
+    assert heading("RULES AND GROUPS") and heading("Chapter 3 Rules") and heading("1.2.3 Setup of it all.")
+    assert not heading("Open The Console Page") and not heading("1) Click Save and wait") and not heading("2. Pick the rule") and not heading(None) and not heading("12345")
     assert one(spark, T.is_abbreviation(F.col("x")), x="e.g.") and one(spark, T.is_abbreviation(F.col("x")), x="U.S.") and not one(spark, T.is_abbreviation(F.col("x")), x="end.")
 
 
