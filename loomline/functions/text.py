@@ -99,10 +99,10 @@ def overlap_share(answer: Column, context: Column) -> Column:
 def token_count(text: Column) -> Column:
     """A token estimate: pieces (words or marks), but at least a quarter of the characters; 0 for blank texts.
 
-    Joiners (U+200C, U+200D) are marks, as in Python; the JVM's own \\w would take them for letters.
+    Letters, digits and underscores make words; joiners and combining marks are marks, as in Python.
     """
     clean = trim(F.coalesce(text, F.lit("")))
-    pieces = F.size(F.regexp_extract_all(clean, F.lit(r"(?U)[\w&&[^\x{200c}\x{200d}]]+|[^\w\s]|[\x{200c}\x{200d}]"), F.lit(0)))
+    pieces = F.size(F.regexp_extract_all(clean, F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)))
     return F.when(clean == "", 0).otherwise(F.greatest(pieces, F.greatest(F.lit(1), F.floor(F.length(clean) / 4).cast("int"))))
 
 

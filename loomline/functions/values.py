@@ -179,6 +179,6 @@ def source_kind(source_type: Column, metadata: Column, source_ref: Column) -> Co
 
 def preferred_time(metadata: Column, preferred: str = "updated_at") -> Column:
     """struct(at, field): the first readable of the preferred field, updated_at, created_at, ingested_at."""
-    fields = [preferred, *[f for f in ("updated_at", "created_at", "ingested_at") if f != preferred]]
-    found = F.coalesce(*[F.when(instant(metadata[f]).isNotNull(), F.struct(instant(metadata[f]).alias("at"), F.lit(f).alias("field"))) for f in fields])
-    return found
+    fields = list(dict.fromkeys((preferred, "updated_at", "created_at", "ingested_at")))
+    times = F.transform(F.array(*[F.struct(metadata[f].alias("text"), F.lit(f).alias("field")) for f in fields]), lambda x: F.struct(instant(x["text"]).alias("at"), x["field"].alias("field")))
+    return F.get(F.filter(times, lambda x: x["at"].isNotNull()), F.lit(0))

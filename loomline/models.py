@@ -70,10 +70,26 @@ def embed(text: Column, model: Embedder) -> Column:
     return run(text)
 
 
+class EmbeddingScorer:
+    """Dot product of the vectors of both texts."""
+
+    def __init__(self, model: Embedder):
+        self.model = model
+
+    def predict(self, pairs: list[tuple[str, str]]) -> list[float]:
+        left, right = (self.model.encode([p[i] for p in pairs]) for i in (0, 1))
+        return (left * right).sum(axis=1).tolist()
+
+
 def score_pairs(a: Column, b: Column, model: PairScorer) -> Column:
+    """The model's scores; a batch on which it fails has none (null), so that another scorer can follow."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(model.predict(list(zip(x.fillna(""), y.fillna("")))), dtype="float64")
+        try:
+            return pd.Series(model.predict(list(zip(x.fillna(""), y.fillna("")))), dtype="float64")
+        except Exception:  # noqa: BLE001 whatever a model raises, the chain goes on
+            return pd.Series([None] * len(x), dtype="float64")
 
     return run(a, b)
 

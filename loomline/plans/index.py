@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions.text import blank_to_null, clip_prefix, collapse, md5_uuid, page_span, rtrim, trim
 from loomline.functions.values import compact_metadata, overlay
+from loomline.models import Embedder, embed
+from loomline.operators.sparse import term_vector
 
 
 @dataclass(frozen=True)
@@ -22,41 +24,35 @@ class ContextConfig:
     most_answer: int = 700
 
 
-def _clean(c: Column) -> Column:
-    return collapse(F.coalesce(c.cast("string"), F.lit("")))
+#: Lines of a prefix: label, the metadata keys whose first value that says something is shown, whether an empty line is left out.
+_PAGES = "\0pages"
+DOCUMENT_LINES = (
+    ("Document", ("pdf_title", "title", "file_name"), False), ("Product", ("product",), False), ("Version", ("doc_version",), False), ("Type", ("doc_type",), False),
+    ("Section", ("section_path", "section_title", "active_heading"), False), ("Pages", (_PAGES,), True),
+)
+ROOM_LINES = (("Room", ("room_title", "title"), False), ("Thread", ("thread_id",), False), ("Messages", ("message_count",), False), ("Updated", ("updated_at", "created_at"), True))
+TOPIC = ("Topic", ("thread_start_text",), False)
 
 
-def _first(meta: Column, *keys: str) -> Column:
-    return F.coalesce(*[blank_to_null(meta[k]) for k in keys], F.lit(""))
-
-
-def _lines(parts: list[tuple[str, Column, bool]]) -> Column:
-    """Label: value lines; those marked optional are left out if empty."""
-    out = [F.when(v != "", F.concat(F.lit(f"{k}: "), v)) if optional else F.concat(F.lit(f"{k}: "), v) for k, v, optional in parts]
-    return F.concat_ws("\n", *out)
-
-
-def _document_lines(meta: Column, file_name: bool) -> list[tuple[str, Column, bool]]:
-    title = _first(meta, "pdf_title", "title", "file_name") if file_name else _first(meta, "pdf_title", "title")
+def _lines(meta: Column, lines: tuple) -> Column:
+    """Label: value lines. The cleaning of values is written once, as a lambda over the lines, however many there are."""
     start = F.coalesce(blank_to_null(meta["page_start"]), blank_to_null(meta["page"]))
-    return [
-        ("Document", _clean(title), False), ("Product", _clean(meta["product"]), False), ("Version", _clean(meta["doc_version"]), False),
-        ("Type", _clean(meta["doc_type"]), False), ("Section", _clean(_first(meta, "section_path", "section_title", "active_heading")), False),
-        ("Pages", page_span(start, blank_to_null(meta["page_end"])), True),
-    ]
-
-
-def _room_lines(meta: Column) -> list[tuple[str, Column, bool]]:
-    return [
-        ("Room", _clean(_first(meta, "room_title", "title")), False), ("Thread", _clean(meta["thread_id"]), False),
-        ("Messages", _clean(meta["message_count"]), False), ("Updated", _clean(_first(meta, "updated_at", "created_at")), True),
-    ]
+    pages = page_span(start, blank_to_null(meta["page_end"]))
+    rows = [
+        F.struct(F.lit(label).alias("label"), F.array(*[pages if k == _PAGES else meta[k] for k in keys]).alias("values"), F.lit(optional).alias("optional"))
+        for label, keys, optional in lines
+    ]
+    first = lambda x: F.coalesce(F.get(F.filter(F.transform(x["values"], lambda v: collapse(v)), lambda v: v != ""), F.lit(0)), F.lit(""))
+    shown = F.transform(F.array(*rows), lambda x: F.struct(x["label"].alias("label"), first(x).alias("value"), x["optional"].alias("optional")))
+    kept = F.filter(shown, lambda x: (x["value"] != "") | ~x["optional"])
+    return F.array_join(F.transform(kept, lambda x: F.concat(x["label"], F.lit(": "), x["value"])), "\n")
 
 
 def in_context(base: Column, prefix: Column, most: int, label: str) -> Column:
-    """Prefix, label and text; blank texts stay blank, an empty prefix adds nothing."""
-    text, head = trim(F.coalesce(base, F.lit(""))), clip_prefix(prefix, most)
-    return F.when((text == "") | (head == ""), text).otherwise(F.concat(head, F.lit(f"\n\n{label}:\n"), text))
+    """Prefix, label and text; blank texts stay blank, an empty prefix adds nothing. Text and prefix are evaluated once."""
+    parts = F.array(F.struct(trim(F.coalesce(base, F.lit(""))).alias("text"), clip_prefix(prefix, most).alias("head")))
+    whole = lambda x: F.when((x["text"] == "") | (x["head"] == ""), x["text"]).otherwise(F.concat(x["head"], F.lit(f"\n\n{label}:\n"), x["text"]))
+    return F.transform(parts, whole)[0]
 
 
 def chunk_rows(chunks: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFrame:
@@ -65,15 +61,14 @@ def chunk_rows(chunks: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataF
     kind = F.lower(trim(F.coalesce("source_type", F.lit(""))))
     prefix = F.lit("")
     if cfg.enabled and cfg.pdf:
-        prefix = F.when(kind == "pdf", _lines(_document_lines(meta, True))).otherwise(prefix)
+        prefix = F.when(kind == "pdf", _lines(meta, DOCUMENT_LINES)).otherwise(prefix)
     if cfg.enabled and cfg.chat:
-        room = F.concat(F.lit("Source: Webex discussion\n"), _lines([*_room_lines(meta), ("Topic", _clean(meta["thread_start_text"]), False)]))
-        prefix = F.when(kind == "webex", room).otherwise(prefix)
-    rows = chunks.where(trim(F.coalesce("text", F.lit(""))) != "")
+        prefix = F.when(kind == "webex", F.concat(F.lit("Source: Webex discussion\n"), _lines(meta, (*ROOM_LINES, TOPIC)))).otherwise(prefix)
+    rows = chunks.withColumn("_t", trim("text")).where("_t <> ''")
     tag = F.create_map(F.lit("record_type"), F.lit("chunk"))
     return rows.select(
-        md5_uuid(F.col("chunk_id")).alias("point_id"), F.lit("chunk").alias("record_type"), "chunk_id", "doc_id", "source_ref", "source_type", trim(F.col("text")).alias("text"),
-        in_context(F.col("text"), prefix, cfg.most_prefix, "Chunk").alias("retrieval_text"), overlay(meta, tag).alias("metadata"),
+        md5_uuid(F.col("chunk_id")).alias("point_id"), F.lit("chunk").alias("record_type"), "chunk_id", "doc_id", "source_ref", "source_type", F.col("_t").alias("text"),
+        in_context(F.col("_t"), prefix, cfg.most_prefix, "Chunk").alias("retrieval_text"), overlay(meta, tag).alias("metadata"),
     )
 
 
@@ -95,8 +90,10 @@ def pair_rows(pairs: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFra
     meta = compact_metadata(F.coalesce(m["chunk_metadata"], F.create_map().cast("map<string,string>")), F.map_filter(own, lambda _, v: v.isNotNull()))
     kind = F.lower(trim(F.coalesce("source_type", F.lit(""))))
     rows = pairs.where(F.col("question").isNotNull() & F.col("answer").isNotNull()).withColumn("_m", meta)
-    head = F.concat(F.lit("Source: Synthetic QA pair\nQuestion: "), _clean(F.col("question")))
-    lines = F.when(kind == "pdf", F.concat(head, F.lit("\n"), _lines(_document_lines(F.col("_m"), False)))).when(kind == "webex", F.concat(head, F.lit("\n"), _lines(_room_lines(F.col("_m"))))).otherwise(head)
+    head = F.concat(F.lit("Source: Synthetic QA pair\nQuestion: "), collapse(F.col("question")))
+    pdf = (("Document", ("pdf_title", "title"), False), *DOCUMENT_LINES[1:])
+    below = F.when(kind == "pdf", _lines(F.col("_m"), pdf)).when(kind == "webex", _lines(F.col("_m"), ROOM_LINES))
+    lines = F.concat_ws("\n", head, below)
     text = trim(qa_text(F.col("question"), F.col("answer"), cfg.mode, cfg.most_answer))
     tag = F.create_map(F.lit("record_type"), F.lit("qa_pair"), F.lit("qa_id"), F.col("qa_id"), F.lit("qa_question"), F.col("question"), F.lit("linked_chunk_id"), F.coalesce("chunk_id", F.lit("")), F.lit("qa_answer_chars"), F.length("answer").cast("string"))
     return rows.select(
@@ -105,9 +102,27 @@ def pair_rows(pairs: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFra
     )
 
 
-def index_rows(chunks: DataFrame, pairs: DataFrame | None = None, cfg: ContextConfig = ContextConfig()) -> DataFrame:
+def index_rows(chunks: DataFrame, pairs: DataFrame | None = None, cfg: ContextConfig = ContextConfig(), required: bool = False) -> DataFrame:
+    """Rows of chunks and pairs; ``required``: none at all is an error."""
     rows = chunk_rows(chunks, cfg)
-    return rows if pairs is None else rows.unionByName(pair_rows(pairs, cfg))
+    rows = rows if pairs is None else rows.unionByName(pair_rows(pairs, cfg))
+    if required and not rows.limit(1).count():
+        raise ValueError("no index rows: neither chunks nor pairs have text")
+    return rows
+
+
+def newest(rows: DataFrame, key: str = "point_id") -> DataFrame:
+    """One row a key: the latest ingested_at of the metadata, ties by the row's text. A combining aggregate, no window."""
+    cols = [c for c in rows.columns if c != key]
+    rank = F.struct(F.coalesce(F.col("metadata")["ingested_at"], F.lit("")).alias("at"), F.to_json(F.struct(*cols)).alias("row"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def with_vectors(rows: DataFrame, embedder: Embedder | None = None, sparse: bool = True, most: int = 512) -> DataFrame:
+    """Adds what a search reads: ``dense`` (the embedder's vectors) and ``sparse`` (terms, their ids and weights) of the retrieval text."""
+    text = F.coalesce("retrieval_text", "text", F.lit(""))
+    out = rows.withColumn("dense", embed(text, embedder)) if embedder is not None else rows
+    return out.withColumn("sparse", term_vector(text, most)) if sparse else out
 
 
 def latest(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:

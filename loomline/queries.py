@@ -10,7 +10,7 @@ from loomline.functions import values as V
 from loomline.models import HashEmbedder, OverlapScorer
 from loomline.operators import chunking, qa, sections, sparse, threads
 from loomline.plans import answers, budget, evaluate, feedback, index, retrieve
-from loomline.session import load
+from loomline.session import cut, load
 from loomline.sources import chat
 
 QUERIES: dict = {}
@@ -57,10 +57,9 @@ def paragraph_split(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE greatest(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}\t-\r \x{{85}}\p{{Z}}]')), greatest(1, length(t) // 4)) END::BIGINT AS tokens
-FROM (SELECT doc_id, {_STRIP("coalesce(text, '')")} AS t FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[\x{{200c}}\x{{200d}}]'))""")
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE greatest(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\t-\r \x{{85}}\p{{Z}}]')), greatest(1, length(t) // 4)) END::BIGINT AS tokens
+FROM (SELECT doc_id, {_STRIP("coalesce(text, '')")} AS t FROM documents)""")
 def estimate_tokens(spark: SparkSession, base: str) -> DataFrame:
-    """All documents. The SQL leaves out texts with joiners, so it has fewer rows; those are tested against plain Python."""
     return load(spark, base, "documents").select("doc_id", T.token_count(F.col("text")).cast("bigint").alias("tokens"))
 
 
@@ -102,7 +101,7 @@ def sparse_vector(spark: SparkSession, base: str) -> DataFrame:
 
 @query(_VECTORS + "SELECT term, count(*) AS df FROM vectors GROUP BY term")
 def doc_frequency(spark: SparkSession, base: str) -> DataFrame:
-    return sparse.doc_frequency(sparse.term_vectors(load(spark, base, "documents"), "doc_id", "text"), "doc_id")
+    return sparse.doc_frequency(sparse.vector_lists(load(spark, base, "documents"), "doc_id", "text"))
 
 
 @query(f"""
@@ -434,10 +433,10 @@ sp AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 
 def _sparse(spark: SparkSession, base: str, k: int = 10) -> DataFrame:
     d = load(spark, base, "documents")
-    v = sparse.term_vectors(d, "doc_id", "text").withColumnRenamed("doc_id", "doc")
-    df = sparse.doc_frequency(v, "doc")
+    v = cut(sparse.vector_lists(d, "doc_id", "text").withColumnRenamed("doc_id", "doc"), "vectors")
+    df = sparse.doc_frequency(v)
     q = v.where("doc % 20 = 0").withColumnRenamed("doc", "query")
-    n = d.agg(F.count("*").alias("n")).scalar()
+    n = v.agg(F.count("*").alias("n")).scalar()
     return retrieve.sparse_topk(v, df, n, q, k)
 
 
@@ -471,9 +470,10 @@ _NOW = "2026-01-01 00:00:00"
 @query()
 def search_pipeline(spark: SparkSession, base: str) -> DataFrame:
     """Evaluation questions against chunks and pairs, from index rows to capped results."""
-    rows = index.index_rows(load(spark, base, "chunk_records"), load(spark, base, "qa_records")).dropDuplicates(["point_id"])
+    rows = index.index_rows(load(spark, base, "chunk_records"), load(spark, base, "qa_records"))
+    rows = cut(index.with_vectors(index.newest(rows), HashEmbedder(64)), "index")
     cases = load(spark, base, "eval_cases").select(F.col("query_id").alias("query"), F.col("question").alias("search")).distinct()
-    found = retrieve.search(rows, cases, F.lit(_NOW).cast("timestamp"), HashEmbedder(64), fetch=40, k=10, most_per_source=4, scorer=OverlapScorer(), pair_boost=0.01)
+    found = retrieve.search(rows, cases, F.lit(_NOW).cast("timestamp"), HashEmbedder(64), fetch=40, k=10, most_per_source=4, scorers=(OverlapScorer(),), pair_boost=0.01)
     line = T.source_line(V.source_kind(F.col("source_type"), F.col("metadata"), F.col("source_ref")), F.col("source_ref"), F.col("record_type"), F.col("metadata"), F.col("score"), F.col("first_score"))
     why = T.score_explanation(F.col("score"), F.col("first_score"), F.col("rerank_score"), F.col("recency.bonus"))
     return found.select("query", "rank", "chunk_id", "score", line.alias("line"), why.alias("why"))
@@ -548,10 +548,10 @@ best AS (SELECT e.query_id, min(CASE WHEN list_contains(e.expected_chunk_ids, h.
 
 def _best_ranks(spark: SparkSession, base: str) -> DataFrame:
     once = load(spark, base, "chunk_records").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    v = sparse.term_vectors(once, "chunk_id", "text", 0).withColumnRenamed("chunk_id", "doc")
+    v = cut(sparse.vector_lists(once, "chunk_id", "text", 0).withColumnRenamed("chunk_id", "doc"), "vectors")
     cases = load(spark, base, "eval_cases")
-    q = sparse.term_vectors(cases.select(F.col("query_id").alias("query"), "gold_passage"), "query", "gold_passage", 0)
-    found = retrieve.sparse_topk(v, sparse.doc_frequency(v, "doc"), once.agg(F.count("*").alias("n")).scalar(), q, 10)
+    q = sparse.vector_lists(cases.select(F.col("query_id").alias("query"), "gold_passage"), "query", "gold_passage", 0)
+    found = retrieve.sparse_topk(v, sparse.doc_frequency(v), v.agg(F.count("*").alias("n")).scalar(), q, 10)
     rows = found.select("query", "rank", F.lit(None).cast("string").alias("source_ref"), F.col("doc").alias("chunk_id"), F.lit(None).cast("string").alias("linked_chunk_id"))
     return evaluate.best_ranks(rows, evaluate.load_cases(cases))
 

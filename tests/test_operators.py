@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.models import HashEmbedder, OverlapScorer, embed, score_pairs
+from loomline.functions import text as T
 from loomline.operators import chunking, qa, sections, skew, sparse, threads
 from loomline.plans import answers, budget, evaluate, index, retrieve
 from loomline.sources import chat, jsonl
@@ -281,8 +282,48 @@ def test_incremental_batches(spark, tmp_path):
 
 def test_sparse_ways_agree(spark):
     docs = spark.createDataFrame([(i, f"rule {i % 3} node {i % 5} cap") for i in range(30)] + [(99, None)], "doc int, text string")
-    v = sparse.term_vectors(docs, "doc", "text")
+    v = sparse.vector_lists(docs, "doc", "text")
     q = v.where("doc < 4").withColumnRenamed("doc", "query")
     n = docs.agg(F.count("*").alias("n")).scalar()
-    ways = [sorted(map(tuple, retrieve.sparse_topk(v, sparse.doc_frequency(v, "doc"), n, q, 4, entries=e).select("query", "doc", "score", "rank").collect())) for e in (1000, 0)]
+    ways = [sorted(map(tuple, retrieve.sparse_topk(v, sparse.doc_frequency(v), n, q, 4, entries=e, cells=7).select("query", "doc", "score", "rank").collect())) for e in (1000, 0)]
     assert ways[0] == ways[1] and len(ways[0]) == 16
+
+
+def test_vectors_equal_a_counter(spark):
+    import collections
+    import math
+
+    texts = ["a bb bb cc-dd CC", "", None, "x " * 5, "rule " * 700 + " ".join(f"t{i}" for i in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    terms = {r.doc: r.t for r in docs.select("doc", T.lexical_terms(F.col("text")).alias("t")).collect()}
+    for most in (0, 3, 512):
+        got = {r.doc: {(x.term, round(x.weight, 9)) for x in r.v} for r in sparse.vector_lists(docs, "doc", "text", most).collect()}
+        for i, t in terms.items():
+            want = {(k, round(1 + math.log(n), 9)) for k, n in collections.Counter(t).items()}
+            assert got[i] == want if most == 0 or len(want) <= most else got[i] < want and len(got[i]) == most
+    stored = sparse.sparse_vectors(docs, "doc", "text").collect()
+    assert {r.doc for r in stored} == {0, 4} and all(r.indices == sorted(r.indices) for r in stored)
+
+
+def test_search_reads_stored_vectors(spark):
+    from loomline.models import EmbeddingScorer, HashEmbedder, OverlapScorer
+
+    class Broken:
+        def predict(self, pairs):
+            raise RuntimeError("no model")
+
+    rows = [(f"p{i}", f"c{i}", "d", f"pdf::f#{i}", "pdf", t, t, "chunk", {"ingested_at": "2024"}) for i, t in enumerate(["the rule moves with the group", "a gateway drops the message", "the pool of the gateway", "rule of the pool"])]
+    df = spark.createDataFrame(rows, "point_id string, chunk_id string, doc_id string, source_ref string, source_type string, text string, retrieval_text string, record_type string, metadata map<string,string>")
+    asked = spark.createDataFrame([("q", "which gateway drops it"), ("none", "??")], "query string, search string")
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    full = index.with_vectors(df, HashEmbedder(32))
+    run = lambda x, **kw: [(r.query, r.rank, r.chunk_id, r.score) for r in retrieve.search(x, asked, now, HashEmbedder(32), fetch=4, k=2, **kw).orderBy("query", "rank").collect()]
+    assert run(full) == run(df) and [x for x in run(full) if x[0] == "q"][0][2] == "c1"
+    assert retrieve.is_hybrid(full) and not retrieve.is_hybrid(index.with_vectors(df, HashEmbedder(32), sparse=False))
+    assert run(index.with_vectors(df, HashEmbedder(32), sparse=False))
+    assert run(full, scorers=(Broken(), OverlapScorer())) == run(full, scorers=(OverlapScorer(),)) != run(full)
+    assert run(full, scorers=(Broken(),)) == run(full) and run(full, scorers=(EmbeddingScorer(HashEmbedder(32)),))
+    old = df.withColumn("metadata", F.create_map(F.lit("ingested_at"), F.lit("2023"))).withColumn("text", F.lit("older"))
+    assert {r.text for r in index.newest(old.unionByName(df)).collect()} == {r[5] for r in rows}
+    with pytest.raises(ValueError):
+        index.index_rows(df.limit(0), required=True)
