@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from typing import Protocol
@@ -62,6 +63,17 @@ class ExtractiveGenerator:
         return parts[seed % len(parts)] if parts else ""
 
 
+class PassageGenerator:
+    """Pairs about the prompt's last paragraph as JSON: its first sentences are the answers. A prompt for a question gives one."""
+
+    def generate(self, prompt: str, seed: int = 0) -> str:
+        passage = prompt.split("Passage:\n", 1)
+        if len(passage) < 2:
+            return json.dumps({"question": f"What was settled about {' '.join(prompt.split()[-6:])}?"})
+        said = [s.strip() for s in re.split(r"(?<=[.!?])\s+", passage[1].strip()) if s.strip()][seed : seed + 2]
+        return "Pairs:\n" + json.dumps([{"question": f"What does the passage say about {' '.join(s.split()[:4])}?", "answer": s} for s in said], ensure_ascii=False)
+
+
 def embed(text: Column, model: Embedder) -> Column:
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
@@ -95,8 +107,16 @@ def score_pairs(a: Column, b: Column, model: PairScorer) -> Column:
 
 
 def generate(prompt: Column, model: Generator, seed: int = 0) -> Column:
+    """Model output; null for null prompts and where the model fails, so that one prompt does not end a job."""
+
+    def one(p):
+        try:
+            return model.generate(p, seed) if isinstance(p, str) else None
+        except Exception:  # noqa: BLE001
+            return None
+
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
-        return prompts.map(lambda p: model.generate(p, seed) if isinstance(p, str) else None)
+        return prompts.map(one)
 
     return run(prompt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import collapse, match_key, overlap_share
+from loomline.functions.text import collapse, match_key, overlap_share, trim
 from loomline.functions.values import parse_thread
 
 
@@ -27,40 +27,64 @@ def thread_replies(text: Column) -> Column:
     return F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
 
 
+#: Fixed value: the mode that a pair made from a thread names.
+THREAD_MODE = "webex_thread_question_child_messages_answer"
+
+
+def thread_answer(text: Column, metadata: Column | None = None, user: str = "") -> Column:
+    """struct<question_seed, answer, reply_count>: the replies that say something, of one author if ``user`` is given, joined by blank lines.
+
+    The seed is the metadata's thread_start_text, else the first message; null if seed or replies are missing.
+    """
+    want = " ".join(user.split()).lower()
+    named = collapse(metadata["thread_start_text"]) if metadata is not None else F.lit("")
+
+    def of(lines: Column) -> Column:
+        replies = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        mine = F.filter(replies, lambda x: (x["message_text"] != "") & (F.contains(match_key(x["author"]), F.lit(want)) if want else F.lit(True)))
+        seed = F.coalesce(F.nullif(named, F.lit("")), F.nullif(F.get(lines, F.lit(0))["message_text"], F.lit("")))
+        whole = F.struct(seed.alias("question_seed"), F.array_join(F.transform(mine, lambda x: x["message_text"]), "\n\n").alias("answer"), F.size(mine).cast("bigint").alias("reply_count"))
+        return F.when(seed.isNotNull() & (F.size(mine) > 0), whole)
+
+    return F.transform(F.array(parse_thread(text)), of)[0]
+
+
 def thread_answers(chunks: DataFrame, user: str = "") -> DataFrame:
-    """(chunk_id, question_seed, answer, reply_count): replies, of one author if ``user`` is given, joined by blank lines."""
-    want = match_key(F.lit(user))
-    lines = parse_thread(F.col("text"))
-    replies = F.filter(thread_replies(F.col("text")), lambda x: (want == "") | F.contains(match_key(x["author"]), want))
-    rows = chunks.select("chunk_id", F.get(lines, F.lit(0))["message_text"].alias("question_seed"), replies.alias("replies"))
-    answer = F.array_join(F.filter(F.transform("replies", lambda x: x["message_text"]), lambda x: x != ""), "\n\n")
-    return rows.select("chunk_id", "question_seed", answer.alias("answer"), F.size("replies").cast("bigint").alias("reply_count")).where("answer <> ''")
+    """(chunk_id, question_seed, answer, reply_count) of the threads that have an answer."""
+    meta = F.col("metadata") if "metadata" in chunks.columns else None
+    return chunks.select("chunk_id", thread_answer(F.col("text"), meta, user).alias("t")).where("t is not null").select("chunk_id", "t.question_seed", "t.answer", "t.reply_count")
 
 
-def judge(pairs: DataFrame, pos: str, question: str = "question", answer: str = "answer", context: str = "context", least_q: int = 12, least_a: int = 24, most_a: int = 1800, share: float = 0.08) -> DataFrame:
-    """Adds ``reason``: keep, short_question, answer_length, duplicate_question or weak_grounding, the first that applies.
+def judge(pairs: DataFrame, pos: str, question: str = "question", answer: str = "answer", context: str = "context", mode: str | None = None, required: tuple[str, ...] = (), least_q: int = 12, least_a: int = 24, most_a: int = 1800, most_thread_a: int = 1800, share: float = 0.08) -> DataFrame:
+    """Adds ``reason``: keep, invalid_schema, short_question, answer_length, duplicate_question or weak_grounding, the first that applies.
 
-    A question counts as seen from the first row that passes everything else, so the duplicate test needs that row's
-    position only: one minimum per question, combined before its shuffle, joined back.
+    ``required``: columns that must not be null. ``mode``: the column with the generation mode; answers from threads have
+    a limit of their own, limits <= 0 are off. A question counts as seen from the first row that passes everything else,
+    so the duplicate test needs that row's position only: one minimum per question, combined before its shuffle.
     """
     q, a = collapse(F.coalesce(F.col(question), F.lit(""))), collapse(F.coalesce(F.col(answer), F.lit("")))
-    rows = pairs.withColumns({"_key": F.lower(q), "_short": F.length(q) < least_q, "_len": (F.length(a) < least_a) | (F.length(a) > most_a)})
+    thread = F.lower(trim(F.col(mode))) == THREAD_MODE if mode else F.lit(False)
+    most = F.when(thread, most_thread_a).otherwise(most_a)
+    invalid = F.lit(False)
+    for c in required:
+        invalid = invalid | F.col(c).isNull()
+    rows = pairs.withColumns({"_invalid": invalid, "_key": F.lower(q), "_short": F.length(q) < least_q, "_len": (F.length(a) < least_a) | ((most > 0) & (F.length(a) > most))})
     rows = rows.withColumn("_weak", overlap_share(a, F.col(context)) < share)
-    fine = ~F.col("_short") & ~F.col("_len") & ~F.col("_weak")
+    fine = ~F.col("_invalid") & ~F.col("_short") & ~F.col("_len") & ~F.col("_weak")
     first = rows.where(fine).groupBy("_key").agg(F.min(pos).alias("_first"))
     rows = rows.join(first, "_key", "left")
     reason = (
-        F.when(F.col("_short"), "short_question").when(F.col("_len"), "answer_length").when(F.col(pos) > F.col("_first"), "duplicate_question")
-        .when(F.col("_weak"), "weak_grounding").otherwise("keep")
+        F.when(F.col("_invalid"), "invalid_schema").when(F.col("_short"), "short_question").when(F.col("_len"), "answer_length")
+        .when(F.col(pos) > F.col("_first"), "duplicate_question").when(F.col("_weak"), "weak_grounding").otherwise("keep")
     )
-    return rows.withColumn("reason", reason).drop("_key", "_short", "_len", "_weak", "_first")
+    return rows.withColumn("reason", reason).drop("_invalid", "_key", "_short", "_len", "_weak", "_first")
 
 
 def exact_split(rows: DataFrame, key: str, seed: int = 42, train: float = 0.9, valid: float = 0.08) -> DataFrame:
     """(key, split_name) with exact sizes int(n * train), int(n * valid), rest, in an order fixed by the seed.
 
-    No global window: the order is the seeded hash, so bounds come from counts of hash buckets, and only the buckets
-    that hold a bound are ranked, by bucket.
+    No global window: the order is the seeded hash, so a row's place is its place in its hash bucket after the counts of
+    the buckets before; buckets hold 1/4096 of the rows each.
     """
     ids = rows.select(key).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     ids = ids.withColumn("_b", F.substring("_h", 1, 3))

@@ -37,6 +37,17 @@ def best_ranks(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return cases.where(labelled(cases)).select("query").join(best, "query", "left")
 
 
+def case_reports(rows: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+    """(query, question, match_rank, hit_at_k, top_rows) of every case: its k first rows (query, rank, source_ref, chunk_id, record_type, score, ...) and where it was met."""
+    fields = [F.col(c) for c in ("rank", "source_ref", "chunk_id", "record_type") if c in rows.columns]
+    numbers = [F.col(c).cast("double").alias(c) for c in ("first_score", "rerank_score", "recency_bonus") if c in rows.columns]
+    row = F.struct(*fields, F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), *numbers)
+    tops = rows.where(F.col("rank") <= k).groupBy("query").agg(F.array_sort(F.collect_list(row)).alias("top_rows"))
+    best = best_ranks(rows, cases).withColumnRenamed("best_rank", "match_rank")
+    out = cases.select("query", "question").join(best, "query", "left").join(tops, "query", "left")
+    return out.select("query", "question", "match_rank", F.coalesce(F.col("match_rank") <= k, F.lit(False)).alias("hit_at_k"), F.coalesce("top_rows", F.array().cast(tops.schema["top_rows"].dataType)).alias("top_rows"))
+
+
 def recall_mrr(best: DataFrame, k: int) -> DataFrame:
     """(labelled, recall, mrr); null rates if there is no labelled case."""
     hit = F.col("best_rank").isNotNull() & (F.col("best_rank") <= k)

@@ -20,3 +20,10 @@ def feedback_rows(answers: DataFrame, at: Column) -> DataFrame:
         at.alias("created_at"), "message_id", F.lower(F.trim("rating")).alias("rating"), F.trim(F.coalesce("feedback_text", F.lit(""))).alias("feedback_text"), "question", "answer",
         "retrieval_query", F.col("answer_time_seconds").cast("double").alias("answer_time_seconds"), F.transform("sources", source_summary).alias("selected_sources"),
     )
+
+
+def append_feedback(rows: DataFrame, at: str) -> None:
+    """Appends feedback rows to the JSON Lines at ``at``; a rating that is neither up nor down is an error."""
+    bad = F.raise_error(F.concat(F.lit("rating must be up or down: "), F.coalesce("rating", F.lit("null"))))
+    checked = rows.withColumn("rating", F.when(F.col("rating").isin(*RATINGS), F.col("rating")).otherwise(bad))
+    checked.write.mode("append").json(at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from loomline.functions.text import blank_to_null, clip_prefix, collapse, md5_uu
 from loomline.functions.values import compact_metadata, overlay
 from loomline.models import Embedder, embed
 from loomline.operators.sparse import term_vector
+from loomline.session import _hadoop_path
 
 
 @dataclass(frozen=True)
@@ -146,30 +148,108 @@ def upsert_index(spark: SparkSession, rows: DataFrame, at: str, to: str) -> None
     write_index(latest(old.select(rows.columns), rows), to)
 
 
+#: Names of distances, sparse modifiers and number formats in a bundle's configuration.
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
+MODIFIERS = ("idf", "none")
+DATATYPES = ("float32", "float16", "uint8")
+
+
+def _known(value: object, names: tuple[str, ...], what: str, empty: bool = False) -> str | None:
+    """A name in lower case without underscores; unknown ones are an error."""
+    key = str(value if value is not None else "").strip().lower()
+    for form in (key, key.replace("_", "")):
+        if form in names:
+            return form
+    if empty and not key:
+        return None
+    raise ValueError(f"unsupported {what}: {value!r}")
+
+
+def vectors_config(size: int, distance: str = "cosine", name: str | None = "dense") -> dict:
+    """The configuration of dense vectors: named, or single if ``name`` is None."""
+    one = {"size": int(size), "distance": _known(distance, DISTANCES, "distance")}
+    return {"kind": "named", "vectors": {name: one}} if name else {"kind": "single", **one}
+
+
+def sparse_config(name: str = "sparse", modifier: str | None = "idf", on_disk: bool | None = None, full_scan: int | None = None, datatype: str | None = None) -> dict:
+    index = {"full_scan_threshold": full_scan, "on_disk": on_disk, "datatype": _known(datatype, DATATYPES, "datatype", True)}
+    return {name: {"modifier": _known(modifier, MODIFIERS, "modifier", True), "index": index}}
+
+
+def read_vectors_config(config: dict) -> dict[str | None, tuple[int, str]]:
+    """Name (None: single) to (size, distance) of a bundle's configuration; another kind is an error."""
+    kind = str(config.get("kind", "single")).strip().lower()
+    if kind == "single":
+        return {None: (int(config["size"]), _known(config["distance"], DISTANCES, "distance"))}
+    named = config.get("vectors")
+    if kind != "named" or not isinstance(named, dict) or not named or not all(isinstance(v, dict) for v in named.values()):
+        raise ValueError(f"unsupported vectors configuration: {kind!r}")
+    return {k: (int(v["size"]), _known(v["distance"], DISTANCES, "distance")) for k, v in named.items()}
+
+
+def read_sparse_config(config: dict | None) -> dict[str, str | None]:
+    """Name to modifier of a bundle's sparse configuration; none gives {}."""
+    if config and not (isinstance(config, dict) and all(isinstance(v, dict) for v in config.values())):
+        raise ValueError("sparse configuration must be a mapping of mappings")
+    for v in (config or {}).values():
+        _known((v.get("index") or {}).get("datatype"), DATATYPES, "datatype", True)
+    return {k: _known(v.get("modifier"), MODIFIERS, "modifier", True) for k, v in (config or {}).items()}
 
 
 def export_index(rows: DataFrame, at: str, name: str = "docs", sources: tuple[str, ...] = (), distance: str = "cosine") -> dict:
-    """JSON Lines of the points of ``sources`` (all if none) and a manifest beside them."""
-    if distance not in DISTANCES:
-        raise ValueError(f"distance must be one of: {', '.join(DISTANCES)}")
+    """JSON Lines of the points of ``sources`` (all if none), vectors included, and a manifest beside them."""
     wanted = sorted({s.strip().lower() for s in sources if s.strip()})
     picked = rows.where(F.lower("source_type").isin(*wanted)) if wanted else rows
     picked.write.mode("overwrite").json(f"{at}/points")
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.lower("source_type").isin(*wanted) if wanted else F.lit(True)).alias("k")).first()
+    size = F.max(F.size("dense")) if "dense" in rows.columns else F.lit(None).cast("int")
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.lower("source_type").isin(*wanted) if wanted else F.lit(True)).alias("k"), size.alias("size")).first()
     manifest = {
-        "schema_version": 2, "collection_name": name, "distance": distance, "source_filter": wanted, "points_file": "points",
+        "schema_version": 2, "collection_name": name, "source_filter": wanted, "points_file": "points",
         "points_count": counts["k"], "scanned_points": counts["n"], "filtered_out_points": counts["n"] - counts["k"],
+        "vectors_config": vectors_config(counts["size"] or 0, distance), "sparse_vectors_config": sparse_config() if "sparse" in rows.columns else {},
     }
-    rows.sparkSession.createDataFrame([(k, str(v)) for k, v in manifest.items()], "key string, value string").coalesce(1).write.mode("overwrite").json(f"{at}/manifest")
+    rows.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/manifest")
     return manifest
 
 
-def import_index(spark: SparkSession, at: str, schema) -> DataFrame:
-    """The points of a bundle. A missing manifest, another version or a point without an id is an error."""
-    found = {r["key"]: r["value"] for r in spark.read.schema("key string, value string").json(f"{at}/manifest").limit(100).collect()}
-    if found.get("schema_version") != "2":
-        raise ValueError(f"unsupported bundle: {found.get('schema_version')}")
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{at}/{found['points_file']}")
+def read_manifest(spark: SparkSession, at: str) -> dict:
+    """The manifest of a bundle, checked."""
+    path, fs = _hadoop_path(spark, f"{at}/manifest")
+    if not fs.exists(path):
+        raise ValueError(f"no manifest at {at}")
+    lines = [r["value"] for r in spark.read.text(f"{at}/manifest").take(2)]
+    found = json.loads(lines[0]) if len(lines) == 1 else {}
+    if not isinstance(found, dict) or found.get("schema_version") != 2:
+        raise ValueError(f"unsupported bundle at {at}")
+    read_vectors_config(found["vectors_config"])
+    read_sparse_config(found.get("sparse_vectors_config"))
+    return found
+
+
+def import_index(spark: SparkSession, at: str, schema, to: str | None = None, recreate: bool = False, vectors: bool = False) -> DataFrame:
+    """The points of a bundle; ``to``: also written there, merged with an index that stands there unless ``recreate``.
+
+    A missing manifest, another version, a point without an id and (``vectors``, or wherever the manifest has a size) a
+    point without a dense vector of that size are errors.
+    """
+    manifest = read_manifest(spark, at)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{at}/{manifest['points_file']}")
     checked = F.when(F.col("point_id").isNull(), F.raise_error(F.lit("point without id"))).otherwise(F.col("point_id"))
-    return rows.withColumn("point_id", checked)
+    size = next(iter(read_vectors_config(manifest["vectors_config"]).values()))[0]
+    if vectors or size:
+        if "dense" not in rows.columns:
+            raise ValueError("the schema has no dense vectors")
+        bad = F.col("dense").isNull() | ((F.size("dense") != size) if size else F.lit(False))
+        checked = F.when(bad, F.raise_error(F.lit("point without a vector of the bundle's size"))).otherwise(checked)
+    rows = rows.withColumn("point_id", checked)
+    if to is not None:
+        path, fs = _hadoop_path(spark, to)
+        if recreate or not fs.exists(path):
+            write_index(rows, to)
+        else:
+            from loomline.session import Stage
+
+            merged = Stage(latest(spark.read.parquet(to).select(rows.columns), rows), "merged")  # read before it is overwritten
+            write_index(merged.df, to)
+            merged.drop()
+    return rows

@@ -80,12 +80,6 @@ def sentence_split(spark: SparkSession, base: str) -> DataFrame:
     return load(spark, base, "documents").select("doc_id", F.posexplode(chunking.sentence_array(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
-def source_snippets(spark: SparkSession, base: str) -> DataFrame:
-    rows = load(spark, base, "qa_records")
-    return rows.select("qa_id", T.snippet(F.col("metadata.chunk_text"), F.col("question"), 80).alias("snippet")).distinct()
-
-
 _VECTORS = f"""
 WITH terms AS (SELECT doc_id, unnest({_TERMS.format(c="coalesce(text, '')")}) AS term FROM documents),
 counts AS (SELECT doc_id, term, count(*) AS tf, ('0x' || substring(md5(term), 1, 8))::BIGINT AS term_id FROM terms GROUP BY ALL),
@@ -198,10 +192,13 @@ def thread_texts(spark: SparkSession, base: str) -> DataFrame:
     return threads.threads(load(spark, base, "chat_messages")).select("room_id", "thread_id", "text")
 
 
-@query()
+@query(_THREADS + f"""
+, t AS (SELECT room_id, thread_id, count(*) AS n, max(coalesce(edited, at_ts)) AS updated, string_agg('[' || coalesce(nullif(trim(created), ''), 'unknown-time') || '] ' || author || ': ' || body, chr(10) ORDER BY message_id <> thread_id, at_ts IS NULL, at_ts, message_id) AS text FROM w GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT room_id, min({_FLAT("title")}) AS title FROM rooms GROUP BY room_id)
+SELECT sha1('webex::' || t.room_id || '::thread::' || thread_id) AS doc_id, 'webex::' || t.room_id || '::thread::' || thread_id AS source_ref, r.title, text, n::VARCHAR AS message_count, strftime(updated, '%Y-%m-%dT%H:%M:%SZ') AS updated_at FROM t LEFT JOIN r USING (room_id)""")
 def thread_documents(spark: SparkSession, base: str) -> DataFrame:
     t = threads.thread_records(load(spark, base, "chat_messages"), load(spark, base, "rooms"))
-    return t.select("doc_id", "source_ref", "title", "text", F.to_json("metadata").alias("metadata"))
+    return t.select("doc_id", "source_ref", "title", "text", F.col("metadata")["message_count"].alias("message_count"), F.col("metadata")["updated_at"].alias("updated_at"))
 
 
 @query(_MESSAGES + """
@@ -302,21 +299,23 @@ def section_chunks(spark: SparkSession, base: str) -> DataFrame:
 
 
 _JUDGE = f"""
-WITH r AS (SELECT DISTINCT qa_id, {_FLAT("coalesce(question, '')")} AS q, {_FLAT("coalesce(answer, '')")} AS a, metadata.chunk_text AS c FROM qa_records),
+WITH r AS (SELECT DISTINCT qa_id, {_FLAT("coalesce(question, '')")} AS q, {_FLAT("coalesce(answer, '')")} AS a, metadata.chunk_text AS c, lower(trim(metadata.qa_generation_mode)) = 'webex_thread_question_child_messages_answer' AS thread,
+  question IS NULL OR answer IS NULL OR chunk_id IS NULL OR doc_id IS NULL OR source_ref IS NULL OR source_type IS NULL AS bad FROM qa_records),
 x AS (SELECT *, lower(q) AS key, {_WORDS.format(c="a")} AS wa, {_WORDS.format(c="c")} AS wc FROM r),
-y AS (SELECT *, length(q) < 12 AS s, length(a) < 24 OR length(a) > 1800 AS l, CASE WHEN len(wa) = 0 OR len(wc) = 0 THEN 0.0 ELSE len(list_intersect(wa, wc)) / len(wa) END < 0.08 AS weak FROM x),
-f AS (SELECT key, min(qa_id) AS first FROM y WHERE NOT s AND NOT l AND NOT weak GROUP BY key),
-z AS (SELECT qa_id, CASE WHEN s THEN 'short_question' WHEN l THEN 'answer_length' WHEN qa_id > first THEN 'duplicate_question' WHEN weak THEN 'weak_grounding' ELSE 'keep' END AS reason FROM y LEFT JOIN f USING (key))
+y AS (SELECT *, length(q) < 12 AS s, length(a) < 24 OR length(a) > CASE WHEN thread THEN 300 ELSE 1800 END AS l, CASE WHEN len(wa) = 0 OR len(wc) = 0 THEN 0.0 ELSE len(list_intersect(wa, wc)) / len(wa) END < 0.08 AS weak FROM x),
+f AS (SELECT key, min(qa_id) AS first FROM y WHERE NOT bad AND NOT s AND NOT l AND NOT weak GROUP BY key),
+z AS (SELECT qa_id, CASE WHEN bad THEN 'invalid_schema' WHEN s THEN 'short_question' WHEN l THEN 'answer_length' WHEN qa_id > first THEN 'duplicate_question' WHEN weak THEN 'weak_grounding' ELSE 'keep' END AS reason FROM y LEFT JOIN f USING (key))
 """
 
 
-@query(_JUDGE + "SELECT qa_id, reason FROM z")
+@query(_JUDGE + "SELECT DISTINCT qa_id, reason FROM z")
 def qa_validate(spark: SparkSession, base: str) -> DataFrame:
-    rows = load(spark, base, "qa_records").select("qa_id", "question", "answer", F.col("metadata.chunk_text").alias("context")).distinct()
-    return qa.judge(rows, "qa_id").select("qa_id", "reason")
+    ids = ("question", "answer", "chunk_id", "doc_id", "source_ref", "source_type")
+    rows = load(spark, base, "qa_records").select("qa_id", *ids, F.col("metadata.chunk_text").alias("context"), F.col("metadata.qa_generation_mode").alias("mode")).distinct()
+    return qa.judge(rows, "qa_id", mode="mode", required=ids, most_thread_a=300).select("qa_id", "reason").distinct()
 
 
-@query(_JUDGE + "SELECT reason, count(*) AS n FROM z GROUP BY reason")
+@query(_JUDGE + "SELECT reason, count(*) AS n FROM (SELECT DISTINCT qa_id, reason FROM z) GROUP BY reason")
 def qa_drop_reasons(spark: SparkSession, base: str) -> DataFrame:
     return qa_validate(spark, base).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -331,12 +330,6 @@ def processed_union(spark: SparkSession, base: str) -> DataFrame:
     return qa.processed_ids(load(spark, base, "qa_records"), load(spark, base, "chunk_records"))
 
 
-@query()
-def thread_answers(spark: SparkSession, base: str) -> DataFrame:
-    rows = load(spark, base, "chunk_records").where("source_type = 'webex'").select("chunk_id", "text").distinct()
-    return qa.thread_answers(rows)
-
-
 @query("""
 SELECT qa_id, CASE WHEN pos <= floor(n * 0.9) THEN 'train' WHEN pos <= floor(n * 0.9) + floor(n * 0.08) THEN 'valid' ELSE 'test' END AS split_name
 FROM (SELECT qa_id, row_number() OVER (ORDER BY md5('42:' || qa_id), qa_id) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT qa_id FROM qa_records))""")
@@ -546,14 +539,18 @@ best AS (SELECT e.query_id, min(CASE WHEN list_contains(e.expected_chunk_ids, h.
 """
 
 
-def _best_ranks(spark: SparkSession, base: str) -> DataFrame:
+def _case_rows(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     once = load(spark, base, "chunk_records").groupBy("chunk_id").agg(F.min("text").alias("text"))
     v = cut(sparse.vector_lists(once, "chunk_id", "text", 0).withColumnRenamed("chunk_id", "doc"), "vectors")
     cases = load(spark, base, "eval_cases")
     q = sparse.vector_lists(cases.select(F.col("query_id").alias("query"), "gold_passage"), "query", "gold_passage", 0)
     found = retrieve.sparse_topk(v, sparse.doc_frequency(v), v.agg(F.count("*").alias("n")).scalar(), q, 10)
-    rows = found.select("query", "rank", F.lit(None).cast("string").alias("source_ref"), F.col("doc").alias("chunk_id"), F.lit(None).cast("string").alias("linked_chunk_id"))
-    return evaluate.best_ranks(rows, evaluate.load_cases(cases))
+    rows = found.select("query", "rank", "score", F.lit(None).cast("string").alias("source_ref"), F.col("doc").alias("chunk_id"), F.lit(None).cast("string").alias("linked_chunk_id"))
+    return rows, evaluate.load_cases(cases)
+
+
+def _best_ranks(spark: SparkSession, base: str) -> DataFrame:
+    return evaluate.best_ranks(*_case_rows(spark, base))
 
 
 @query(_CASE_SEARCH + "SELECT query_id AS query, coalesce(best_rank, 0)::BIGINT AS best_rank FROM best")
@@ -561,6 +558,15 @@ def eval_best_rank(spark: SparkSession, base: str) -> DataFrame:
     return _best_ranks(spark, base).select("query", F.coalesce("best_rank", F.lit(0)).cast("bigint").alias("best_rank"))
 
 
+@query(_CASE_SEARCH + """
+SELECT e.query_id AS query, b.best_rank::BIGINT AS match_rank, coalesce(b.best_rank <= 5, false) AS hit_at_k, coalesce(t.n, 0) AS rows, t.first AS first_chunk FROM (SELECT DISTINCT query_id FROM eval_cases) e LEFT JOIN best b USING (query_id)
+LEFT JOIN (SELECT query_id, count(*) AS n, min(CASE WHEN rank = 1 THEN chunk_id END) AS first FROM hits WHERE rank <= 5 GROUP BY query_id) t USING (query_id)""")
+def eval_case_reports(spark: SparkSession, base: str) -> DataFrame:
+    rows, cases = _case_rows(spark, base)
+    r = evaluate.case_reports(rows, cases, 5)
+    return r.select("query", F.col("match_rank").cast("bigint").alias("match_rank"), "hit_at_k", F.size("top_rows").cast("bigint").alias("rows"), F.get("top_rows", F.lit(0))["chunk_id"].alias("first_chunk"))
+
+
 @query(_CASE_SEARCH + """
 SELECT count(*) AS labelled, round(avg(CASE WHEN best_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN best_rank <= 10 THEN 1.0 / best_rank ELSE 0.0 END), 6) AS mrr FROM best""")
 def eval_recall_mrr(spark: SparkSession, base: str) -> DataFrame:
@@ -585,7 +591,11 @@ def room_list(spark: SparkSession, base: str) -> DataFrame:
     return chat.rooms_of(load(spark, base, "rooms"), "group")
 
 
-@query()
+@query(r"""
+WITH r AS (SELECT room_id, min(title) AS title FROM (SELECT trim(room_id) AS room_id, trim(regexp_replace(title, '[\t-\r \x{85}\p{Z}]+', ' ', 'g')) AS title FROM rooms) WHERE room_id <> '' GROUP BY room_id),
+s AS (SELECT room_id, regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS c FROM r),
+b AS (SELECT room_id, CASE WHEN c = '' THEN 'file' ELSE substring(c, 1, 80) END AS b FROM s)
+SELECT room_id, CASE WHEN row_number() OVER (PARTITION BY lower(b) ORDER BY room_id) = 1 THEN b ELSE substring(b, 1, 71) || '_' || substring(sha1(room_id), 1, 8) END AS base_name FROM b""")
 def room_files(spark: SparkSession, base: str) -> DataFrame:
     return chat.file_names(chat.rooms_of(load(spark, base, "rooms"))).select("room_id", "base_name")
 
@@ -605,3 +615,9 @@ def feedback_rows(spark: SparkSession, base: str) -> DataFrame:
     rows = e.select(F.col("event_id").cast("string").alias("message_id"), F.when(F.col("value") > 50, "up").otherwise("down").alias("rating"), F.lit("").alias("feedback_text"), F.col("event_type").alias("question"), F.lit("").alias("answer"), F.lit("").alias("retrieval_query"), (F.col("value") / 10).alias("answer_time_seconds"), F.array(source).alias("sources"))
     out = feedback.feedback_rows(rows, F.lit(_NOW).cast("timestamp"))
     return out.select("message_id", "rating", "question", F.round("answer_time_seconds", 6).alias("answer_time_seconds"), F.size("selected_sources").cast("bigint").alias("sources"))
+
+
+from loomline import queries_more  # noqa: E402
+
+QUERIES.update(queries_more.QUERIES)
+ORACLE.update(queries_more.ORACLE)

@@ -41,6 +41,33 @@ def repair_tail(lines: DataFrame, pos: str = "line_no", value: str = "value") ->
     return lines.join(F.broadcast(bad), F.col("_bad").isNull() | (F.col(pos) < F.col("_bad"))).drop("_bad")
 
 
+def numbered_lines(spark: SparkSession, at: str) -> DataFrame:
+    """(line_no bigint, value): the lines of one text file with their place; a range of the file is numbered by the bytes before it.
+
+    Files of JSON Lines are read whole by one task each here, as their tail is what matters.
+    """
+    whole = spark.read.option("wholetext", True).text(at)
+    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).where("value <> ''").withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def repair_file(spark: SparkSession, at: str, to: str) -> int:
+    """Writes the lines of the file ``at`` before its first malformed one to ``to``; gives the number of lines dropped."""
+    lines = numbered_lines(spark, at)
+    kept = repair_tail(lines)
+    kept.coalesce(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(to)
+    return lines.count() - kept.count()
+
+
+def access_token(settings: dict, variable: str = "WEBEX_ACCESS_TOKEN", key: str = "access_token") -> str:
+    """The token of the settings, else of the environment; none is an error."""
+    import os
+
+    token = str(settings.get(key) or os.environ.get(variable) or "").strip()
+    if not token:
+        raise ValueError(f"no token: set {key} or {variable}")
+    return token
+
+
 def read_document(at: str) -> object:
     return json.loads(Path(at).read_text(encoding="utf-8"))
 

@@ -327,3 +327,105 @@ def test_search_reads_stored_vectors(spark):
     assert {r.text for r in index.newest(old.unionByName(df)).collect()} == {r[5] for r in rows}
     with pytest.raises(ValueError):
         index.index_rows(df.limit(0), required=True)
+
+
+CHUNK = "chunk_id string, doc_id string, source_ref string, source_type string, text string, metadata map<string,string>"
+
+
+def test_generation_resumes(spark, tmp_path):
+    from loomline.models import PassageGenerator
+    from loomline.operators import generation
+
+    class Flaky(PassageGenerator):
+        def generate(self, prompt, seed=0):
+            if "breaks" in prompt:
+                raise RuntimeError("model")
+            return "no json at all" if "unparsable" in prompt else super().generate(prompt, seed)
+
+    thread = "[2024] Ann: where is the rule of the group kept\n[2024] Bob: it is kept in the group of the tenant, always\n[2024] Cy: yes"
+    meta = {"thread_id": "t", "message_count": "3"}
+    long = "The rule moves with the group of the tenant. The pool drops what it cannot keep. " * 4
+    rows = [
+        ("a", "d", "r", "pdf", long, {}), ("b", "d", "r", "webex", thread, meta), ("c", "d", "r", "webex", "[2024] Ann: hi", {}), ("e", "d", "r", "pdf", "it breaks here and there", {}), ("f", "d", "r", "pdf", "unparsable text of a page", {}),
+        ("g", "d", "r", "pdf", "Short. No.", {}), ("h", "d", "r", "webex", "[2024] Ann: only the first message of the thread", {**meta}), ("n", "d", "r", "pdf", None, None), ("z", "d", "r", "pdf", "  ", {}),
+    ]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    cfg = generation.GenerationConfig(least_chat_chars=20)
+    at = [str(tmp_path / x) for x in ("pairs", "progress")]
+    counts = generation.run_generation(spark, chunks, *at, Flaky(), cfg)
+    assert counts == {"completed": 2, "skipped_short_webex": 1, "no_valid_qa": 1, "filtered_after_validation": 1, "skipped_webex_thread_without_answer": 1}
+    pairs = {x.chunk_id: x for x in spark.read.parquet(at[0]).collect()}
+    assert set(pairs) == {"a", "b"} and pairs["b"].answer == "it is kept in the group of the tenant, always\n\nyes" and pairs["b"].metadata.thread_reply_count == 2
+    assert pairs["a"].metadata.qa_generation_mode is None and pairs["a"].metadata.chunk_text == long.strip()
+    assert generation.run_generation(spark, chunks, *at, PassageGenerator(), cfg) == {"completed": 1}  # the one that failed
+    assert generation.run_generation(spark, chunks, *at, PassageGenerator(), cfg) == {}
+    assert sum(generation.run_generation(spark, chunks, *at, Flaky(), cfg, resume=False).values()) == 6
+    only = generation.GenerationConfig(least_chat_chars=20, user="bOB")
+    judged = {x.chunk_id: (x.status, [p.answer for p in x.pairs]) for x in generation.judged_chunks(chunks, Flaky(), only).where("source_type = 'webex'").collect()}
+    assert judged["b"] == ("completed", ["it is kept in the group of the tenant, always"]) and judged["h"][0] == "skipped_webex_user_filter"
+    assert generation.first_chunks(chunks, 2, "chunk_id").count() == 2 and generation.first_chunks(chunks, 0, "chunk_id").count() == 7
+
+
+def test_bundles_carry_and_check_vectors(spark, tmp_path):
+    df = spark.createDataFrame([("a", "pdf", [1.0, 0.0]), ("b", "webex", [0.0, 1.0])], "point_id string, source_type string, dense array<double>")
+    at, to = str(tmp_path / "bundle"), str(tmp_path / "index")
+    manifest = index.export_index(df, at, distance="Dot")
+    assert index.read_vectors_config(manifest["vectors_config"]) == {"dense": (2, "dot")}
+    assert index.import_index(spark, at, df.schema, to).count() == 2
+    index.export_index(df.where("point_id = 'a'").withColumn("dense", F.array(F.lit(0.5), F.lit(0.5))), at)
+    index.import_index(spark, at, df.schema, to)
+    assert {(r.point_id, tuple(r.dense)) for r in spark.read.parquet(to).collect()} == {("a", (0.5, 0.5)), ("b", (0.0, 1.0))}
+    index.import_index(spark, at, df.schema, to, recreate=True)
+    assert spark.read.parquet(to).count() == 1
+    for bad in (df.withColumn("dense", F.when(F.col("point_id") == "a", F.col("dense"))), df.withColumn("point_id", F.lit(None).cast("string"))):
+        index.export_index(bad, at)
+        with pytest.raises(Exception, match="point without"):
+            index.import_index(spark, at, df.schema).collect()
+    with pytest.raises(ValueError):
+        index.read_manifest(spark, str(tmp_path / "index"))
+    single = index.vectors_config(3, "Euclid", None)
+    assert index.read_vectors_config(single) == {None: (3, "euclid")} and index.read_sparse_config(index.sparse_config(modifier="")) == {"sparse": None}
+    for wrong in ({"kind": "named", "vectors": {}}, {"kind": "other"}, {"size": 1, "distance": "near"}):
+        with pytest.raises(ValueError):
+            index.read_vectors_config(wrong)
+    with pytest.raises(ValueError):
+        index.read_sparse_config({"s": {"modifier": "tf"}})
+
+
+def test_validation_reasons(spark):
+    rows = [("1", None, "a" * 30, "m", "a" * 30), ("2", "short", "a" * 30, "m", "x"), ("3", "a question that is long", "word " * 20, "webex_thread_question_child_messages_answer", "word"), ("4", "a question that is long", "word " * 20, "m", "word"), ("5", "A  question that is LONG", "word " * 10, None, "word"), ("6", "another long question", "word " * 10, None, None)]
+    df = spark.createDataFrame(rows, "pos string, question string, answer string, mode string, context string")
+    got = {r.pos: r.reason for r in qa.judge(df, "pos", mode="mode", required=("question",), most_thread_a=60).collect()}
+    assert got == {"1": "invalid_schema", "2": "short_question", "3": "answer_length", "4": "keep", "5": "duplicate_question", "6": "weak_grounding"}
+
+
+def test_files_and_sinks(spark, tmp_path):
+    from loomline.plans import feedback
+    from loomline.sources import jsonl, pdf
+
+    at = tmp_path / "x.jsonl"
+    at.write_text('{"a": 1}\n\n{"a": 2}\n{"a": \n{"a": 4}\n')
+    assert jsonl.repair_file(spark, str(at), str(tmp_path / "fixed")) == 2
+    assert [r.value for r in spark.read.text(str(tmp_path / "fixed")).collect()] == ['{"a": 1}', '{"a": 2}']
+    assert jsonl.access_token({"access_token": " t "}, "NO_SUCH_VARIABLE") == "t"
+    with pytest.raises(ValueError):
+        jsonl.access_token({}, "NO_SUCH_VARIABLE")
+    rows = spark.createDataFrame([("m", "up")], "message_id string, rating string")
+    feedback.append_feedback(rows, str(tmp_path / "f"))
+    feedback.append_feedback(rows, str(tmp_path / "f"))
+    assert spark.read.json(str(tmp_path / "f")).count() == 2
+    with pytest.raises(Exception, match="up or down"):
+        feedback.append_feedback(rows.withColumn("rating", F.lit("meh")), str(tmp_path / "f"))
+    contents = spark.createDataFrame([("f", "T", 5, [(0, 1, "One", 1), (1, 1, "Two", 3)], None), ("bad", None, None, None, "no pdf")], pdf.TOC)
+    assert [(x.title, x.page_start, x.page_end) for x in sections.section_ranges(*pdf.contents_tables(contents)).orderBy("section_no").collect()] == [("One", 1, 2), ("Two", 3, 5)]
+
+
+def test_hub_join_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 20)
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    left = spark.range(500).select(F.when(F.col("id") < 300, "hot").when(F.col("id") < 310, None).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id", F.create_map(F.lit("a"), F.col("id").cast("string")).alias("m"))
+    right = spark.createDataFrame([("hot", 1), ("k400", 2), ("other", 3)], "k string, v int")
+    assert skew.hubs_of(left, "k") == [("hot", 30)]
+    for how in ("inner", "left"):
+        rows = lambda d: sorted((x.k or "", x.id, x.v or 0) for x in d.collect())
+        assert rows(skew.hub_join(left, right, "k", how)) == rows(left.join(right, "k", how))
