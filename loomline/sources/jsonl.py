@@ -46,7 +46,7 @@ def numbered_lines(spark: SparkSession, at: str) -> DataFrame:
 
     Files of JSON Lines are read whole by one task each here, as their tail is what matters.
     """
-    whole = spark.read.option("wholetext", True).text(at)
+    whole = spark.read.text(at, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).where("value <> ''").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
