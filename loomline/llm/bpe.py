@@ -6,8 +6,8 @@ touches a handful of entries. Pieces that are tokens themselves are looked up; e
 is folded once, by ``aggregate`` over its byte array, always merging the pair of lowest rank.
 
 The folded pieces are a dictionary of the corpus. Up to ``literal_words`` entries (counted, never assumed) it is added
-to the literal map and texts are encoded in one projection without a shuffle. Beyond that it stays a table and is
-joined by piece: a text's unknown pieces are looked up by a shuffled join and come back in blocks of ``block`` pieces.
+to the literal map and texts are encoded in one projection without a shuffle. Beyond that it stays a table: blocks of
+``block`` pieces ask for their unknown pieces by a shuffled join, each once, and are put together with the answers.
 
 Results by case: null, empty text: empty list. One row per distinct id; a repeated id takes its smallest text (tables
 whose ids are unique by contract skip that grouping with ``unique_ids``).
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.operators.skew import hub_join
 from loomline.session import Stage
 
 TOKENIZERS = os.environ.get("LOOMLINE_TOKENIZERS", "/opt/tokenizers")
@@ -34,8 +35,8 @@ PATTERN = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 NONE = 2**31 - 1
-#: Pieces with more bytes are merged by the tokenizer library's heap, as the fold's cost is quadratic in the piece.
-FOLD_BYTES = 400
+#: Pieces with more bytes are merged by the tokenizer library's heap, as the fold copies its arrays at every merge.
+FOLD_BYTES = 10_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,30 +80,36 @@ def pieces_of(text: Column) -> Column:
 
 
 def fold_merges(literal: Lookup, data: Column) -> Column:
-    """Ids of a byte string of at least one byte: adjacent parts of the lowest rank merge until none can."""
-
-    def join(acc: Column, i: Column) -> Column:
-        return F.concat(F.get(acc, i), F.get(acc, i + 1))
-
-    def step(acc: Column, _: Column) -> Column:
-        ranks = F.transform(
-            F.sequence(F.lit(0), F.size(acc) - 2), lambda i: F.coalesce(literal(join(acc, i)), F.lit(NONE))
-        )
-        bound = F.array(F.struct(ranks.alias("r"), F.array_min(ranks).alias("best")))
-        merged = F.transform(
-            bound,
-            lambda b: F.when(b["best"] == NONE, acc).otherwise(
-                F.transform(
-                    F.array(F.array_position(b["r"], b["best"]).cast("int")),
-                    lambda p: F.concat(F.slice(acc, 1, p - 1), F.array(join(acc, p - 1)), F.slice(acc, p + 2, F.size(acc))),
-                )[0]
-            ),
-        )[0]
-        return F.when(F.size(acc) < 2, acc).otherwise(merged)
+    """Ids of a byte string of at least one byte: adjacent parts of the lowest rank merge until none can.
+
+    The ranks of neighbours are kept beside the parts, so a merge looks up two new ranks only.
+    """
+    rank = lambda x: F.coalesce(literal(x), F.lit(NONE))
+    state = lambda parts, ranks: F.struct(parts.alias("parts"), ranks.alias("ranks"), F.coalesce(F.array_min(ranks), F.lit(NONE)).alias("best"))
+
+    def merged(acc: Column) -> Column:
+        parts, ranks = acc["parts"], acc["ranks"]
+
+        def at(p: Column) -> Column:  # the lower one of the merged parts, from 0
+            both = F.concat(F.get(parts, p), F.get(parts, p + 1))
+            left = F.when(p > 0, F.array(rank(F.concat(F.get(parts, p - 1), both)))).otherwise(none)
+            right = F.when(p + 2 < F.size(parts), F.array(rank(F.concat(both, F.get(parts, p + 2))))).otherwise(none)
+            rest = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 1, F.lit(0))), left, right, F.slice(ranks, p + 3, F.size(ranks)))
+            return F.transform(F.array(rest), lambda r: state(F.concat(F.slice(parts, F.lit(1), p), F.array(both), F.slice(parts, p + 3, F.size(parts))), r))[0]
+
+        none = F.array().cast("array<int>")
+        return F.transform(F.array((F.array_position(ranks, acc["best"]) - 1).cast("int")), at)[0]
 
     n = F.length(data)
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(data, i, F.lit(1)))
-    return F.transform(F.aggregate(F.sequence(F.lit(1), n), parts, step), lambda b: literal(b))
+
+    def folded(start: Column) -> Column:
+        step = lambda acc, _: F.when(acc["best"] == NONE, acc).otherwise(merged(acc))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["parts"])
+
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(data, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
+    start = F.transform(F.array(pairs), lambda r: state(parts, r))[0]
+    return F.transform(folded(start), lambda b: literal(b))
 
 
 def _library_udf(path: str):
@@ -160,24 +167,22 @@ def _encode_inline(one: DataFrame, words: Lookup) -> DataFrame:
 
 
 def _encode_joined(one: DataFrame, folded: DataFrame, tokens: Lookup, block: int) -> DataFrame:
-    """Pieces outside the vocabulary by a join, in blocks of a text, so neither a long text nor a large dictionary hurts."""
+    """Tokens by look-ups, other pieces by a join: a block of a text asks for each of them once and gets back a small map.
+
+    So the texts are shuffled once, with what their blocks asked for; a piece that a large part of all blocks holds is
+    spread over tasks. Blocks of ``block`` pieces keep maps small however long a text is.
+    """
     pieces = one.select("id", pieces_of(F.col("text")).alias("p"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("p") - 1, F.lit(0)), F.lit(block))
-    blocks = pieces.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("p", i + 1, F.lit(block)))).alias("k", "p"))
-    occurrences = blocks.select("id", "k", F.posexplode("p").alias("pos", "piece"))
-    seen = occurrences.withColumn("ids", tokens(F.col("piece")))
-    direct = seen.where("ids is not null").select("id", "k", "pos", "ids")
-    looked = seen.where("ids is null").select("id", "k", "pos", "piece").join(folded, "piece").select("id", "k", "pos", "ids")
-    by_block = (
-        direct.unionByName(looked)
-        .groupBy("id", "k")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("ids"))
-    )
-    whole = by_block.groupBy("id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids")
-    )
-    empty = one.where(F.col("text") == "").select("id", F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(empty)
+    cut = F.transform(starts, lambda i: F.slice("p", i + 1, F.lit(block)))
+    blocks = pieces.select("id", F.size(starts).alias("n"), F.posexplode(cut).alias("k", "p"))
+    asked = blocks.select("id", "k", F.explode(F.array_distinct(F.filter("p", lambda x: tokens(x).isNull()))).alias("piece"))
+    asked = Stage(asked, "asked").df
+    maps = hub_join(asked, folded, "piece").groupBy("id", "k").agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("m"))
+    ids = F.flatten(F.transform("p", lambda x: F.coalesce(tokens(x), F.try_element_at("m", x))))
+    by_block = blocks.join(maps, ["id", "k"], "left").select("id", "k", "n", ids.alias("ids"))
+    long = by_block.where("n > 1").groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
+    return by_block.where("n = 1").select("id", "ids").unionByName(long)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
