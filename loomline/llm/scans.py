@@ -2,8 +2,10 @@
 
 Characters: a noisy channel. Confusions of a scanner (rn for m, 1 for l, c for e ...) are folded to one skeleton per word,
 so a misread word and the word meant share a key; one join of the corpus vocabulary with itself by that key proposes
-candidates. Within a line, Viterbi picks the best words: log of corpus counts of words and of word pairs, interpolated,
-plus the log probability of the confusions. Pairs are counted over all texts, for the pairs that suspicious lines ask for.
+candidates. How likely each confusion is (what is read for what is meant) is estimated from the corpus: the candidate
+pairs are aligned under a constant channel, and each confusion's share of what it stands for is its probability. Within a
+line, Viterbi picks the words of the greatest channel probability times bigram likelihood; bigrams are smoothed towards
+the counts of single words. Pairs are counted over all texts, for the pairs that suspicious lines ask for.
 
 Lines: running headers are short title-like lines that several records of one file share (digits apart), or that
 continue the file's title, product or chapter; page numbers have a grammar; code blocks are left alone. Words broken at
@@ -31,15 +33,23 @@ from loomline.session import Stage
 SINGLE_FROM, SINGLE_TO = "01l5c8h", "oiisebb"
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 SPELLED = (("d", "ei"), ("m", "rn"), ("u", "ii"), ("w", "vv"))
-#: Probability that a character is misread; a candidate must outweigh it.
+#: Probability that a character is misread, before the corpus has told.
 MISREAD = 0.05
+#: How much denser misread characters are in a noisy text than in the corpus, which the estimates are averages of; candidates gain by it.
+DENSER = 30.0
+#: Weight of the counts of single words in a bigram's smoothed count, as a divisor.
+SMOOTHING = 50.0
 #: Side tables are broadcast up to so many rows, counted before.
 BROADCAST_ROWS = 200_000
 
 ROMAN = r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
-_NUMBER = rf"(?:page|pages|pg\.?|p\.|seite|s\.|página|pagina|pág\.)?\s*(?:\d{{1,4}}|{ROMAN})\s*(?:(?:of|/|von|de|sur|\|)\s*\d{{1,4}})?"
+_PAGE_WORDS = r"page|pages|pg\.?|p\.|seite|s\.|página|pagina|pág\."
+_MARKS = r"[\s\-–—\[\](){}|.·*]"
+_NUMBER = rf"(?:{_PAGE_WORDS})?\s*(?:\d{{1,4}}|{ROMAN})\s*(?:(?:of|/|von|de|sur|\|)\s*\d{{1,4}})?"
 PAGE_LINE = re.compile(rf"(?i)^[\s\-–—\[\](){{}}|.·*]*{_NUMBER}[\s\-–—\[\](){{}}|.·*]*$")
 PAGE_EDGE = re.compile(rf"(?i)^(?:(?:page|p\.|seite|página)?\s*\d{{1,4}}\s*[|·–—/-]\s*)|(?:\s{{2,}}|\s*[|·]\s*)(?:page|p\.|seite|página)?\s*\d{{1,4}}(?:\s*(?:of|/|von|de)\s*\d{{1,4}})?\W*$")
+#: A line that PAGE_LINE may match, for the JVM: marks, an optional word for page, a number, an optional total, marks; a superset, as white space and marks mix.
+_PAGE_SQL = rf"(?iUm)^{_MARKS}*(?:{_PAGE_WORDS})?\s*(?:\p{{Nd}}{{1,4}}|[ivxlc]+)\s*(?:(?:of|/|von|de|sur|\|)\s*\p{{Nd}}{{1,4}})?{_MARKS}*$"
 _EDGE_SQL = r"(?i)^(?:(?:page|p\.|seite|página)?\s*\d{1,4}\s*[|·–—/-]\s*)|(?:\s{2,}|\s*[|·]\s*)(?:page|p\.|seite|página)?\s*\d{1,4}(?:\s*(?:of|/|von|de)\s*\d{1,4})?\W*$"
 CHAPTER = re.compile(r"(?i)^(?:chapter|kapitel|chapitre|cap[íi]tulo|section|abschnitt|part)\s+(?:\d{1,3}|[ivxlc]+)\b[^.!?]{0,50}$")
 BREAK = r"(\p{L}+)[-­‐¬][ \t]*(?:\r?\n)+[ \t]*(\p{Ll}+)"
@@ -85,15 +95,68 @@ def vocabulary(split: DataFrame) -> DataFrame:
     return split.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def confusions(word: str, meant: str) -> list[str]:
+    """What was read for what, 'read<meant', where two words of one skeleton differ: the fewest pieces of at most two characters."""
+    best: dict[tuple[int, int], tuple[int, tuple]] = {(len(word), len(meant)): (0, ())}
+    for i in range(len(word), -1, -1):
+        for j in range(len(meant), -1, -1):
+            for a, b in ((1, 1), (2, 1), (1, 2), (2, 2)):
+                x, y = word[i : i + a], meant[j : j + b]
+                rest = best.get((i + a, j + b))
+                if rest is None or len(x) < a or len(y) < b or not (x == y or skeleton_of(x) == skeleton_of(y)):
+                    continue
+                cost = rest[0] + (x != y) * (a + b)
+                if (i, j) not in best or cost < best[i, j][0]:
+                    best[i, j] = (cost, rest[1] if x == y else (f"{x}<{y}", *rest[1]))
+    return list(best[0, 0][1]) if (0, 0) in best else [f"{word}<{meant}"]
+
+
+def _confused(word: str, meant: str) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(words: pd.Series, meanings: pd.Series) -> pd.Series:
+        return pd.Series([confusions(w, m) for w, m in zip(words, meanings)])
+
+    return run(word, meant)
+
+
+def channel(vocab: DataFrame, pairs: DataFrame) -> dict[str, float]:
+    """Log probability of each confusion: how often it was seen against how often what it stands for was written.
+
+    pairs: (n: count of the word read, ops). Confusions are made of the few characters that scanners confuse, so their
+    table is small by definition.
+    """
+    seen = pairs.select("n", F.explode("ops").alias("op")).groupBy("op").agg(F.sum("n").alias("seen"), F.count("*").alias("words"))
+    counts = {r["op"]: (r["seen"], r["words"]) for r in seen.where("words > 1").collect()}
+    meant = sorted({op.split("<", 1)[1] for op in counts} - {""})
+    if not meant:
+        return {}
+    times = lambda m: F.sum(F.col("n") * ((F.length("word") - F.length(F.replace("word", F.lit(m), F.lit("")))) / len(m)))
+    written = vocab.agg(*[times(m).alias(f"m{i}") for i, m in enumerate(meant)]).first()
+    total = {m: float(written[i] or 0.0) for i, m in enumerate(meant)}
+    out = {}
+    for op, (n, _) in counts.items():
+        base = total.get(op.split("<", 1)[1]) or sum(total.values())
+        out[op] = math.log(min(0.5, (n + 0.5) / (base + n + 1.0)))
+    return out
+
+
 def candidates(vocab: DataFrame) -> DataFrame:
-    """(word, cand, score, own): words that a scanner may have made of more likely ones."""
+    """(word, cand, score, own): words that a scanner may have made of more likely ones; scores are log counts expected."""
     keyed = vocab.where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2)).withColumn("key", skeleton(F.col("word")))
     odd = F.col("word").rlike(r"\p{L}") & F.col("word").rlike(r"\p{N}")
-    seen = keyed.select("key", "word", F.greatest(F.col("n") * F.when(odd, 0.1).otherwise(1.0), F.lit(0.5)).alias("own"))
+    seen = keyed.select("key", "word", F.col("n").alias("own_n"), F.greatest(F.col("n") * F.when(odd, 0.1).otherwise(1.0), F.lit(0.5)).alias("own"))
     meant = keyed.where((F.col("n") * MISREAD >= 1) & ~F.col("word").rlike(r"\p{N}")).select("key", F.col("word").alias("cand"), "n")
     edits = F.greatest(F.lit(1), F.ceil(F.levenshtein("word", "cand") / 2))
-    pairs = seen.join(meant, "key").where("word <> cand").withColumn("score", F.log("n") + edits * math.log(MISREAD))
-    return pairs.where(F.col("score") > F.log("own")).select("word", "cand", "score", F.log("own").alias("own"))
+    pairs = seen.join(meant, "key").where("word <> cand").where(F.log("n") + edits * math.log(MISREAD) > F.log("own"))
+    pairs = Stage(pairs.select("word", "cand", "n", "own", "own_n", _confused("word", "cand").alias("ops")), "confused").df
+    known = channel(vocab, pairs.select(F.col("own_n").alias("n"), "ops"))
+    if known:
+        table = F.create_map(*[x for op, p in sorted(known.items()) for x in (F.lit(op), F.lit(p))])
+        cost = F.aggregate("ops", F.lit(0.0), lambda s, op: s + F.coalesce(F.try_element_at(table, op), F.lit(math.log(MISREAD / DENSER))))
+    else:
+        cost = F.size("ops") * F.lit(math.log(MISREAD / DENSER))
+    scored = pairs.withColumn("score", F.log("n") + cost + math.log(DENSER))
+    return scored.where(F.col("score") > F.log("own")).select("word", "cand", "score", F.log("own").alias("own"))
 
 
 def bodies(docs: DataFrame, scanned: str = "pdf") -> DataFrame:
@@ -174,22 +237,21 @@ def kept_hyphens(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def decode_line(tokens: list[str], options: dict, pairs: dict) -> list[str]:
-    """The likeliest words behind ``tokens`` (lower case) by Viterbi. options: word to [(word, log score)]."""
-    paths = [(0.0, [])]
-    before = [""]
+    """The likeliest words behind ``tokens`` (lower case) by Viterbi. options: word to [(word, log of its expected count)].
+
+    A step from a to b costs the log of the smoothed count of (a, b): its bigrams plus b's own expected count over
+    SMOOTHING. Around words without a choice every path takes the same step, so only lines with suspects are decoded.
+    """
+    paths = [(0.0, [], "")]
     for token in tokens:
         now = options.get(token) or [(token, 0.0)]
-        new_paths, names = [], []
+        choice = len(now) > 1
+        new = []
         for cand, score in now:
-            best = None
-            for (cost, path), prev in zip(paths, before):
-                pair = pairs.get((prev, cand), 0)
-                step = cost + score + (math.log1p(pair) * 0.5 if len(now) > 1 or len(paths) > 1 else 0.0)
-                if best is None or step > best[0]:
-                    best = (step, path, prev)
-            new_paths.append((best[0], best[1] + [cand]))
-            names.append(cand)
-        paths, before = new_paths, names
+            single = math.exp(min(score, 50.0)) / SMOOTHING if choice else 1.0 / SMOOTHING
+            best = max(((cost + (math.log(pairs.get((prev, cand), 0) + single) if choice or len(paths) > 1 else 0.0), i) for i, (cost, _, prev) in enumerate(paths)), key=lambda x: x[0])
+            new.append((best[0] + (0.5 * score if choice else 0.0), paths[best[1]][1] + [cand], cand))
+        paths = new
     return max(paths, key=lambda p: p[0])[1]
 
 
@@ -308,7 +370,7 @@ def scan_repairs(docs: DataFrame, scanned: str = "pdf") -> DataFrame:
     entry = F.transform("cands", lambda c: F.concat_ws("\t", c["word"], c["own"].cast("string"), F.array_join(F.transform(c["to"], lambda t: F.concat_ws(" ", t["cand"], t["score"].cast("string"))), "\t")))
     facts = sus.select("rid", F.array_join(entry, "\n").alias("cands")).join(pairs, "rid", "left")
     facts = facts.join(heads.select("rid", F.array_join("keys", "\n").alias("keys")), "rid", "full").join(keep.select("rid", F.array_join("keep", "\n").alias("keep")), "rid", "left")
-    evidence = (F.col("body").rlike(BREAK_HINT) & F.col("body").rlike(BREAK)) | F.col("body").rlike(r"(?im)^[\s\-–—\[\](){}|.·*]{0,8}(?:page|pg\.?|p\.|seite|s\.|página)?[ \t]*(?:\d{1,4}|[ivxlc]{1,7})[ \t]*(?:(?:of|/|von|de|sur)[ \t]*\d{1,4})?[ \t\-–—\[\](){}|.·*]{0,8}$")
+    evidence = (F.col("body").rlike(BREAK_HINT) & F.col("body").rlike(BREAK)) | F.col("body").rlike(_PAGE_SQL)
     titled = F.exists("known", lambda k: F.contains(F.lower("body"), F.concat(F.lit("\n"), F.lower(k)))) | F.col("body").rlike(r"(?im)^\W{0,3}(?:\d+ \| )?(?:chapter|kapitel|chapitre|cap[íi]tulo) \d+")
     noisy = rows.join(facts, "rid", "left").where(F.col("cands").isNotNull() | F.col("keys").isNotNull() | F.coalesce(titled, F.lit(False)) | F.coalesce(evidence, F.lit(False)))
     noisy = noisy.withColumn("known", F.array_join("known", "\n"))

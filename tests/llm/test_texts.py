@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import conversations, defects, pii, residue, scans
 
@@ -200,6 +201,25 @@ def test_scan_noise(spark):
     assert scans.found_noise(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_confusions_and_their_probabilities(spark):
+    assert scans.confusions("sti1l", "still") == ["1<l"] and scans.confusions("segrnent", "segment") == ["rn<m"] and scans.confusions("cl0sed", "closed") == ["0<o"]
+    assert sorted(scans.confusions("stcvvard", "steward")) == ["c<e", "vv<w"] and scans.confusions("ﬁnd", "find") == ["ﬁ<fi"] and scans.confusions("same", "same") == []
+    vocab = spark.createDataFrame([("some", 900), ("s0me", 9), ("more", 100), ("m0re", 1), ("modern", 40)], "word string, n long")
+    pairs = spark.createDataFrame([(9, ["0<o"]), (1, ["0<o"])], "n long, ops array<string>")
+    known = scans.channel(vocab, pairs)
+    assert set(known) == {"0<o"} and abs(known["0<o"] - scans.math.log(10.5 / 1051)) < 1e-9
+    assert scans.channel(vocab, pairs.limit(0)) == {}
+    assert scans.decode_line(["the", "bclongs"], {"bclongs": [("bclongs", 0.7), ("belongs", 3.0)]}, {("the", "belongs"): 4}) == ["the", "belongs"]
+    assert scans.decode_line(["a", "modern"], {"modern": [("modern", 3.7), ("modem", -2.0)]}, {}) == ["a", "modern"]
+
+
+@pytest.mark.parametrize("line", ["Pages 3", "pagina 7", "pág. 12", "3 | 12", "PÁGINA 3", "- 12 -", "xviii", "[ 4 ]", "Seite 3 von 9", "***** page 12 *****", "| iv |", "lxxxviii"])
+def test_page_lines_are_evidence(spark, line):
+    assert scans.PAGE_LINE.match(line)
+    row = spark.createDataFrame([(f"The text\n{line}\ngoes on.",), ("The text goes on.\nIt was 12 days.",)], "body string")
+    assert [x.hit for x in row.select(F.col("body").rlike(scans._PAGE_SQL).alias("hit")).collect()] == [True, False]
+
+
 def test_real_hyphens_stay():
     assert scans.repair("a cross-\nchannel job", None, None, None, None, "cross-channel")[0] == "a cross-channel job"
 
