@@ -1,8 +1,9 @@
 """Problem 1: splits that keep related records together.
 
-Records that share an entity (a chunk or a document), directly or through others, form a group. The links are reduced
-to distinct pairs of entities before anything else, so a document with a third of all rows counts once per chunk.
-Connected components run by alternating large-star and small-star (Kiveris et al., SoCC 2014) on that entity graph:
+Records that share an entity (a chunk or a document), directly or through others, form a group. Every record is stood
+for by its document (else its chunk, else itself), and those that another entity puts together are linked to the least
+of them, so a document with a third of all rows is one node, and one that shares nothing has no link.
+Connected components run by alternating large-star and small-star (Kiveris et al., SoCC 2014) on that graph:
 each step is an aggregation (minimum of the neighbours) and one join, written to the shared folder. Hub nodes are
 salted in the join. Whole groups then go to splits by the hash of the group, into ranges proportional to the targets; only
 groups with more than a hundredth of all ids are placed one by one before.
@@ -74,24 +75,29 @@ def connected_components(links: DataFrame, a: str, b: str, most: int = 100) -> D
 
 
 def record_groups(records: DataFrame, id_col: str = "qa_id", entities: tuple[str, ...] = ("chunk_id", "doc_id")) -> DataFrame:
-    """(record, group, one column for each entity) of the distinct rows; ``group`` is the group's least node.
+    """(record, group, one column for each entity) of the distinct rows; ``group`` is the least key of the group.
 
-    Nodes are entity ids prefixed by their place in ``entities``; a record without entities is a node itself.
+    Every row has a key: its last entity that is not null (prefixed by its place in ``entities``), else the record. Keys of
+    rows that share another entity, or the record id, are linked; most entities stand beside one key only and link
+    nothing, which their least and greatest key tell, so components run over the few keys that are linked at all.
     """
     keys = [F.concat(F.lit(f"{i}:"), clean_id(F.col(c))) for i, c in enumerate(entities)]
     rows = records.select(F.col(id_col).alias("record"), *[k.alias(f"e{i}") for i, k in enumerate(keys)]).distinct()
-    first = F.coalesce(*[F.col(f"e{i}") for i in range(len(keys))], F.concat(F.lit("r:"), F.col("record")))
-    rows = Stage(rows.withColumn("first", first), "records").df
-    between = [rows.select(F.col("first").alias("a"), F.col(f"e{i}").alias("b")).where("b is not null").distinct() for i in range(len(keys))]
-    least = rows.groupBy("record").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b").select("record", "a")
-    least = Stage(least, "repeated").df
-    repeated = [hub_join(rows.select("record", "first"), least, "record").select("a", F.col("first").alias("b")).distinct()] if least.limit(1).count() else []
-    links = between[0]
-    for other in [*between[1:], *repeated, rows.where("first like 'r:%'").select(F.col("first").alias("a"), F.col("first").alias("b"))]:
-        links = links.unionByName(other)
-    roots = Stage(connected_components(links, "a", "b"), "roots").df
-    roots = roots.withColumnRenamed("node", "first").withColumnRenamed("root", "group")
-    return Stage(hub_join(rows, roots, "first").drop("first"), "groups").df
+    key = F.coalesce(*[F.col(f"e{i}") for i in reversed(range(len(keys)))], F.concat(F.lit("r:"), F.col("record")))
+    rows = Stage(rows.withColumn("key", key), "records").df
+    links = None
+    for shared in [*[f"e{i}" for i in range(len(keys) - 1)], "record"]:
+        own = rows.where(F.col(shared).isNotNull() & F.col("key").isNotNull()).select(shared, "key")
+        apart = own.groupBy(shared).agg(F.min("key").alias("b"), F.max("key").alias("_to")).where("b <> _to").drop("_to")
+        apart = Stage(apart, "linked").df
+        if apart.limit(1).count():
+            one = hub_join(own, apart, shared).select(F.col("key").alias("a"), "b").where("a <> b").distinct()
+            links = one if links is None else links.unionByName(one)
+    rows = rows.where("key is not null")
+    if links is None:
+        return rows.withColumnRenamed("key", "group")
+    roots = Stage(connected_components(links, "a", "b"), "roots").df.withColumnsRenamed({"node": "key", "root": "_root"})
+    return Stage(hub_join(rows, roots, "key", "left").withColumn("group", F.coalesce("_root", "key")).drop("key", "_root"), "groups").df
 
 
 def found_groups(records: DataFrame) -> DataFrame:
