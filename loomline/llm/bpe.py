@@ -5,9 +5,9 @@ vocabulary) enters the plan as a literal: an array of small maps, addressed by t
 touches a handful of entries. Pieces that are tokens themselves are looked up; each other distinct piece of the corpus
 is folded once, by ``aggregate`` over its byte array, always merging the pair of lowest rank.
 
-The folded pieces are a dictionary of the corpus. Up to ``literal_words`` entries (counted, never assumed) it is added
-to the literal map and texts are encoded in one projection without a shuffle. Beyond that it stays a table: blocks of
-``block`` pieces ask for their unknown pieces by a shuffled join, each once, and are put together with the answers.
+The folded pieces are a dictionary of the corpus. The ``literal_words`` of them that most texts hold are added to the
+literal map, and texts whose pieces are all in it are encoded in one projection without a shuffle. Pieces beyond those
+stay a table: blocks of ``block`` pieces ask for their rare ones by a shuffled join and are put together with the answers.
 
 Results by case: null, empty text: empty list. One row per distinct id; a repeated id takes its smallest text (tables
 whose ids are unique by contract skip that grouping with ``unique_ids``).
@@ -151,14 +151,17 @@ def encode_corpus(
     unknown = (
         texts.select(F.explode(F.array_distinct(pieces_of(F.col("text")))).alias("piece"))
         .where(tokens(F.col("piece")).isNull())
-        .distinct()
-    )
+        .groupBy("piece").agg(F.count("*").alias("n"))
+    )
     unknown = Stage(unknown, "unknown").df
-    folded = Stage(encode_words(unknown, rank_literal(ranks), path), "pieces").df
+    folded = Stage(encode_words(unknown, rank_literal(ranks), path).join(unknown, "piece"), "pieces").df
+    often = folded.orderBy(F.desc("n"), "piece").limit(literal_words).collect()
+    known = word_literal(ranks, {r["piece"]: r["ids"] for r in often})
     if folded.limit(literal_words + 1).count() <= literal_words:
-        words = {r["piece"]: r["ids"] for r in folded.collect()}
-        return _encode_inline(one, word_literal(ranks, words)).withColumnRenamed("id", id_col)
-    return _encode_joined(one, folded, tokens, block).withColumnRenamed("id", id_col)
+        return _encode_inline(one, known).withColumnRenamed("id", id_col)
+    last = often[-1] if often else None
+    rare = folded.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("piece") > last["piece"]))) if last else folded
+    return _encode_joined(one, rare.select("piece", "ids"), known, block).withColumnRenamed("id", id_col)
 
 
 def _encode_inline(one: DataFrame, words: Lookup) -> DataFrame:
@@ -166,23 +169,26 @@ def _encode_inline(one: DataFrame, words: Lookup) -> DataFrame:
     return one.select("id", F.flatten(F.transform(pieces_of(F.col("text")), lambda p: words(p))).alias("ids"))
 
 
-def _encode_joined(one: DataFrame, folded: DataFrame, tokens: Lookup, block: int) -> DataFrame:
-    """Tokens by look-ups, other pieces by a join: a block of a text asks for each of them once and gets back a small map.
+def _encode_joined(one: DataFrame, rare: DataFrame, tokens: Lookup, block: int) -> DataFrame:
+    """Texts without ``rare`` pieces by look-ups alone; of the others a block asks for each of its rare pieces once and gets back a small map.
 
-    So the texts are shuffled once, with what their blocks asked for; a piece that a large part of all blocks holds is
-    spread over tasks. Blocks of ``block`` pieces keep maps small however long a text is.
+    So only texts with a rare piece are shuffled, once, with what their blocks asked for; a piece that a large part of
+    all blocks holds is spread over tasks. Blocks of ``block`` pieces keep maps small however long a text is.
     """
-    pieces = one.select("id", pieces_of(F.col("text")).alias("p"))
+    found = F.transform(F.array(pieces_of(F.col("text"))), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: tokens(x)).alias("t")))
+    looked = one.select("id", F.explode(found).alias("x"))  # a row each; what is above an explode does not evaluate it again
+    looked = looked.select("id", "x.p", "x.t", F.exists("x.t", lambda x: x.isNull()).alias("open"))
+    whole = looked.where("not open").select("id", F.flatten("t").alias("ids"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("p") - 1, F.lit(0)), F.lit(block))
-    cut = F.transform(starts, lambda i: F.slice("p", i + 1, F.lit(block)))
-    blocks = pieces.select("id", F.size(starts).alias("n"), F.posexplode(cut).alias("k", "p"))
-    asked = blocks.select("id", "k", F.explode(F.array_distinct(F.filter("p", lambda x: tokens(x).isNull()))).alias("piece"))
+    cut = F.transform(starts, lambda i: F.struct(F.slice("p", i + 1, F.lit(block)).alias("p"), F.slice("t", i + 1, F.lit(block)).alias("t")))
+    blocks = looked.where("open").select("id", F.size(starts).alias("n"), F.posexplode(cut).alias("k", "b")).select("id", "n", "k", F.arrays_zip("b.p", "b.t").alias("b"))
+    asked = blocks.select("id", "k", F.explode(F.array_distinct(F.transform(F.filter("b", lambda x: x["t"].isNull()), lambda x: x["p"]))).alias("piece"))
     asked = Stage(asked, "asked").df
-    maps = hub_join(asked, folded, "piece").groupBy("id", "k").agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("m"))
-    ids = F.flatten(F.transform("p", lambda x: F.coalesce(tokens(x), F.try_element_at("m", x))))
+    maps = hub_join(asked, rare, "piece").groupBy("id", "k").agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("m"))
+    ids = F.flatten(F.transform("b", lambda x: F.coalesce(x["t"], F.try_element_at("m", x["p"]))))
     by_block = blocks.join(maps, ["id", "k"], "left").select("id", "k", "n", ids.alias("ids"))
     long = by_block.where("n > 1").groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return by_block.where("n = 1").select("id", "ids").unionByName(long)
+    return whole.unionByName(by_block.where("n = 1").select("id", "ids")).unionByName(long)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -214,7 +214,7 @@ def expected_ids():
     return [e.ids for e in t.encode_batch([c or "" for c in CORPUS], add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [100_000, 4, 0])
 def test_encoding_equals_the_library_and_decodes(spark, limit):
     docs = spark.createDataFrame([(i, c, [1]) for i, c in enumerate(CORPUS)], "doc_id long, text string, ids array<int>")
     out = {x.doc_id: x for x in bpe.decode_ids(bpe.encode_corpus(docs, literal_words=limit, block=3)).collect()}
