@@ -128,8 +128,9 @@ def split_oversized(
 
 
 def split_tables(documents: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pieces of both kinds of record, with ``record_kind`` first; limits is a settings table of one row a kind."""
-    by_kind = {r["record_kind"]: r for r in limits.select("record_kind", "max_chars", "overlap_chars").distinct().limit(100).collect()}
+    """Pieces of both kinds of record, with ``record_kind`` first; of several limits of a kind the strictest size and the greatest overlap count."""
+    rows = limits.where(F.col("record_kind").isin("document", "chunk")).groupBy("record_kind").agg(F.min("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
+    by_kind = {r["record_kind"]: r for r in rows.collect()}  # at most one row for each kind
     parts = []
     for kind, table, key in (("document", documents, "doc_id"), ("chunk", chunks, "chunk_id")):
         if (r := by_kind.get(kind)) and r["max_chars"]:
