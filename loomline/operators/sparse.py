@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,15 @@ def term_id(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint")
 
 
+def blake2b_id(term: Column) -> Column:
+    """The unsigned 32-bit id by BLAKE2b of four bytes, big-endian, as vectors made elsewhere may have it; a Python function, as Spark has no such hash."""
+    @F.pandas_udf("bigint")
+    def run(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda t: None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big"))
+
+    return run(term)
+
+
 def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 

@@ -24,6 +24,20 @@ def read_tolerant(spark: SparkSession, at: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(at)
 
 
+def load_documents(spark: SparkSession, places: list[str], schema, required: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected): the documents of all places that exist; rows that lack a required field are rejected, malformed lines skipped."""
+    rows = None
+    for at in places:
+        one = read_tolerant(spark, at, schema)
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        raise ValueError("no places to read")
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    return rows.where(~bad), rows.where(bad)
+
+
 def line_count(spark: SparkSession, at: str) -> int:
     """Lines that are not blank."""
     return spark.read.text(at).where(F.trim("value") != "").count()

@@ -429,3 +429,38 @@ def test_hub_join_splits_hot_keys(spark, monkeypatch):
     for how in ("inner", "left"):
         rows = lambda d: sorted((x.k or "", x.id, x.v or 0) for x in d.collect())
         assert rows(skew.hub_join(left, right, "k", how)) == rows(left.join(right, "k", how))
+
+
+def test_command_line_from_dump_to_report(spark, tmp_path):
+    import hashlib
+    import json
+
+    from loomline import cli
+
+    dump = [{"id": f"m{i}", "roomId": "r", "parentId": None if i % 3 == 0 else f"m{i - i % 3}", "personDisplayName": "Ann" if i % 3 == 0 else "Bob", "created": f"2024-01-0{1 + i // 3}T10:0{i}:00Z", "text": f"the rule number {i} moves with the group of the tenant and stays there", "markdown": f"**rule {i}**" if i == 1 else None, "files": ["f"] if i == 1 else []} for i in range(9)]
+    (tmp_path / "dump.json").write_text(json.dumps({"items": dump}))
+    at = lambda x: str(tmp_path / x)
+    run = lambda *a: cli.main(list(a))
+    run("ingest-chat", "--input", at("dump.json"), "--output", at("docs"))
+    docs = spark.read.parquet(at("docs")).orderBy("source_ref").collect()
+    assert len(docs) == 3 and json.loads(docs[0].metadata["message_ids"]) == ["m0", "m1", "m2"] and docs[0].metadata["files"] == '["f"]' and docs[0].metadata["thread_start_author"] == "Ann"
+    assert docs[0].markdown == "[2024-01-01T10:01:00Z] Bob: **rule 1**" and docs[1].markdown is None
+    run("chunk", "--input", at("docs"), "--output", at("chunks"))
+    run("generate", "--input", at("chunks"), "--output", at("pairs"))
+    run("validate", "--input", at("pairs"), "--output", at("judged"))
+    run("split", "--input", at("pairs"), "--output", at("split"))
+    assert spark.read.parquet(at("judged")).count() == spark.read.parquet(at("split")).count() == 3
+    run("index", "--chunks", at("chunks"), "--pairs", at("pairs"), "--output", at("index"))
+    spark.createDataFrame([("q", "which rule number 4 moves")], "query string, search string").write.parquet(at("queries"))
+    run("search", "--input", at("index"), "--queries", at("queries"), "--output", at("found"), "--k", "3")
+    assert 0 < spark.read.parquet(at("found")).count() <= 3
+    chunk = spark.read.parquet(at("chunks")).first().chunk_id
+    spark.createDataFrame([("c", "which rule moves", ["x"], [chunk], [], True)], "query_id string, question string, expected_source_refs array<string>, expected_chunk_ids array<string>, expected_answer_contains array<string>, answerable boolean").write.parquet(at("cases"))
+    run("eval-retrieval", "--input", at("index"), "--cases", at("cases"), "--output", at("report"))
+    assert spark.read.parquet(at("report")).first().match_rank is not None
+    run("export", "--input", at("index"), "--output", at("bundle"))
+    run("import", "--input", at("bundle"), "--output", at("again"))
+    assert spark.read.parquet(at("again")).count() == spark.read.parquet(at("index")).count() == 6
+    assert retrieve.capability(spark.read.parquet(at("again"))) == ("dense", True)
+    ids = spark.createDataFrame([("rule",), (None,)], "t string").select(sparse.blake2b_id(F.col("t")).alias("i")).collect()
+    assert [r.i for r in ids] == [int.from_bytes(hashlib.blake2b(b"rule", digest_size=4).digest(), "big"), None]
