@@ -6,8 +6,8 @@ touches a handful of entries. Pieces that are tokens themselves are looked up; e
 is folded once, by ``aggregate`` over its byte array, always merging the pair of lowest rank.
 
 The folded pieces are a dictionary of the corpus. The ``literal_words`` of them that most texts hold are added to the
-literal map, and texts whose pieces are all in it are encoded in one projection without a shuffle. Pieces beyond those
-stay a table: blocks of ``block`` pieces ask for their rare ones by a shuffled join and are put together with the answers.
+literal map; if it holds all, texts are encoded in one projection without a shuffle. Pieces beyond those stay a table:
+texts ask for their rare ones by a shuffled join and meet the answers, long texts in blocks.
 
 Results by case: null, empty text: empty list. One row per distinct id; a repeated id takes its smallest text (tables
 whose ids are unique by contract skip that grouping with ``unique_ids``).
@@ -170,25 +170,29 @@ def _encode_inline(one: DataFrame, words: Lookup) -> DataFrame:
 
 
 def _encode_joined(one: DataFrame, rare: DataFrame, tokens: Lookup, block: int) -> DataFrame:
-    """Texts without ``rare`` pieces by look-ups alone; of the others a block asks for each of its rare pieces once and gets back a small map.
+    """Frequent pieces by look-ups, ``rare`` ones by a join: a text asks for each of them once and gets back a small map.
 
-    So only texts with a rare piece are shuffled, once, with what their blocks asked for; a piece that a large part of
-    all blocks holds is spread over tasks. Blocks of ``block`` pieces keep maps small however long a text is.
+    Texts are shuffled once as they are, to meet their maps; a piece that a large part of all texts holds is spread over
+    tasks. Texts of more than ``block`` pieces go in blocks, each with a map of its own, so no map grows with a text.
     """
-    found = F.transform(F.array(pieces_of(F.col("text"))), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: tokens(x)).alias("t")))
-    looked = one.select("id", F.explode(found).alias("x"))  # a row each; what is above an explode does not evaluate it again
-    looked = looked.select("id", "x.p", "x.t", F.exists("x.t", lambda x: x.isNull()).alias("open"))
-    whole = looked.where("not open").select("id", F.flatten("t").alias("ids"))
+    rows = one.withColumn("size", F.length("text"))
+    short, long = rows.where(F.col("size") <= block), rows.where(F.col("size") > block)  # a piece has at least a character
+    wanted = lambda p: F.array_distinct(F.filter(p, lambda x: tokens(x).isNull()))
+    ids_of = lambda p: F.flatten(F.transform(p, lambda x: F.coalesce(tokens(x), F.try_element_at("m", x))))
+
+    def answered(asked: DataFrame, keys: list[str]) -> DataFrame:
+        asked = Stage(asked, "asked").df
+        return hub_join(asked, rare, "piece").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("m"))
+
+    maps = answered(short.select("id", F.explode(wanted(pieces_of(F.col("text")))).alias("piece")), ["id"])
+    plain = short.join(maps, "id", "left").select("id", ids_of(pieces_of(F.col("text"))).alias("ids"))
+    pieces = long.select("id", pieces_of(F.col("text")).alias("p"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("p") - 1, F.lit(0)), F.lit(block))
-    cut = F.transform(starts, lambda i: F.struct(F.slice("p", i + 1, F.lit(block)).alias("p"), F.slice("t", i + 1, F.lit(block)).alias("t")))
-    blocks = looked.where("open").select("id", F.size(starts).alias("n"), F.posexplode(cut).alias("k", "b")).select("id", "n", "k", F.arrays_zip("b.p", "b.t").alias("b"))
-    asked = blocks.select("id", "k", F.explode(F.array_distinct(F.transform(F.filter("b", lambda x: x["t"].isNull()), lambda x: x["p"]))).alias("piece"))
-    asked = Stage(asked, "asked").df
-    maps = hub_join(asked, rare, "piece").groupBy("id", "k").agg(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))).alias("m"))
-    ids = F.flatten(F.transform("b", lambda x: F.coalesce(x["t"], F.try_element_at("m", x["p"]))))
-    by_block = blocks.join(maps, ["id", "k"], "left").select("id", "k", "n", ids.alias("ids"))
-    long = by_block.where("n > 1").groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return whole.unionByName(by_block.where("n = 1").select("id", "ids")).unionByName(long)
+    blocks = pieces.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("p", i + 1, F.lit(block)))).alias("k", "p"))
+    maps = answered(blocks.select("id", "k", F.explode(wanted(F.col("p"))).alias("piece")), ["id", "k"])
+    parts = blocks.join(maps, ["id", "k"], "left").select("id", "k", ids_of(F.col("p")).alias("ids"))
+    whole = parts.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda s: s["ids"])).alias("ids"))
+    return plain.unionByName(whole)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
