@@ -240,19 +240,27 @@ def decode_line(tokens: list[str], options: dict, pairs: dict) -> list[str]:
     """The likeliest words behind ``tokens`` (lower case) by Viterbi. options: word to [(word, log of its expected count)].
 
     A step from a to b costs the log of the smoothed count of (a, b): its bigrams plus b's own expected count over
-    SMOOTHING. Around words without a choice every path takes the same step, so only lines with suspects are decoded.
+    SMOOTHING. A word without a choice is one state, where all paths meet again, so each run of suspects between two
+    such words is decoded by itself.
     """
-    paths = [(0.0, [], "")]
-    for token in tokens:
-        now = options.get(token) or [(token, 0.0)]
-        choice = len(now) > 1
-        new = []
-        for cand, score in now:
-            single = math.exp(min(score, 50.0)) / SMOOTHING if choice else 1.0 / SMOOTHING
-            best = max(((cost + (math.log(pairs.get((prev, cand), 0) + single) if choice or len(paths) > 1 else 0.0), i) for i, (cost, _, prev) in enumerate(paths)), key=lambda x: x[0])
-            new.append((best[0] + (0.5 * score if choice else 0.0), paths[best[1]][1] + [cand], cand))
-        paths = new
-    return max(paths, key=lambda p: p[0])[1]
+    out, i, n = list(tokens), 0, len(tokens)
+    while i < n:
+        if tokens[i] not in options:
+            i += 1
+            continue
+        paths = [(0.0, (), tokens[i - 1] if i else "")]
+        start = i
+        while i < n and tokens[i] in options:
+            new = []
+            for cand, score in options[tokens[i]]:
+                single = math.exp(min(score, 50.0)) / SMOOTHING
+                cost, path = max((cost + math.log(pairs.get((prev, cand), 0) + single), path) for cost, path, prev in paths)
+                new.append((cost + 0.5 * score, (*path, cand), cand))
+            paths, i = new, i + 1
+        if i < n:
+            paths = [(cost + math.log(pairs.get((prev, tokens[i]), 0) + 1.0 / SMOOTHING), path, prev) for cost, path, prev in paths]
+        out[start:i] = max(paths)[1]
+    return out
 
 
 def _cased(seen: str, cand: str) -> str:
