@@ -75,6 +75,22 @@ class Stage:
             _STAGES.remove(self)
 
 
+class staging:
+    """Stages made inside are dropped at its end, but for those that ``keep`` was called with; only what is kept may be read later."""
+
+    def __enter__(self) -> staging:
+        self.before, self.kept = set(map(id, _STAGES)), []
+        return self
+
+    def keep(self, stage: Stage) -> DataFrame:
+        self.kept.append(stage)
+        return stage.df
+
+    def __exit__(self, *error) -> None:
+        for stage in [s for s in _STAGES if id(s) not in self.before and s not in self.kept]:
+            stage.drop()
+
+
 def release_stages() -> None:
     """Deletes the staged tables of this process. For the caller, once the results that read them are written."""
     for stage in list(_STAGES):
