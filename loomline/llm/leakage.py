@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.words import words
-from loomline.session import Stage
+from loomline.session import Stage, staging
 
 #: A side is broadcast up to this many rows of a few bytes each, counted before.
 BROADCAST_ROWS = 200_000
@@ -83,21 +83,14 @@ def _best_window(hits, least: int):
     return F.array_max(bound[0])
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, least: int = 12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "query_id",
-    passage_col: str = "gold_passage", slack: int = 0, share: float = 0.75, index: DataFrame | None = None,
-) -> DataFrame:
-    """(id_col, item_col, run bigint, near bigint): documents with at least ``least`` consecutive words of a passage, longest run.
+def _passage_terms(items: DataFrame, item_col: str, passage_col: str) -> DataFrame:
+    """(query_id, passage, q_pos, word, term) of the distinct passages."""
+    split = items.select(F.col(item_col).alias("query_id"), words(F.col(passage_col)).alias("w")).distinct()
+    return split.select("query_id", F.xxhash64("w").alias("passage"), F.posexplode("w").alias("q_pos", "word")).withColumn("term", F.xxhash64("word"))
 
-    With ``slack`` also proximity matches (run < least): near of ``least`` consecutive words of the passage, at least
-    ``share`` of them. ``index``: a stored ``positional_index`` of the same documents; without one it is made here.
-    """
-    index = Stage(positional_index(docs, id_col, text_col), "postings").df if index is None else index
-    terms = Stage(
-        items.select(F.col(item_col).alias("query_id"), words(F.col(passage_col)).alias("w")).distinct()
-        .select("query_id", F.xxhash64("w").alias("passage"), F.posexplode("w").alias("q_pos", "word")).withColumn("term", F.xxhash64("word")),
-        "terms",
-    ).df
+
+def _agreeing(index: DataFrame, terms: DataFrame, least: int, slack: int, share: float) -> DataFrame:
+    """(doc, query_id, passage, shift, to): places where the rarest words of a window stand as in the passage, or within ``slack``."""
     asked = terms.count()
     known = _maybe_broadcast(terms.select("term").distinct(), asked)
     counts = index.select("term", "df").join(known, "term").groupBy("term").agg(F.sum("df").alias("df"))
@@ -123,7 +116,23 @@ def find_leaks(
         agreed = agreed.union(hits.groupBy(*keys, "shift").agg(F.count("*").alias("agree")).where(F.col("agree") >= need).select(*keys, "shift", F.col("shift").alias("to"))).distinct()
     else:
         agreed = hits.groupBy(*keys, "shift").agg(F.count("*").alias("agree")).where(F.col("agree") >= need).select(*keys, "shift", F.col("shift").alias("to"))
-    agreed = Stage(agreed, "agreed").df
+    return agreed
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, least: int = 12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "query_id",
+    passage_col: str = "gold_passage", slack: int = 0, share: float = 0.75, index: DataFrame | None = None,
+) -> DataFrame:
+    """(id_col, item_col, run bigint, near bigint): documents with at least ``least`` consecutive words of a passage, longest run.
+
+    With ``slack`` also proximity matches (run < least): near of ``least`` consecutive words of the passage, at least
+    ``share`` of them. ``index``: a stored ``positional_index`` of the same documents; without one it is made here.
+    """
+    with staging() as stages:
+        terms = stages.keep(Stage(_passage_terms(items, item_col, passage_col), "terms"))
+        index = Stage(positional_index(docs, id_col, text_col), "postings").df if index is None else index
+        agreed = stages.keep(Stage(_agreeing(index, terms, least, slack, share), "agreed"))
+    asked = terms.count()
     named = Stage(agreed.select("doc").distinct(), "named").df
     whole = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(_maybe_broadcast(named, named.count()), "doc", "left_semi")
     split = whole.distinct().select("doc", words(F.col("text")).alias("w"))
