@@ -169,8 +169,11 @@ def test_names_outside_the_list():
     forms = ["The request was signed by {} yesterday.", "Please loop in {} from the desk.", "{} approved the change window.", "Escalate to {} when the queue is full."]
     found = [any(k == "name" and n in t[a:b] for a, b, k in pii.detect([t], models)[0]) for n in names for f in forms for t in [f.format(n)]]
     assert sum(found) >= 0.85 * len(found)
-    plain = ["In Holm Console the map is open.", "The Delta Rules team left.", "Open Section Two of the Release Notes.", "Das Team Kelmar prüft die Werte der Gruppe Nord."]
+    plain = ["In Holm Console the map is open.", "The Delta Rules team left.", "Open Section Two of the Release Notes.", "Das Team Kelmar prüft die Werte der Gruppe Nord.", "THE CONTACT POLICY IS LOCKED UNTIL THE RULE ALSO COVERS THE DEFAULT LIST.", "L'équipe Nord contrôle la règle.", "(Tenants Bravum, Wenzor, Hesmog)"]
     assert not any(k == "name" for t in plain for *_, k in pii.detect([t], models)[0])
+    card = "Contact card: Anna Bell, 93 GORTAX CRESCENT, OSTOVIK, {}."
+    for phone in ("020 7946 0280", "+34 900 315 073", "555-0194", "0049-30-23125-846"):
+        assert [k for *_, k in pii.detect([card.format(phone)], models)[0]] == ["name", "address", "phone"], phone
 
 
 DOC = "doc_id string, source_type string, source_ref string, source_path string, title string, page int, text string, markdown string, metadata map<string,string>"
