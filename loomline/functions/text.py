@@ -32,13 +32,17 @@ SEPARATORS = r"[-_./:]+"
 SNIPPET_TERM = r"[A-Za-z0-9][A-Za-z0-9._/-]*"
 
 
+#: Fixed value: white space of any kind.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rtrim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -80,7 +84,8 @@ def lexical_terms(text: Column, least: int = 2) -> Column:
     """Lower-case tokens, compound ones whole and in parts, in order; a part equal to its whole is not repeated."""
     least = max(1, least)
     whole = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(COMPOUND), F.lit(0)), lambda t: F.lower(t))
-    spread = F.flatten(F.transform(whole, lambda t: F.concat(F.array(t), F.filter(F.split(t, SEPARATORS), lambda p: p != t))))
+    parts = lambda t: F.concat(F.array(t), F.filter(F.split(t, SEPARATORS), lambda p: p != t))
+    spread = F.flatten(F.transform(whole, lambda t: F.when(t.rlike(SEPARATORS), parts(t)).otherwise(F.array(t))))  # few terms are compound
     return F.filter(spread, lambda t: F.length(t) >= least)
 
 

@@ -67,11 +67,16 @@ def fitting(texts: Column, rows: int, chunk_chars: int, total_chars: int, chunk_
         return open_
 
     def within(acc: Column, text: Column) -> Column:
+        steps = [
+            lambda t: clip(t, chunk_chars) if chunk_chars > 0 else None, lambda t: clip_tokens(t, chunk_tokens) if chunk_tokens > 0 else None,
+            lambda t: clip(t, F.lit(total_chars) - acc["chars"], "") if total_chars > 0 else None,
+            lambda t: clip_tokens(t, F.lit(total_tokens) - acc["tokens"], "") if total_tokens > 0 else None,
+        ]
         own = trim(F.coalesce(text, F.lit("")))
-        own = clip(own, chunk_chars) if chunk_chars > 0 else own
-        own = clip_tokens(own, chunk_tokens) if chunk_tokens > 0 else own
-        own = clip(own, F.lit(total_chars) - acc["chars"], "") if total_chars > 0 else own
-        return clip_tokens(own, F.lit(total_tokens) - acc["tokens"], "") if total_tokens > 0 else own
+        for step in steps:
+            if step(own) is not None:
+                own = _bind(own, step)  # each cut sees its input as one value, not as an expression repeated
+        return own
 
     def add(acc: Column, i: Column, text: Column) -> Column:
         more = F.struct(

@@ -10,7 +10,7 @@ from loomline.functions import values as V
 from loomline.models import HashEmbedder, OverlapScorer
 from loomline.operators import chunking, qa, sections, sparse, threads
 from loomline.plans import answers, budget, evaluate, feedback, index, retrieve
-from loomline.session import cut, load
+from loomline.session import cut, load, spread
 from loomline.sources import chat
 
 QUERIES: dict = {}
@@ -89,13 +89,13 @@ vectors AS (SELECT doc_id, term, term_id, 1.0 + ln(tf::DOUBLE) AS weight FROM (S
 
 @query(_VECTORS + "SELECT doc_id, term, term_id, round(weight, 6) AS weight FROM vectors")
 def sparse_vector(spark: SparkSession, base: str) -> DataFrame:
-    v = sparse.term_vectors(load(spark, base, "documents"), "doc_id", "text")
+    v = sparse.term_vectors(spread(load(spark, base, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
     return v.withColumn("weight", F.round("weight", 6))
 
 
 @query(_VECTORS + "SELECT term, count(*) AS df FROM vectors GROUP BY term")
 def doc_frequency(spark: SparkSession, base: str) -> DataFrame:
-    return sparse.doc_frequency(sparse.vector_lists(load(spark, base, "documents"), "doc_id", "text"))
+    return sparse.doc_frequency(sparse.vector_lists(spread(load(spark, base, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text"))
 
 
 @query(f"""
@@ -426,7 +426,7 @@ sp AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 
 def _sparse(spark: SparkSession, base: str, k: int = 10) -> DataFrame:
     d = load(spark, base, "documents")
-    v = cut(sparse.vector_lists(d, "doc_id", "text").withColumnRenamed("doc_id", "doc"), "vectors")
+    v = cut(sparse.vector_lists(spread(d.select("doc_id", "text"), "doc_id"), "doc_id", "text").withColumnRenamed("doc_id", "doc"), "vectors")
     df = sparse.doc_frequency(v)
     q = v.where("doc % 20 = 0").withColumnRenamed("doc", "query")
     n = v.agg(F.count("*").alias("n")).scalar()

@@ -31,6 +31,15 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, where it comes in fewer partitions than there are cores (small tables in one file); else as it is.
+
+    For work on whole texts. Rows go by the hash of ``key``, so that a repeated task gives the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, else the context's checkpoint folder.
 
