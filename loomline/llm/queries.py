@@ -130,6 +130,22 @@ z AS (SELECT id, coalesce(max(named), max(CASE WHEN named IS NULL AND NOT EXISTS
 t AS (SELECT o.*, z.th FROM o JOIN z USING (id)),
 k AS (SELECT t.th FROM t JOIN t s ON s.id = t.th AND s.th = t.th WHERE s.ok GROUP BY t.th, s.who HAVING bool_or(t.ok AND t.who <> s.who AND NOT t.bot) AND bool_and(t.parent IS NULL OR EXISTS (SELECT 1 FROM o WHERE o.id = t.parent)))
 SELECT th AS thread_id, row_number() OVER (PARTITION BY th ORDER BY id <> th, made IS NULL, made, id) AS turn_no, id AS message_id FROM t JOIN k USING (th) WHERE ok""",
+    "p6_conversations": f"""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edited DESC NULLS LAST, ingested_at DESC) AS rn FROM
+  (SELECT nullif({_STRIP("message_id")}, '') AS id, nullif({_STRIP("parent_id")}, '') AS parent, nullif({_STRIP("thread_id")}, '') AS thread, lower({_STRIP("coalesce(author, '')")}) AS who,
+    coalesce(regexp_matches(lower(person_email), '@bot\\.example\\s*$'), false) AS bot, {_INSTANT("created")} AS made, author, created, text, {_INSTANT("updated")} AS edited, ingested_at,
+    text IS NOT NULL AND NOT regexp_matches(text, '^[\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]*$') AND lower(trim(text)) NOT IN ('(deleted)', '<removed>', '[message removed]', 'this message was deleted.', 'message deleted by its author') AS ok FROM chat_messages) WHERE id IS NOT NULL),
+o AS (SELECT * FROM m WHERE rn = 1),
+w AS (SELECT id, id AS at_id, coalesce(thread, CASE WHEN parent IS NULL THEN id END) AS named, parent FROM o
+  UNION ALL SELECT w.id, o.id, coalesce(o.thread, CASE WHEN o.parent IS NULL THEN o.id END), o.parent FROM w JOIN o ON o.id = w.parent WHERE w.named IS NULL),
+z AS (SELECT id, coalesce(max(named), max(CASE WHEN named IS NULL AND NOT EXISTS (SELECT 1 FROM o WHERE o.id = w.parent) THEN parent END), id) AS th FROM w GROUP BY id),
+t AS (SELECT o.*, z.th FROM o JOIN z USING (id)),
+k AS (SELECT t.th, s.who AS starter FROM t JOIN t s ON s.id = t.th AND s.th = t.th WHERE s.ok GROUP BY t.th, s.who HAVING bool_or(t.ok AND t.who <> s.who AND NOT t.bot) AND bool_and(t.parent IS NULL OR EXISTS (SELECT 1 FROM o WHERE o.id = t.parent)))
+SELECT th AS thread_id, row_number() OVER (PARTITION BY th ORDER BY id <> th, made IS NULL, made, id) AS turn_no, id AS message_id, CASE WHEN bot THEN 'system' WHEN who = starter THEN 'user' ELSE 'assistant' END AS role, author, created, text FROM t JOIN k USING (th) WHERE ok""",
+    "p2_counts": f"""
+WITH l AS (SELECT DISTINCT qa_id, {_LABEL} AS label FROM qa_splits), r AS (SELECT DISTINCT qa_id, label, lower({_STRIP("source_type")}) AS source, list_distinct({_WORDS("question")}) AS q, list_distinct({_WORDS("answer")}) AS a FROM qa_records JOIN l USING (qa_id) WHERE label IS NOT NULL),
+p AS (SELECT t.qa_id AS t, e.qa_id AS e, e.label AS split_name, e.source AS source_type, len(list_intersect(t.q, e.q)) AS qi, len(t.q) + len(e.q) AS qn, len(list_intersect(t.a, e.a)) AS ai, len(t.a) + len(e.a) AS an FROM r t, r e WHERE t.label = 'train' AND e.label <> 'train' AND t.qa_id <> e.qa_id)
+SELECT split_name, source_type, count(DISTINCT e) AS records, count(DISTINCT (e, t)) AS pairs FROM p WHERE (qn = 0 OR qi >= 0.7 * (qn - qi) - 1e-9) AND (an = 0 OR ai >= 0.7 * (an - ai) - 1e-9) GROUP BY ALL""",
     "p7_found": """
 SELECT DISTINCT 'document' AS record_kind, doc_id AS record_id FROM doc_records, size_limits WHERE record_kind = 'document' AND length(text) > max_chars
 UNION SELECT DISTINCT 'chunk', chunk_id FROM chunk_records, size_limits WHERE record_kind = 'chunk' AND length(text) > max_chars""",
