@@ -10,7 +10,7 @@ from loomline.functions import values as V
 from loomline.models import HashEmbedder, OverlapScorer
 from loomline.operators import chunking, qa, sections, sparse, threads
 from loomline.plans import answers, budget, evaluate, feedback, index, retrieve
-from loomline.session import cut, load, spread
+from loomline.session import Stage, cut, load, spread, staging
 from loomline.sources import chat
 
 QUERIES: dict = {}
@@ -426,11 +426,12 @@ sp AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 
 def _sparse(spark: SparkSession, base: str, k: int = 10) -> DataFrame:
     d = load(spark, base, "documents")
-    v = cut(sparse.vector_lists(spread(d.select("doc_id", "text"), "doc_id"), "doc_id", "text").withColumnRenamed("doc_id", "doc"), "vectors")
-    df = sparse.doc_frequency(v)
-    q = v.where("doc % 20 = 0").withColumnRenamed("doc", "query")
-    n = v.agg(F.count("*").alias("n")).scalar()
-    return retrieve.sparse_topk(v, df, n, q, k)
+    with staging() as stages:
+        v = cut(sparse.vector_lists(spread(d.select("doc_id", "text"), "doc_id"), "doc_id", "text").withColumnRenamed("doc_id", "doc"), "vectors")
+        df = sparse.doc_frequency(v)
+        q = v.where("doc % 20 = 0").withColumnRenamed("doc", "query")
+        n = v.agg(F.count("*").alias("n")).scalar()
+        return stages.keep(Stage(retrieve.sparse_topk(v, df, n, q, k), "ranked"))
 
 
 @query(_SPARSE + "SELECT query, doc, round(score, 4) AS score, rank::BIGINT AS rank FROM sp")
@@ -490,7 +491,8 @@ def score_recency(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def context_budget(spark: SparkSession, base: str) -> DataFrame:
-    d = load(spark, base, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("source_ref"), "text")
+    text = T.clip(F.col("text"), 800)  # as the budget cuts it, but before texts cross the network
+    d = load(spark, base, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("source_ref"), text.alias("text"))
     ranked = _sparse(spark, base).join(d, "doc").select("query", "rank", "source_ref", "text")
     return budget.select_context(ranked, rows=6, chunk_chars=800, total_chars=2400, total_tokens=500)
 

@@ -503,3 +503,24 @@ def test_sparse_search_equals_a_plain_one(spark):
     for entries, cells in ((2_000_000, 2_000_000), (300, 500)):
         found = retrieve.sparse_topk(v, sparse.doc_frequency(v), n, q, 5, entries=entries, cells=cells).collect()
         assert {(x.query, x.doc, x["rank"]) for x in found} == expected and len(found) == len(expected)
+
+
+@pytest.fixture
+def few_documents(spark, tmp_path):
+    """A folder with 40 documents of 1,500 characters and four vectors."""
+    docs = spark.createDataFrame([(i, f"source {i % 3}", f"rule {i % 3} node " * 120) for i in range(1, 41)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(20 * i, [1.0, float(i)]) for i in range(1, 5)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_context_ships_clipped_texts(spark, few_documents, monkeypatch):
+    from loomline import queries
+
+    real, seen = budget.select_context, []
+    monkeypatch.setattr(budget, "select_context", lambda ranked, **limits: seen.append(ranked) or real(ranked, **limits))
+    found = queries.context_budget(spark, few_documents)
+    assert seen[0].agg(F.max(F.length("text"))).first()[0] <= 800
+    texts = spark.read.parquet(f"{few_documents}/documents.parquet").select(F.col("source").alias("source_ref"), "text").distinct()
+    whole = real(seen[0].drop("text").join(texts, "source_ref"), rows=6, chunk_chars=800, total_chars=2400, total_tokens=500)
+    assert found.count() > 2 and sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(found.columns).collect()))
