@@ -524,3 +524,12 @@ def test_context_ships_clipped_texts(spark, few_documents, monkeypatch):
     texts = spark.read.parquet(f"{few_documents}/documents.parquet").select(F.col("source").alias("source_ref"), "text").distinct()
     whole = real(seen[0].drop("text").join(texts, "source_ref"), rows=6, chunk_chars=800, total_chars=2400, total_tokens=500)
     assert found.count() > 2 and sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(found.columns).collect()))
+
+
+def test_prompts_leave_no_vectors(spark, few_documents):
+    """What the ranks were made from is deleted before texts are joined; each query has its prompt."""
+    from loomline import queries, session
+
+    before = set(map(id, session._STAGES))
+    assert queries.prompts(spark, few_documents).count() == 2
+    assert [s.at.split("loomline-")[-1].split("-")[0] for s in session._STAGES if id(s) not in before] == ["ranked"]
