@@ -533,3 +533,12 @@ def test_prompts_leave_no_vectors(spark, few_documents):
     before = set(map(id, session._STAGES))
     assert queries.prompts(spark, few_documents).count() == 2
     assert [s.at.split("loomline-")[-1].split("-")[0] for s in session._STAGES if id(s) not in before] == ["ranked"]
+
+
+def test_hybrid_search_leaves_no_vectors(spark, few_documents):
+    from loomline import queries, session
+
+    before = set(map(id, session._STAGES))
+    found = queries.hybrid_rrf(spark, few_documents)
+    assert {x.query for x in found.collect()} == {20, 40, 60, 80} and found.where("rank = 1").count() == 4
+    assert [s.at.split("loomline-")[-1].split("-")[0] for s in session._STAGES if id(s) not in before] == ["ranked"]
