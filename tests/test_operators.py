@@ -542,3 +542,12 @@ def test_hybrid_search_leaves_no_vectors(spark, few_documents):
     found = queries.hybrid_rrf(spark, few_documents)
     assert {x.query for x in found.collect()} == {20, 40, 60, 80} and found.where("rank = 1").count() == 4
     assert [s.at.split("loomline-")[-1].split("-")[0] for s in session._STAGES if id(s) not in before] == ["ranked"]
+
+
+def test_source_cap_leaves_no_vectors(spark, few_documents):
+    from loomline import queries, session
+
+    before = set(map(id, session._STAGES))
+    found = queries.source_cap(spark, few_documents)
+    assert found.groupBy("query").count().where("count <> 5").count() == 0 and {x.query for x in found.collect()} == {20, 40}
+    assert [s.at.split("loomline-")[-1].split("-")[0] for s in session._STAGES if id(s) not in before] == ["ranked"]
