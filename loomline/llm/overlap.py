@@ -1,8 +1,9 @@
 """Problem 2: the same or nearly the same pairs across splits.
 
 The texts of all records, question and answer each ended by a mark, are one long sequence of words, kept in partitions.
-Its sparse suffix array: of every ``step`` neighbouring places the one whose next ``span`` words have the least hash
-begins a suffix, so texts with a common run of span + step - 1 words sample the same place of it. The suffixes are
+Its suffix array: every place with ``span`` words after it begins a suffix, but for places of training texts whose words
+occur in no evaluation text, as a bitmap of the evaluation texts' runs of ``span`` words tells (it errs only by letting
+others through), so every common run of ``span`` words is seen at each of its places. The suffixes are
 sorted by their words over range partitions, a suffix by its first ``depth`` words. A pass over each sorted partition
 compares neighbours: where their common prefix has at least ``span`` words they belong to one run, and a run from both
 sides of the split gives the spans that an evaluation record shares with a training record. Runs at the edges of a
@@ -10,7 +11,7 @@ partition are completed by their first ``span`` words. Spans merge into the cove
 the pairs they reveal are candidates. A candidate is an overlap if, in question and in answer, the distinct words in both
 are at least ``share`` of those in either.
 
-Edits can be spread so that no run is that long, and runs that pair more than ``wide`` times (phrases that many records
+Edits can be spread so that no run has ``span`` words, and runs that pair more than ``wide`` times (phrases that many records
 use) would pair within a group. For both there is an exact way, so that no link is lost: two questions with a Jaccard
 index of ``share`` have a common word among the rarest (1 - share) of either (prefix filter), early enough in both orders
 (position filter); one equality join by such words tests length, position and 64-bit sketches of question and answer.
@@ -43,8 +44,10 @@ LABELS = {
 BROADCAST_ROWS = 500_000
 #: Hash cells by which words are ordered in the exact join.
 CELLS = 65_536
-#: Words of a shared run, places of which one is sampled, pairs of a run beyond which the exact join takes over, words by which suffixes are sorted.
-SPAN, STEP, WIDE, DEPTH = 12, 12, 400, 14
+#: Words of a shared run, distance of the places that begin a suffix, pairs of a run beyond which the exact join takes over, words by which suffixes are sorted.
+SPAN, STEP, WIDE, DEPTH = 12, 1, 400, 14
+#: Bits of the bitmap of the evaluation texts' runs for each of their words, and its largest size as a power of 2 (16 MB); beyond it more training places get through.
+RUN_BITS, MOST_BITS = 16, 27
 
 
 def split_label(c: Column) -> Column:
@@ -76,34 +79,55 @@ SUFFIX = "key binary, class long, pos int, e boolean, t boolean"
 SHARED = "ec long, tc long, e_pos int, t_pos int, run int, prefix binary, e boolean, t boolean"
 
 
-def _sampled(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int, step: int) -> np.ndarray:
-    """Places in ``ids`` (the words of several texts, text i at starts[i]:ends[i]) that begin a sampled suffix."""
+def _places(ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``ids`` with ``span`` words of their text from there on, hash of these words); ids: the words of several texts, text i ends at ends[i]."""
     n = len(ids)
-    last = np.repeat(np.maximum(ends - span, starts), ends - starts)  # the last place of a whole gram, by word
-    first = np.repeat(starts, ends - starts)
-    at = np.arange(n)
-    padded = np.concatenate([ids, np.zeros(span + step, dtype=np.uint64)])
-    gram = np.zeros(n + step, dtype=np.uint64)
+    padded = np.concatenate([ids, np.zeros(span, dtype=np.uint64)])
+    gram = np.zeros(n, dtype=np.uint64)
     for j in range(span):
-        gram[:n] = gram[:n] * np.uint64(0x9E3779B97F4A7C15) + padded[j : j + n]
+        gram = gram * np.uint64(0x9E3779B97F4A7C15) + padded[j : j + n]
     gram ^= gram >> np.uint64(29)
-    gram[:n][at > last] = np.uint64(2**64 - 1)
-    gram[n:] = np.uint64(2**64 - 1)
-    whole = at[(at + step - 1 <= last) | (at == first)]
-    least = np.lib.stride_tricks.sliding_window_view(gram, step)[whole].argmin(axis=1)
-    return np.unique(np.minimum(whole + least, last[whole]))
+    places = np.flatnonzero(np.arange(n) + span <= np.repeat(ends, lengths))
+    return places, gram[places] * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _suffix_rows(span: int, step: int, depth: int):
+def _texts(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words of all texts of a batch, edges of the texts)."""
+    lists = batch.column("h")
+    edges = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy()[edges[0] : edges[-1]].astype(np.uint32).astype(np.uint64)
+    ids[ids == 0] = 1  # 0 stands for no word
+    return ids, edges.astype(np.int64) - edges[0]
+
+
+def _cells(gram: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit) of a hash in a bitmap of 2 ** power bits."""
+    cell = gram >> np.uint64(64 - power)
+    return (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8)
+
+
+def _run_bits(span: int, power: int):
+    def run(batches):
+        bits = np.zeros(2 ** (power - 3), dtype=np.uint8)
+        for batch in batches:
+            ids, edges = _texts(batch)
+            at, bit = _cells(_places(ids, edges[1:], np.diff(edges), span)[1], power)
+            np.bitwise_or.at(bits, at, bit)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+def _suffix_rows(span: int, depth: int, power: int, sent):
     def run(batches):
+        bits = sent.value
         for batch in batches:
-            lists = batch.column("h")
-            edges = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy()[edges[0] : edges[-1]].astype(np.uint32).astype(np.uint64)
-            ids[ids == 0] = 1  # 0 stands for no word
-            edges = edges.astype(np.int64) - edges[0]
-            places = _sampled(ids, edges[:-1], edges[1:], span, step)
+            ids, edges = _texts(batch)
+            places, gram = _places(ids, edges[1:], np.diff(edges), span)
             row = np.searchsorted(edges, places, side="right") - 1
+            at, bit = _cells(gram, power)
+            keep = batch.column("e").to_numpy(zero_copy_only=False)[row] | ((bits[at] & bit) != 0)
+            places, row = places[keep], row[keep]
             grid = places[:, None] + np.arange(depth)
             words_at = np.where(grid < edges[row + 1][:, None], ids[np.minimum(grid, max(len(ids) - 1, 0))], 0) if len(ids) else grid
             data = words_at.astype(">u4").tobytes()
@@ -197,7 +221,7 @@ def _edge(grid, cls, pos, e, t, span, a, b):
         yield _shared(cls[a:b], None, pos[a:b], None, np.full(b - a, span), [names[k * width : (k + 1) * width] for k in range(b - a)], e[a:b], t[a:b])
 
 
-def shared_spans(classes: DataFrame, span: int = SPAN, step: int = STEP, wide: int = WIDE, depth: int = DEPTH) -> DataFrame:
+def shared_spans(classes: DataFrame, span: int = SPAN, wide: int = WIDE, depth: int = DEPTH) -> DataFrame:
     """(ec, tc, e_pos, t_pos, run): spans of at least ``span`` words that an evaluation class shares with a training class.
 
     tc is null where the run has too many pairs; such a span is named once for each of its evaluation classes.
@@ -205,7 +229,13 @@ def shared_spans(classes: DataFrame, span: int = SPAN, step: int = STEP, wide: i
     mark = F.array(F.lit(2))
     ids = lambda c: F.transform(c, lambda w: F.hash(w))
     rows = classes.select("class", F.coalesce(F.col("e") == 1, F.lit(False)).alias("e"), F.coalesce(F.col("t") == 1, F.lit(False)).alias("t"), F.concat(ids("q"), mark, ids("a"), mark).alias("h"))
-    suffixes = rows.mapInArrow(_suffix_rows(span, step, depth), SUFFIX)
+    spark = classes.sparkSession
+    many = classes.where("e = 1").agg(F.sum(F.size("q") + F.size("a") + 2)).first()[0] or 0
+    power = min(MOST_BITS, max(10, (RUN_BITS * many).bit_length()))
+    bits = np.zeros(2 ** (power - 3), dtype=np.uint8)
+    for part in rows.where("e").select("h").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_run_bits(span, power), "bits binary").toLocalIterator():
+        bits |= np.frombuffer(part["bits"], dtype=np.uint8)
+    suffixes = rows.mapInArrow(_suffix_rows(span, depth, power, spark.sparkContext.broadcast(bits)), SUFFIX)
     order = suffixes.repartitionByRange("key", "class").sortWithinPartitions("key", "class", "pos")
     found = Stage(order.mapInArrow(_neighbours(span, wide), SHARED), "spans").df
     edges = found.where("prefix is not null").select("prefix", F.col("ec").alias("class"), F.col("e_pos").alias("pos"), "run", "e", "t")
@@ -273,13 +303,13 @@ def _jaccard_at_least(x: Column, y: Column, share: float) -> Column:
     return F.when(n == 0, True).otherwise(common >= share * n - 1e-9)
 
 
-def class_pairs(classes: DataFrame, share: float = 0.7, span: int = SPAN, step: int = STEP, wide: int = WIDE, cells: int = CELLS, exact: bool = True) -> DataFrame:
+def class_pairs(classes: DataFrame, share: float = 0.7, span: int = SPAN, wide: int = WIDE, cells: int = CELLS, exact: bool = True) -> DataFrame:
     """(ec, tc): classes of an evaluation and a training record, not equal, that pass the test in both texts.
 
     exact=False leaves out the prefix join, so that pairs without a long common run are lost; for measuring.
     """
     with staging() as stages:
-        pairs = shared_spans(classes, span, step, wide).where("tc is not null").select("ec", "tc")
+        pairs = shared_spans(classes, span, wide).where("tc is not null").select("ec", "tc")
         if exact:
             pairs = pairs.unionByName(_prefix_pairs(_prefixes(classes, share, cells), share))
         pairs = stages.keep(Stage(pairs.distinct(), "pairs"))
@@ -293,17 +323,17 @@ def class_pairs(classes: DataFrame, share: float = 0.7, span: int = SPAN, step:
     return both.where(_jaccard_at_least(F.col("ea"), F.col("ta"), share) & _jaccard_at_least(F.col("eq"), F.col("tq"), share)).select("ec", "tc")
 
 
-def _links(records: DataFrame, splits: DataFrame, share: float, span: int, step: int, wide: int, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _links(records: DataFrame, splits: DataFrame, share: float, span: int, wide: int, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links of classes: ec, tc)."""
     members, classes = _classes(records, splits)
-    near = class_pairs(classes, share, span, step, wide, exact=exact)
+    near = class_pairs(classes, share, span, wide, exact=exact)
     same = classes.where("t = 1 and e = 1").select(F.col("class").alias("ec"), F.col("class").alias("tc"))
     return members, classes, near.unionByName(same)
 
 
-def cross_split_overlaps(records: DataFrame, splits: DataFrame, share: float = 0.7, span: int = SPAN, step: int = STEP, wide: int = WIDE, exact: bool = True) -> DataFrame:
+def cross_split_overlaps(records: DataFrame, splits: DataFrame, share: float = 0.7, span: int = SPAN, wide: int = WIDE, exact: bool = True) -> DataFrame:
     """(eval_id, eval_split, eval_source, train_id) of all overlaps of an evaluation record with a training record."""
-    members, _, links = _links(records, splits, share, span, step, wide, exact)
+    members, _, links = _links(records, splits, share, span, wide, exact)
     e = members.where("split <> 'train'").select(F.col("class").alias("ec"), F.col("qa_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source_type").alias("eval_source"))
     t = members.where("split = 'train'").select(F.col("class").alias("tc"), F.col("qa_id").alias("train_id")).distinct()
     return links.join(e, "ec").join(t, "tc").where("eval_id <> train_id").select("eval_id", "eval_split", "eval_source", "train_id").distinct()
@@ -321,7 +351,7 @@ def overlap_counts(records: DataFrame, splits: DataFrame) -> DataFrame:
     Counted from the sizes of the classes, no pair of ids is made; an id with several texts counts with each of them. Of
     a record that is in training itself, its own copy does not count.
     """
-    members, _, links = _links(records, splits, 0.7, SPAN, STEP, WIDE)
+    members, _, links = _links(records, splits, 0.7, SPAN, WIDE)
     links = Stage(links, "links").df
     e = members.where("split <> 'train'").select(F.col("class").alias("ec"), "qa_id", "split", "source_type").distinct()
     t = members.where("split = 'train'").select(F.col("class").alias("tc"), "qa_id").distinct()
@@ -331,13 +361,13 @@ def overlap_counts(records: DataFrame, splits: DataFrame) -> DataFrame:
     return each.groupBy(F.col("split").alias("split_name"), "source_type").agg(F.countDistinct("qa_id").alias("records"), F.sum("pairs").alias("pairs"))
 
 
-def coverage(records: DataFrame, splits: DataFrame, span: int = SPAN, step: int = STEP, wide: int = WIDE) -> DataFrame:
+def coverage(records: DataFrame, splits: DataFrame, span: int = SPAN, wide: int = WIDE) -> DataFrame:
     """(qa_id, split_name, source_type, words, covered): words of each evaluation record, and those that stand in a span shared with training.
 
     Spans merge, so a word counts once. A record of a class that is in training as a whole is covered as a whole.
     """
     members, classes = _classes(records, splits)
-    spans = shared_spans(classes, span, step, wide).groupBy(F.col("ec").alias("class"), "e_pos").agg(F.max("run").alias("run"))
+    spans = shared_spans(classes, span, wide).groupBy(F.col("ec").alias("class"), "e_pos").agg(F.max("run").alias("run"))
     lists = spans.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("e_pos", (F.col("e_pos") + F.col("run")).alias("to")))).alias("spans"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     merged = F.aggregate(

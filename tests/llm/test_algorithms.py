@@ -144,6 +144,22 @@ def test_coverage_merges_spans(spark):
     assert got["e"][1] == 67 and 40 <= got["e"][2] <= 62
 
 
+@pytest.mark.parametrize("most_bits", [27, 10])
+def test_coverage_sees_every_place(spark, monkeypatch, most_bits):
+    """A common run of 12 to 22 words is covered from its first word to its last, however full the bitmap is."""
+    monkeypatch.setattr(overlap, "MOST_BITS", most_bits)
+    records, splits, expected = [], [], {}
+    for i in range(60):
+        n = 11 + i % 12
+        run = [f"r{i}x{j}" for j in range(n)]
+        for kind, split in (("t", "train"), ("e", "test")):
+            records.append((f"{kind}{i}", f"{kind}{i} q", " ".join([f"{kind}{i}y{j}" for j in range(1 + i % 7)] + run + [f"{kind}{i}z{j}" for j in range(9)]), None, None, "pdf"))
+            splits.append((f"{kind}{i}", split))
+        expected[f"e{i}"] = n if n >= 12 else 0
+    s = spark.createDataFrame(splits, "qa_id string, split_name string")
+    assert {x.qa_id: x.covered for x in overlap.coverage(qa(spark, records), s).collect()} == expected
+
+
 @pytest.mark.parametrize("rows,batch", [(700, 50), (300, 300)])
 def test_runs_across_edges_and_batches(rows, batch):
     """The pass over sorted suffixes gives the pairs of every run, whatever the partitions and batches."""
