@@ -427,7 +427,8 @@ sp AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 def _sparse(spark: SparkSession, base: str, k: int = 10) -> DataFrame:
     d = load(spark, base, "documents")
     with staging() as stages:
-        v = cut(sparse.vector_lists(spread(d.select("doc_id", "text"), "doc_id"), "doc_id", "text").withColumnRenamed("doc_id", "doc"), "vectors")
+        lists = sparse.vector_lists(spread(d.select("doc_id", "text"), "doc_id"), "doc_id", "text")
+        v = cut(lists.select(F.col("doc_id").alias("doc"), sparse.numbered(F.col("v")).alias("v")), "vectors")
         df = sparse.doc_frequency(v)
         q = v.where("doc % 20 = 0").withColumnRenamed("doc", "query")
         n = v.agg(F.count("*").alias("n")).scalar()

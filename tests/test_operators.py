@@ -576,3 +576,14 @@ def test_hybrid_search_sends_packed_queries(spark, tmp_path, monkeypatch):
     whole, again = retrieve.QueryPostings(*values, 4, 2), pickle.loads(pickle.dumps(retrieve.SentQueries(*values, 4, 2)))
     found = lambda x: [(f, j, s.tolist()) for f, j, s in x.scores(np.array([0, 2, 4]), np.array([3, 7, 8, 9]), np.array([1.0, 2.0, 3.0, 0.5]), 1)]
     assert found(again) == found(whole) and any(map(np.any, (s for _, _, s in found(whole))))
+
+
+def test_source_cap_stages_numbered_terms(spark, few_documents, monkeypatch):
+    """The vectors that are written hold a number a term, neither its letters nor a second id."""
+    from loomline import queries
+
+    real, kinds = queries.cut, {}
+    monkeypatch.setattr(queries, "cut", lambda df, label="stage": kinds.update({label: dict(df.dtypes)}) or real(df, label))
+    found = queries.source_cap(spark, few_documents)
+    assert kinds["vectors"] == {"doc": "bigint", "v": "array<struct<term:bigint,weight:double>>"}
+    assert [x.doc for x in found.where("query = 20").orderBy("rank").collect()] == [1, 2, 3, 4, 5]
